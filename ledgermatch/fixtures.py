@@ -38,6 +38,7 @@ def _share(sql: str, share: str) -> str:
 class Recipe:
     def __init__(self, spark: SparkSession, sf_dir: str, hot_rows: int = 1_000_000):
         self.spark = spark
+        self.sf_dir = sf_dir
         self.orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
         self.config = MatchConfig(PERIOD, EXPORT_WINDOW, hot_rows=hot_rows)
 

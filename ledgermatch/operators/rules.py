@@ -69,8 +69,9 @@ def cause_bucket(known: Sequence[str] = tuple(WINNERS)) -> str:
     )
 
 
-def winner_table(spark: SparkSession, winners: Mapping[str, str] | None = None) -> DataFrame:
-    return spark.createDataFrame(sorted((winners or WINNERS).items()), "cause string, corrected_from string")
+def winner_table(spark: SparkSession, winners: Mapping[str, str] = WINNERS) -> DataFrame:
+    rows = ", ".join(f"('{cause}', '{side}')" for cause, side in winners.items())
+    return spark.sql(f"select * from values {rows} as rules(cause, corrected_from)")
 
 
 _FLAGS_DIFFER = "engine_in_period <> provider_in_period"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -102,12 +102,13 @@ def totals(pairs: DataFrame) -> DataFrame:
     return with_total(per_psp).orderBy("is_total", "psp").selectExpr(*per_psp.columns, residual)
 
 
-def restate(pairs: DataFrame, winners: DataFrame) -> DataFrame:
+def restate(pairs: DataFrame, winners: Mapping[str, str] = R.WINNERS) -> DataFrame:
     """Each pair with the figure that stands; a cause without a rule takes the provider's.
 
-    ``winners`` holds one row per cause, a closed list, so it is broadcast.
+    The rule table has a row per entry of ``winners``, so it is broadcast.
     """
-    ruled = pairs.join(F.broadcast(winners), "cause", "left").selectExpr(
+    table = R.winner_table(pairs.sparkSession, winners)
+    ruled = pairs.join(F.broadcast(table), "cause", "left").selectExpr(
         "* except (corrected_from)", f"ifnull(corrected_from, '{R.PROVIDER}') as corrected_from"
     )
     corrected = f"if(corrected_from = '{R.ENGINE}', engine_usd, provider_usd)"

@@ -199,7 +199,7 @@ def match(
         p_side = _with_fee_lines(p_side, profile)
     pairs = pair_ledgers(
         e_side,
-        _valued(p_side, profile, config, book),
+        valued(p_side, profile, config, book),
         profile.keys,
         engine_order=["txn_id"],
         provider_order=order,
@@ -270,31 +270,31 @@ def _with_fee_lines(provider: DataFrame, profile: Profile) -> DataFrame:
     )
 
 
-def _valued(provider: DataFrame, profile: Profile, config: MatchConfig, book: RateBook | None) -> DataFrame:
+def valued(provider: DataFrame, profile: Profile, config: MatchConfig, book: RateBook | None) -> DataFrame:
     """Adds ``full_usd``, the row's money in base currency, and the rate behind it."""
     on = "to_date(provider_at)"
     if profile.valuation == "reference":
-        valued = attach_rate(
+        rows = attach_rate(
             provider, book, "provider_currency", on, base=config.base_currency,
             rate_name="provider_fx_rate", date_name="provider_fx_date",
         )
-        valued = valued.selectExpr("*", f"{money.valued('provider_amount', 'provider_fx_rate')} as full_usd")
+        rows = rows.selectExpr("*", f"{money.valued('provider_amount', 'provider_fx_rate')} as full_usd")
         if profile.journal:
             fee = money.valued("provider_fee", "provider_fx_rate")
-            valued = valued.drop("provider_fee_usd").selectExpr("*", f"{fee} as provider_fee_usd")
-        return valued
-    valued = provider.selectExpr(
+            rows = rows.drop("provider_fee_usd").selectExpr("*", f"{fee} as provider_fee_usd")
+        return rows
+    rows = provider.selectExpr(
         "*", "own_usd as full_usd", "own_rate as provider_fx_rate", "cast(null as date) as provider_fx_date"
     )
     if profile.reference_info:
-        valued = attach_rate(
-            valued, book, "provider_currency", on, rate_name="reference_fx_rate", date_name="reference_fx_date"
+        rows = attach_rate(
+            rows, book, "provider_currency", on, rate_name="reference_fx_rate", date_name="reference_fx_date"
         )
-        valued = valued.selectExpr("*", f"{money.valued('provider_amount', 'reference_fx_rate')} as reference_usd")
-    return valued
+        rows = rows.selectExpr("*", f"{money.valued('provider_amount', 'reference_fx_rate')} as reference_usd")
+    return rows
 
 
-def _moves_money(profile: Profile) -> str:
+def moves_money(profile: Profile) -> str:
     if profile.money is not None:
         return f"provider_status in ({R.text_list(profile.money)})"
     return "true" if profile.no_money is None else f"provider_status <> '{profile.no_money}'"
@@ -313,7 +313,7 @@ def _priced(pairs: DataFrame, profile: Profile, config: MatchConfig) -> DataFram
         f"{provider_in} as provider_in_period",
         f"{times.day_month_swapped('provider_at', 'engine_at')} as provider_date_swapped",
         f"if({engine_money}, signed_amount_usd, {money.ZERO}) as engine_usd",
-        f"if({_moves_money(profile)} and {provider_in}, full_usd, {money.ZERO}) as provider_usd",
+        f"if({moves_money(profile)} and {provider_in}, full_usd, {money.ZERO}) as provider_usd",
     )
     # after the pairing on purpose: a row outside the period can be the partner of a row inside it
     in_period = priced.filter("ifnull(engine_in_period, false) or ifnull(provider_in_period, false)")

@@ -3,17 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ledgermatch.fixtures import PROFILES, Recipe
-from ledgermatch.functions import money
-from ledgermatch.operators import rules
+from ledgermatch.functions import money, times
+from ledgermatch.operators import profiling, quality, skew, stats
 from ledgermatch.operators.asof import attach_rate
 from ledgermatch.operators.dedup import dup_rank
-from ledgermatch.plans import marts, profiles
+from ledgermatch.plans import marts, profiles, reports
+from ledgermatch.plans.fees import FeeSource, check_fees
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -98,7 +98,7 @@ def _all_pairs(r: Recipe) -> DataFrame:
 
 
 def _restated(r: Recipe) -> DataFrame:
-    return marts.restate(_all_pairs(r), rules.winner_table(r.spark))
+    return marts.restate(_all_pairs(r))
 
 
 @query
@@ -139,3 +139,263 @@ def restatement(r: Recipe) -> DataFrame:
 @query
 def restated_revenue(r: Recipe) -> DataFrame:
     return marts.restated_revenue(_restated(r))
+
+
+@query
+def fee_check(r: Recipe) -> DataFrame:
+    sale = r.profile("keyless").keyless[0]
+    held = r.config.period.holds("provider_at")
+    paid = f"provider_type = 'Website Payment' and provider_status = 'Completed' and {held}"
+    own = r.provider("id_own").filter(f"provider_status in ('Completed', 'Denied') and {held}")
+    return check_fees(
+        [
+            FeeSource("id_base", r.provider("id_base").filter(paid), "own_usd", "provider_fee"),
+            FeeSource(
+                "id_fx", r.provider("id_fx").filter(paid), "provider_amount", "provider_fee",
+                currency="provider_currency", by=("currency",),
+            ),
+            FeeSource("id_own", own, "own_usd", "provider_fee_usd", declined="provider_status = 'Denied'"),
+            FeeSource(
+                "journal", r.provider("journal").filter(f"provider_type = 'Settled' and {held}"),
+                "provider_amount", "provider_fee", "account", "provider_currency", ("account", "currency"),
+            ),
+            FeeSource(
+                "keyless", r.pairs("keyless").filter(f"provider_type = '{sale}' and provider_in_period"),
+                "provider_usd", "provider_fee_usd", "'account_main'",
+            ),
+        ],
+        r.schedule,
+    )
+
+
+@query
+def fee_percent_by_account(r: Recipe) -> DataFrame:
+    settled = r.provider("journal").filter(f"provider_type = 'Settled' and {r.config.period.holds('provider_at')}")
+    return reports.fee_percent(settled, "provider_amount", "provider_fee", "2.5", "account", "provider_currency")
+
+
+# profiles and statistics -----------------------------------------------------------------------
+
+
+def _table(r: Recipe, name: str) -> DataFrame:
+    return r.spark.read.parquet(f"{r.sf_dir}/{name}.parquet")
+
+
+@query
+def profile_columns(r: Recipe) -> DataFrame:
+    tables = {name: _table(r, name) for name in ("orders", "lineitem", "customer", "events")}
+    # two engines estimate differently, so the estimate is checked and not compared
+    return profiling.column_stats(tables).selectExpr(
+        "* except (distinct_approx)", "abs(distinct_approx - distinct_exact) <= 0.25 * distinct_exact as approx_ok"
+    )
+
+
+@query
+def profile_values(r: Recipe) -> DataFrame:
+    return profiling.value_counts(
+        {
+            "orders": (_table(r, "orders"), ["o_orderstatus", "o_orderpriority"]),
+            "lineitem": (_table(r, "lineitem"), ["l_returnflag", "l_linestatus", "l_linenumber"]),
+            "events": (_table(r, "events"), ["event_type"]),
+            "customer": (_table(r, "customer"), ["c_mktsegment", "c_nationkey"]),
+            "documents": (_table(r, "documents"), ["lang", "source"]),
+        }
+    )
+
+
+@query
+def profile_duplicates(r: Recipe) -> DataFrame:
+    return profiling.repeated_keys(
+        {
+            "id_base": (r.provider("id_base"), ["provider_ref"]),
+            "rates": (r.rates, ["rate_date", "currency"]),
+            "lineitem": (_table(r, "lineitem"), ["l_orderkey", "l_linenumber"]),
+            "documents": (_table(r, "documents"), ["text"]),
+        }
+    )
+
+
+@query
+def describe_table(r: Recipe) -> DataFrame:
+    described = profiling.describe_columns(_table(r, "orders"))
+    shown = "array_join(transform(top_values, t -> t.value || '=' || t.n), ', ') as top_values"
+    return described.selectExpr(
+        "column_name", "data_type", "nulls", "distinct_values", shown, "samples[0] as smallest", "samples[1] as largest"
+    )
+
+
+@query
+def capture_delay_stats(r: Recipe) -> DataFrame:
+    sales = r.engine_all().filter("status = 'settled' and operation_type = 'SALE'")
+    delay = times.seconds_between("created_at_utc", "captured_at_utc")
+    return stats.spread_of(sales.selectExpr("psp", f"{delay} as delay"), ["psp"], "delay")
+
+
+def _rounded(df: DataFrame, *keys: str) -> DataFrame:
+    figures = [c for c in df.columns if c not in keys and c != "count"]
+    return df.selectExpr(*keys, *(["count"] if "count" in df.columns else []), *[f"round({c}, 4) as {c}" for c in figures])
+
+
+@query
+def describe_by_group(r: Recipe) -> DataFrame:
+    rows = _table(r, "orders").selectExpr("o_orderpriority", "o_totalprice as price")
+    return _rounded(stats.describe(rows, ["o_orderpriority"], "price"), "o_orderpriority")
+
+
+@query
+def sales_by_psp(r: Recipe) -> DataFrame:
+    held = r.config.period.holds("captured_at_utc")
+    sales = r.engine_all().filter(f"status = 'settled' and operation_type = 'SALE' and {held}")
+    return _rounded(stats.describe(sales.select("psp", "amount_usd"), ["psp"], "amount_usd"), "psp")
+
+
+@query
+def quantiles_overall(r: Recipe) -> DataFrame:
+    rows = _table(r, "lineitem").select("l_extendedprice")
+    return _rounded(stats.quantiles(rows, [], "l_extendedprice", {"p01": 0.01, "p50": 0.5, "p99": 0.99}))
+
+
+@query
+def revenue_share(r: Recipe) -> DataFrame:
+    return reports.revenue_share(r.engine_all(), r.config)
+
+
+_SALE_ROWS = {
+    "id_base": "provider_type = 'Website Payment'",
+    "id_fx": "provider_type = 'Website Payment'",
+    "id_own": "provider_status = 'Completed'",
+    "journal": "provider_type = 'Settled'",
+    "keyless": "provider_type = 'Charge'",
+}
+
+
+@query
+def provider_net(r: Recipe) -> DataFrame:
+    parts = [
+        reports.provider_net(r.provider(name), r.profile(name), r.config, r.book, sale)
+        for name, sale in _SALE_ROWS.items()
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+# data quality ----------------------------------------------------------------------------------
+
+
+def _ledgers(r: Recipe) -> dict:
+    return {name: (r.engine(name), r.provider(name), r.profile(name)) for name in PROFILES}
+
+
+@query
+def ledger_revenue(r: Recipe) -> DataFrame:
+    return reports.ledger_revenue(_ledgers(r), r.config, r.book)
+
+
+@query
+def dq_not_null(r: Recipe) -> DataFrame:
+    always = quality.Column(not_null=True)
+    columns = {c: always for c in ("txn_id", "order_id", "currency", "amount_usd", "fx_rate_applied", "psp_reference")}
+    columns["captured_at_utc"] = quality.Column(not_null=True, where="operation_type = 'SALE' and psp <> 'id_base'")
+    return quality.column_checks(r.engine_all(), "engine", columns)
+
+
+@query
+def dq_accepted(r: Recipe) -> DataFrame:
+    statuses = {"provider_status": quality.Column(accepted=["Completed", "Denied"])}
+    lines = {
+        "l_returnflag": quality.Column(accepted=["A", "N"]),
+        "l_linenumber": quality.Column(accepted=[1, 2, 3]),
+        "l_linestatus": quality.Column(not_null=True, accepted=["F", "O"]),
+    }
+    return quality.column_checks(r.provider("id_base"), "id_base", statuses).unionByName(
+        quality.column_checks(_table(r, "lineitem"), "lineitem", lines)
+    )
+
+
+@query
+def dq_unique(r: Recipe) -> DataFrame:
+    copies = quality.not_unique(r.provider("id_base"), ["provider_ref"])
+    ids = quality.not_unique(r.engine("id_base"), ["psp_reference"])
+    return copies.selectExpr("'provider_ref' as key", "provider_ref as value", "n").unionAll(
+        ids.selectExpr("'psp_reference'", "psp_reference", "n")
+    )
+
+
+@query
+def dq_fanout(r: Recipe) -> DataFrame:
+    parts = [quality.fanned_out(r.pairs(name)).selectExpr(f"'{name}' as psp", "txn_id", "n") for name in PROFILES]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query
+def dq_orphan_reversals(r: Recipe) -> DataFrame:
+    """Engine refunds without a settled sale, provider refunds whose sale the export does not show."""
+    engine = quality.reversals_without_sale(r.engine("journal")).selectExpr("'engine' as side", "txn_id as ref")
+    events = r.provider("journal")
+    provider = quality.refunds_without_payment(
+        events, reference="provider_ref", ref="provider_ref",
+        refund="provider_type = 'Refunded'", payment="provider_type = 'Settled'",
+    )
+    return engine.unionAll(provider.selectExpr("'provider'", "provider_ref"))
+
+
+@query
+def dq_fee_lines(r: Recipe) -> DataFrame:
+    sale, _, fee = r.profile("keyless").keyless
+    keys = ["provider_at", "product_id"]
+    return quality.sales_without_one_fee_line(r.provider("keyless"), keys, "provider_type", sale, fee)
+
+
+@query
+def dq_window(r: Recipe) -> DataFrame:
+    late = quality.outside_window(r.provider("journal"), "provider_at", r.config.export_window)
+    return late.select("provider_ref", "provider_type", "provider_at")
+
+
+@query
+def dq_arithmetic(r: Recipe) -> DataFrame:
+    """Own conversions away from the reference rate, and settled rows whose net is not gross less fee."""
+    own = attach_rate(r.provider("id_own"), r.book, "provider_currency", "to_date(provider_at)")
+    converted = quality.conversion_differs(own, "provider_amount * fx_rate", "own_usd", "0.005")
+    settled = r.provider("journal").filter("provider_type = 'Settled'").selectExpr(
+        "*", "cast(provider_amount - round(provider_amount * 0.025, 2) as decimal(18,2)) as net"
+    )
+    nets = quality.net_differs(settled, "provider_amount", ["provider_fee"], "net")
+    kept = "cast({} as decimal(18,2)) as figure"
+    return converted.selectExpr("'usd' as rule", "provider_ref", kept.format("expected_usd")).unionAll(
+        nets.selectExpr("'net'", "provider_ref", kept.format("gap"))
+    )
+
+
+@query
+def dq_times(r: Recipe) -> DataFrame:
+    return quality.times_differ(r.provider("id_base"), r.engine("id_base"))
+
+
+@query
+def dq_tie_out(r: Recipe) -> DataFrame:
+    """The accounting identities and the structural checks, one row per check.
+
+    Six checks read the pairs, so they are written once and not matched six times.
+    """
+    pairs = skew.checkpoint(_all_pairs(r))
+    totals, restated = marts.totals(pairs), marts.restate(pairs)
+    ranked = dup_rank(r.provider("id_base").select("provider_ref", "provider_at"), ["provider_ref"], hot=())
+    sides = r.provider("journal").selectExpr(
+        "if(provider_amount >= 0, provider_amount, null) as credit", "if(provider_amount < 0, provider_amount, null) as debit"
+    )
+    revenue = reports.ledger_revenue(_ledgers(r), r.config, r.book)
+    return quality.run_checks(
+        [
+            quality.Check("matched_has_zero_diff", quality.matched_with_difference(pairs)),
+            quality.Check("residual_is_zero", quality.residual_left(totals)),
+            quality.Check("shares_sum_to_100", quality.shares_off(marts.by_cause(pairs))),
+            quality.Check("totals_match_ledgers", quality.revenue_breaks(totals, revenue)),
+            quality.Check(
+                "restatement_ties", quality.restatement_breaks(restated, marts.restated_revenue(restated))
+            ),
+            quality.Check("rank_is_unique", quality.not_unique(ranked, ["provider_ref", "dup_rank"])),
+            quality.Check("one_rate_per_day", quality.not_unique(r.rates, ["currency", "rate_date"]), quality.WARN),
+            quality.Check("one_side_of_gross", quality.not_one_side(sides, "debit", "credit")),
+            quality.Check("copies_in_export", quality.not_unique(r.provider("id_fx"), ["provider_ref"]), quality.WARN),
+        ]
+    )
