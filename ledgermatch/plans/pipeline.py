@@ -1,0 +1,138 @@
+"""The whole run: raw files to pairs, marts, profiles, checks and exports."""
+
+from __future__ import annotations
+
+from collections.abc import Mapping
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession
+
+from ledgermatch.config import MatchConfig
+from ledgermatch.operators import profiling, quality
+from ledgermatch.operators.asof import rate_book
+from ledgermatch.plans import expectations, marts, reports
+from ledgermatch.plans import profiles as P
+from ledgermatch.plans.fees import FeeSource, check_fees
+from ledgermatch.plans.providers import LAYOUT_OF, PROFILES, provider_rows
+from ledgermatch.sources import sinks
+from ledgermatch.sources.layouts import read_raw
+from ledgermatch.sources.readers import stack_files
+from ledgermatch.sources.staging import COPY_KEYS, TYPED, staged
+
+#: columns whose values are counted, by raw table
+VALUE_COLUMNS = {
+    "engine_log": ["operation_type", "status", "psp", "sku", "currency", "country"],
+    "adyen_accounting": ["Record Type", "Merchant Account", "Gross Currency", "Net Currency", "Batch Number"],
+    "dlocal_transactions": ["transaction_type", "status", "country", "currency", "currency_exponent"],
+    "paypal_us_activity": ["Type", "Status", "Currency"],
+    "paypal_eu_activity": ["Type", "Status", "Currency"],
+    "google_play_earnings": ["Transaction Type", "Product ID", "Buyer Country", "Buyer Currency", "Merchant Currency"],
+    "fx_rates": ["currency"],
+    "fee_schedule": ["psp", "account", "percent_fee"],
+}
+REPEATED = {
+    "dlocal_transactions": ["transaction_id"],
+    "paypal_us_activity": ["Transaction ID"],
+    "fx_rates": ["rate_date", "currency"],
+}
+
+
+@dataclass(frozen=True)
+class Run:
+    raw: dict[str, DataFrame]
+    pairs: dict[str, DataFrame]
+    all_pairs: DataFrame
+    marts: dict[str, DataFrame]
+    analysis: dict[str, DataFrame]
+    checks: DataFrame
+    column_checks: DataFrame
+
+
+def read_all(spark: SparkSession, files: Mapping[str, str | Mapping[str, str]]) -> dict[str, DataFrame]:
+    """Raw tables by layout. A layout given as {file tag: path} is stacked with its tags."""
+    raw = {}
+    for layout, path in files.items():
+        if isinstance(path, str):
+            raw[layout] = read_raw(spark, layout, path)
+        else:
+            raw[layout] = stack_files({tag: read_raw(spark, layout, one) for tag, one in path.items()})
+    return raw
+
+
+def fee_sources(typed: Mapping[str, DataFrame], google_pairs: DataFrame, config: MatchConfig, google_account: str):
+    held = config.period.holds("provider_at")
+    rows = {psp: provider_rows(psp, typed[LAYOUT_OF[psp]]).filter(held) for psp in PROFILES if psp != "google_play"}
+    paid = "provider_type = 'Website Payment' and provider_status = 'Completed'"
+    return [
+        FeeSource(
+            "adyen", rows["adyen"].filter("provider_type = 'Settled'"), "provider_amount", "provider_fee",
+            "account", "provider_currency", ("account", "currency"),
+        ),
+        FeeSource(
+            "google_play", google_pairs.filter("provider_type = 'Charge' and provider_in_period"),
+            "provider_usd", "provider_fee_usd", f"'{google_account}'",
+        ),
+        FeeSource("paypal_us", rows["paypal_us"].filter(paid), "provider_amount", "provider_fee"),
+        FeeSource(
+            "paypal_eu", rows["paypal_eu"].filter(paid), "provider_amount", "provider_fee",
+            currency="provider_currency", by=("currency",),
+        ),
+        FeeSource(
+            "dlocal", rows["dlocal"].filter("provider_status in ('PAID', 'REJECTED')"), "own_usd", "provider_fee_usd",
+            declined="provider_status = 'REJECTED'",
+        ),
+    ]
+
+
+def run(
+    spark: SparkSession,
+    files: Mapping[str, str | Mapping[str, str]],
+    out: str,
+    config: MatchConfig,
+    *,
+    google_account: str,
+    prefer_rate: str | None = None,
+) -> Run:
+    """Build everything under ``out``, a folder all executors share.
+
+    Pairs are matched once and written; every mart, check and export reads the written pairs.
+    ``prefer_rate`` picks among several rates of a day by a column in place of the lowest rate.
+    """
+    raw = read_all(spark, files)
+    typed = {layout: TYPED[layout](df) for layout, df in raw.items()}
+    book = rate_book(typed["fx_rates"], prefer=prefer_rate, broadcast_rows=config.broadcast_rows)
+    ledgers = {
+        psp: (typed["engine_log"], provider_rows(psp, typed[LAYOUT_OF[psp]]), profile)
+        for psp, profile in PROFILES.items()
+    }
+    pairs = {
+        psp: sinks.write_table(df, f"{out}/intermediate/{psp}")
+        for psp, df in P.match_all(ledgers, config, book).items()
+    }
+    all_pairs = sinks.write_table(marts.all_pairs(pairs.values()), f"{out}/marts/pairs")
+    restated = sinks.write_table(marts.restate(all_pairs), f"{out}/marts/restated")
+    built = {
+        "summary_by_cause": marts.by_cause(all_pairs),
+        "summary_by_psp": marts.by_psp(all_pairs),
+        "totals": marts.totals(all_pairs),
+        "restated": restated,
+        "restated_revenue": marts.restated_revenue(restated),
+        "fees": check_fees(fee_sources(typed, pairs["google_play"], config, google_account), typed["fee_schedule"]),
+    }
+    analysis = {
+        "columns": profiling.column_stats(raw),
+        "values": profiling.value_counts({name: (raw[name], columns) for name, columns in VALUE_COLUMNS.items()}),
+        "duplicates": profiling.repeated_keys({name: (raw[name], keys) for name, keys in REPEATED.items()}),
+    }
+    ranked = {name: staged(name, raw[name], config.hot_rows) if name in COPY_KEYS else typed[name] for name in raw}
+    revenue = reports.ledger_revenue(ledgers, config, book)
+    checks = quality.run_checks(
+        [
+            *expectations.staging_checks(ranked, config),
+            *expectations.pair_checks(pairs),
+            *expectations.mart_checks(all_pairs, built, revenue),
+        ]
+    )
+    sinks.export_all(built, f"{out}/csv/marts")
+    sinks.export_all(analysis, f"{out}/csv/analysis")
+    return Run(raw, pairs, all_pairs, built, analysis, checks, expectations.column_report(ranked))
