@@ -12,12 +12,12 @@ from ledgermatch.operators import skew
 
 
 def stable_order(df: DataFrame, keys: Sequence[str], order_by: Sequence[str]) -> str:
-    """SQL order: the given columns, then every other one, so that only identical rows can tie."""
+    """SQL order: the given columns, then every other one, so that only identical rows can tie.
+
+    Plain columns on purpose: an expression would be computed before the shuffle and travel with the rows.
+    """
     rest = [c for c in df.columns if c not in order_by and c not in keys]
-    parts = [skew.quoted(order_by)] if order_by else []
-    if rest:
-        parts.append(f"struct({skew.quoted(rest)})")
-    return ", ".join(parts) or "1"
+    return skew.quoted([*order_by, *rest]) or "1"
 
 
 def dup_rank(

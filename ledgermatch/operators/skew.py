@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 #: a heavy key shows up about this often among the rows looked at
 _SEEN = 10_000
-#: most heavy keys taken to the driver; reaching it sends whole ledgers the spread route
+#: most heavy keys of a ledger taken to the driver; reaching it sends the whole ledger the spread route
 HOT_LIMIT = 1_000
 
 ALL_ROWS = "all rows"
@@ -36,7 +36,7 @@ def hot_keys(ledgers: Mapping[str, tuple[DataFrame, Sequence[str]]], hot_rows: i
     """Hashes of the keys with about ``hot_rows`` rows or more, per named ledger, in one job.
 
     Reads key columns only and counts a share of the rows, since the answer picks a route and never
-    a result. The driver receives at most ``HOT_LIMIT`` hashes; a ledger met when there are that many
+    a result. The driver receives at most ``HOT_LIMIT`` hashes per ledger; a ledger with that many
     gets ``ALL_ROWS`` in place of its list.
     """
     share = min(1.0, _SEEN / hot_rows)
@@ -49,16 +49,15 @@ def hot_keys(ledgers: Mapping[str, tuple[DataFrame, Sequence[str]]], hot_rows: i
         .groupBy("ledger", "h")
         .agg(F.expr("count(*) as n"))
         .filter(f"n >= {hot_rows * share * 0.9}")
-        .orderBy(F.desc("n"))
-        .limit(HOT_LIMIT)
+        # at most one key in hot_rows rows is left here
+        .selectExpr("*", "row_number() over (partition by ledger order by n desc) as place")
+        .filter(f"place <= {HOT_LIMIT}")
         .collect()
     )
-    found: dict[str, Hot] = {name: [] for name in ledgers}
+    found: dict[str, list[int]] = {name: [] for name in ledgers}
     for row in heavy:
         found[row.ledger].append(row.h)
-    if len(heavy) == HOT_LIMIT:
-        found = {name: ALL_ROWS if hot else hot for name, hot in found.items()}
-    return found
+    return {name: ALL_ROWS if len(hot) >= HOT_LIMIT else hot for name, hot in found.items()}
 
 
 def split_hot(df: DataFrame, keys: Sequence[str], hot: Hot) -> tuple[DataFrame | None, DataFrame | None]:
@@ -100,12 +99,13 @@ def spread_rank(df: DataFrame, keys: Sequence[str], order: str, name: str) -> Da
     Rows are range-partitioned by key, order and a frozen row id, so a heavy key spans many
     partitions. Each partition counts its own rows; the counts of the earlier partitions of the
     same key are the offset of the local number. The two checkpoints fix the row ids and the
-    partition bounds, so a lost executor cannot move a row between two reads.
+    partition bounds, so a lost executor cannot move a row between two reads. ``order`` is a list of
+    columns as SQL text.
     """
     by_key = quoted(keys)
     frozen = checkpoint(df.selectExpr("*", "monotonically_increasing_id() as _row"))
     tasks = max(int(frozen.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2)
-    ranged = frozen.repartitionByRange(tasks, *keys, F.expr(f"struct({_values(order)})"), "_row")
+    ranged = frozen.repartitionByRange(tasks, *keys, F.expr(f"struct({order})"), "_row")
     ranged = checkpoint(ranged.selectExpr("*", "spark_partition_id() as _part"))
 
     earlier = f"over (partition by {by_key} order by _part rows between unbounded preceding and 1 preceding)"
@@ -115,7 +115,7 @@ def spread_rank(df: DataFrame, keys: Sequence[str], order: str, name: str) -> Da
         .selectExpr(*[f"`{k}`" for k in keys], "_part", f"ifnull(sum(n) {earlier}, 0) as offset")
     )
     local = ranged.selectExpr(
-        "*", f"row_number() over (partition by _part, {by_key} order by struct({_values(order)}), _row) as _local"
+        "*", f"row_number() over (partition by _part, {by_key} order by {order}, _row) as _local"
     )
     same = " and ".join(["l._part = o._part", *[f"l.`{k}` <=> o.`{k}`" for k in keys]])
     return (
@@ -123,8 +123,3 @@ def spread_rank(df: DataFrame, keys: Sequence[str], order: str, name: str) -> Da
         .join(offsets.alias("o"), F.expr(same))
         .selectExpr(*[f"l.`{c}`" for c in df.columns], f"int(_local + offset) as {name}")
     )
-
-
-def _values(order: str) -> str:
-    """The order expression as struct fields; an order is never empty."""
-    return order or "1"

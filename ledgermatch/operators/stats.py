@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 _ACCURACY = 10_000
 #: the bracket is this many accuracies wide on either side
 _MARGIN = 4
+#: a group below this is its own bracket; above it, a margin spans more than the ranks next to a quantile
+_SMALL = 50_000
 
 
 def quantiles(df: DataFrame, by: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
@@ -28,7 +30,8 @@ def quantiles(df: DataFrame, by: Sequence[str], value: str, probs: dict[str, flo
     highs = [f"{p + margin}D" if p + margin < 1 else None for p in probs.values()]
 
     def bounds(points, end):
-        return ", ".join(end if p is None else f"percentile_approx(v, {p}, {_ACCURACY})" for p in points)
+        near = f"if(count(*) < {_SMALL}, {end}, percentile_approx(v, %s, {_ACCURACY}))"
+        return ", ".join(end if p is None else near % p for p in points)
 
     brackets = rows.groupBy(*by).agg(
         F.expr("count(*) as total"),

@@ -105,6 +105,13 @@ class Profile:
     def keys(self) -> list[str]:
         return ["key_at", "key_product", "key_type"] if self.keyless else ["pair_key"]
 
+    @property
+    def held_by_key(self) -> dict[str, str]:
+        """Columns that the pair key already holds; they do not travel a second time."""
+        if self.keyless:
+            return {"engine_at": "key_at", "provider_at": "key_at", "provider_type": "key_type"}
+        return {} if self.journal else {"provider_ref": "pair_key"}
+
 
 _SAME_HEAD = ("missing_at_provider", "missing_in_engine", "duplicate_row_in_export")
 
@@ -198,15 +205,19 @@ def match(
     if profile.keyless:
         p_side = _with_fee_lines(p_side, profile)
     pairs = pair_ledgers(
-        e_side,
-        valued(p_side, profile, config, book),
+        e_side.drop(*profile.held_by_key),
+        valued(p_side, profile, config, book).drop(*profile.held_by_key),
         profile.keys,
         engine_order=["txn_id"],
         provider_order=order,
         rank=rank,
         hot=heavy.pair,
     )
-    return _priced(pairs, profile, config)
+    restored = [
+        f"if({'has_engine' if column == 'engine_at' else 'has_provider'}, {key}, null) as {column}"
+        for column, key in profile.held_by_key.items()
+    ]
+    return _priced(pairs.selectExpr("*", *restored), profile, config)
 
 
 def match_all(ledgers: Ledgers, config: MatchConfig, book: RateBook | None) -> dict[str, DataFrame]:
