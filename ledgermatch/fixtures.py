@@ -15,6 +15,7 @@ from ledgermatch.config import MatchConfig, Period
 from ledgermatch.functions import money
 from ledgermatch.operators.asof import RateBook, attach_rate, rate_book
 from ledgermatch.plans import profiles as P
+from ledgermatch.sources.layouts import LAYOUTS
 
 PERIOD = Period("1997-01-01", "1997-07-01")
 EXPORT_WINDOW = Period("1995-01-01", "2001-08-01")
@@ -141,7 +142,7 @@ class Recipe:
         if name != "keyless":
             at = f"if(june and k % 13 = 0, event_at + interval 31 days, {at})"
         if name == "id_fx":
-            clock = "(event_at - date_trunc('DAY', event_at))"
+            clock = "(event_at - cast(to_date(event_at) as timestamp_ntz))"
             swapped = f"cast(make_date(year(event_at), day(event_at), month(event_at)) as timestamp_ntz) + {clock}"
             at = f"if(k % 19 = 0 and early_day, {swapped}, {at})"
         rows = self.base.filter("k % 211 <> 0").selectExpr(
@@ -226,6 +227,17 @@ class Recipe:
             "buyer_country": "case cu when 'EUR' then 'DE' when 'GBP' then 'GB' else 'US' end",
         }
 
+    # the exports as raw text -----------------------------------------------------------------
+
+    def raw_text(self, layout: str) -> DataFrame:
+        """An export printed the way its provider prints it, every column text."""
+        source, columns = _PRINTED[layout]
+        rows = self.provider(source)
+        if layout == "adyen_accounting":
+            rows = rows.selectExpr("*", f"{_ZONE} as zone")
+        printed = {c: "cast(null as string)" for c in LAYOUTS[layout].columns} | columns
+        return rows.selectExpr(*[f"cast({sql} as string) as `{c}`" for c, sql in printed.items()])
+
     # results ---------------------------------------------------------------------------------
 
     @cached_property
@@ -252,4 +264,77 @@ class Recipe:
         )
 
 
+_ZONE = "case provider_currency when 'EUR' then 'Europe/Amsterdam' when 'GBP' then 'Europe/London' else 'America/New_York' end"
+_COMMA = "replace(cast({} as string), '.', ',')"
+_ANGELES = "convert_timezone('UTC', 'America/Los_Angeles', provider_at)"
+_MINOR = "if(provider_currency = 'BRL', floor(provider_amount), cast(provider_amount * 100 as bigint))"
+_DEBIT, _CREDIT = "if(provider_amount < 0, -provider_amount, null)", "if(provider_amount >= 0, provider_amount, null)"
+_SETTLED = "provider_type = 'Settled'"
+_PRINTED = {
+    "paypal_eu_activity": (
+        "id_fx",
+        {
+            "Date": "date_format(provider_at, 'dd/MM/yyyy')",
+            "Time": "date_format(provider_at, 'HH:mm:ss')",
+            "Time Zone": "'GMT'",
+            "Transaction ID": "provider_ref",
+            "Type": "provider_type",
+            "Status": "provider_status",
+            "Currency": "provider_currency",
+            "Gross": _COMMA.format("provider_amount"),
+            "Fee": _COMMA.format("-provider_fee"),
+            "Net": _COMMA.format("(provider_amount - provider_fee)"),
+            "Invoice ID": "provider_order",
+        },
+    ),
+    "dlocal_transactions": (
+        "id_own",
+        {
+            "transaction_id": "provider_ref",
+            "invoice_id": "provider_order",
+            "transaction_type": "if(provider_status = 'Pending', 'REFUND', 'PAYMENT')",
+            "status": "provider_status",
+            "created_at_utc": "provider_at",
+            "currency": "provider_currency",
+            "currency_exponent": "if(provider_currency = 'BRL', 0, 2)",
+            "local_amount": _MINOR,
+            "fx_rate": "cast(1 / own_rate as decimal(18,6))",
+            "usd_amount": "own_usd",
+            "fee_usd": "provider_fee_usd",
+        },
+    ),
+    "adyen_accounting": (
+        "journal",
+        {
+            "Merchant Account": "account",
+            "Psp Reference": "provider_ref",
+            "Merchant Reference": "provider_order",
+            "Record Type": "provider_type",
+            "Creation Date": "convert_timezone('UTC', zone, provider_at)",
+            "TimeZone": "zone",
+            "Gross Currency": "provider_currency",
+            "Gross Debit": _DEBIT,
+            "Gross Credit": _CREDIT,
+            "Commission": f"if({_SETTLED}, provider_fee, null)",
+            "Markup": f"if({_SETTLED}, 0.01, null)",
+            "Batch Number": "25",
+        },
+    ),
+    "google_play_earnings": (
+        "keyless",
+        {
+            "source_file": "source_file",
+            "Transaction Date": f"date_format({_ANGELES}, 'MMM d, yyyy')",
+            "Transaction Time": f"date_format({_ANGELES}, 'HH:mm:ss')",
+            "Transaction Type": "provider_type",
+            "Product ID": "product_id",
+            "Buyer Country": "buyer_country",
+            "Buyer Currency": "provider_currency",
+            "Amount (Buyer Currency)": "provider_amount",
+            "Currency Conversion Rate": "own_rate",
+            "Merchant Currency": "'USD'",
+            "Amount (Merchant Currency)": "own_usd",
+        },
+    ),
+}
 _NO_RATE = (f"cast(null as {money.RATE}) as fx_rate", "cast(null as date) as fx_date")

@@ -36,14 +36,13 @@ def event_time(captured: str, created: str) -> str:
 def day_month_swapped(provider_at: str, engine_at: str) -> str:
     """True when exchanging day and month of the provider time gives the engine time.
 
-    False when the exchange is no date or a side is missing.
+    Then the day of one is the month of the other, both ways, and year and time of day agree. So an
+    exchange that is no date is false without being tried, and a missing side is false too.
     """
-    swapped = f"try_to_timestamp(date_format({provider_at}, 'MM/dd/yyyy'), 'dd/MM/yyyy')"
-    clock = "'HH:mm:ss.SSSSSS'"
-    return (
-        f"ifnull(to_date({swapped}) = to_date({engine_at})"
-        f" and date_format({provider_at}, {clock}) = date_format({engine_at}, {clock}), false)"
-    )
+    parts = [("year", "year"), ("month", "day"), ("day", "month"), ("hour", "hour"), ("minute", "minute")]
+    same = [f"{one}({provider_at}) = {other}({engine_at})" for one, other in parts]
+    same.append(f"extract(second from {provider_at}) = extract(second from {engine_at})")
+    return f"ifnull({' and '.join(same)}, false)"
 
 
 def stale(rate_date: str, event_at: str, days: int) -> str:

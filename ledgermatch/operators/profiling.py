@@ -54,6 +54,11 @@ def repeated_keys(spec: Mapping[str, tuple[DataFrame, Sequence[str]]]) -> DataFr
     return reduce(DataFrame.unionByName, parts)
 
 
+def sample_rows(df: DataFrame, n: int = 5) -> DataFrame:
+    """The first rows to look at."""
+    return df.limit(n)
+
+
 def describe_columns(df: DataFrame, max_unique: int = 20) -> DataFrame:
     """Type, nulls, distinct values, and either all value counts or three sample values per column.
 

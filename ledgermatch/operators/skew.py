@@ -70,6 +70,11 @@ def split_hot(df: DataFrame, keys: Sequence[str], hot: Hot) -> tuple[DataFrame |
     return df.filter(f"not {heavy}"), df.filter(heavy)
 
 
+def broadcast_if_small(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """Broadcast hint for a table that a short job has shown to hold no more than ``rows`` rows."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the folder the session names."""
     use_checkpoint_dir(df.sparkSession)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgermatch.functions.money import PERCENT, TOTAL, percent_of
+from ledgermatch.operators.skew import broadcast_if_small
 
 #: a fee further than this from the contract is off it
 TOLERANCE = "0.01"
@@ -36,9 +37,10 @@ class FeeSource:
 def check_fees(sources: Sequence[FeeSource], schedule: DataFrame) -> DataFrame:
     """One row per provider, account and currency; contract columns are null without a contract.
 
-    The schedule has a row per contract, so the planner's own size check decides how it is joined.
+    Where the schedule holds several contracts of an account, the latest one counts.
     """
-    in_force = schedule.groupBy("psp", "account").agg(F.expr("max_by(percent_fee, valid_from) as contract_pct"))
+    latest = schedule.groupBy("psp", "account").agg(F.expr("max_by(percent_fee, valid_from) as contract_pct"))
+    in_force = broadcast_if_small(latest)
     lines = reduce(
         lambda one, other: one.unionByName(other, allowMissingColumns=True),
         [_one_provider(source, in_force) for source in sources],

@@ -21,7 +21,7 @@ ALL_PAIRS_COLUMNS = (
 )
 
 #: time and product in place of the provider id, for exports that have no id; null when a part is
-STAND_IN_REF = "date_format(provider_at, 'yyyy-MM-dd HH:mm:ss') || ' ' || product_id"
+STAND_IN_REF = "substring(cast(provider_at as string), 1, 19) || ' ' || product_id"
 
 
 def all_pairs(pairs: Iterable[DataFrame]) -> DataFrame:

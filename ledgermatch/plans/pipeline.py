@@ -98,7 +98,11 @@ def run(
     Pairs are matched once and written; every mart, check and export reads the written pairs.
     ``prefer_rate`` picks among several rates of a day by a column in place of the lowest rate.
     """
-    raw = read_all(spark, files)
+    # text files are parsed once; the engine log is laid out by provider, so a slice reads its own files
+    raw = {
+        layout: sinks.write_table(df, f"{out}/raw/{layout}", ("psp",) if layout == "engine_log" else ())
+        for layout, df in read_all(spark, files).items()
+    }
     typed = {layout: TYPED[layout](df) for layout, df in raw.items()}
     book = rate_book(typed["fx_rates"], prefer=prefer_rate, broadcast_rows=config.broadcast_rows)
     ledgers = {

@@ -14,6 +14,7 @@ from ledgermatch.operators.asof import attach_rate
 from ledgermatch.operators.dedup import dup_rank
 from ledgermatch.plans import marts, profiles, reports
 from ledgermatch.plans.fees import FeeSource, check_fees
+from ledgermatch.sources import staging
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -83,6 +84,44 @@ def signed_amounts(r: Recipe) -> DataFrame:
     )
 
 
+# raw text to typed rows ------------------------------------------------------------------------
+
+
+@query
+def staged_decimal_comma(r: Recipe) -> DataFrame:
+    rows = staging.staged("paypal_eu_activity", r.raw_text("paypal_eu_activity"), r.config.hot_rows)
+    return rows.select(
+        "transaction_id", "invoice_id", "txn_type", "status", "currency", "gross", "fee", "net", "txn_at_utc", "dup_rank"
+    )
+
+
+@query
+def staged_minor_units(r: Recipe) -> DataFrame:
+    rows = staging.staged("dlocal_transactions", r.raw_text("dlocal_transactions"), r.config.hot_rows)
+    return rows.select(
+        "transaction_id", "txn_at_utc", "currency_exponent", "local_amount_minor", "amount_local", "usd_rate",
+        "amount_usd", "signed_amount_local", "signed_amount_usd", "dup_rank",
+    )
+
+
+@query
+def staged_zone_column(r: Recipe) -> DataFrame:
+    rows = staging.staged("adyen_accounting", r.raw_text("adyen_accounting"), r.config.hot_rows)
+    return rows.select(
+        "psp_reference", "record_type", "event_at_utc", "event_at_local", "time_zone", "gross_debit", "gross_credit",
+        "signed_gross", "fee", "batch_number", "dup_rank",
+    )
+
+
+@query
+def staged_fixed_zone(r: Recipe) -> DataFrame:
+    rows = staging.staged("google_play_earnings", r.raw_text("google_play_earnings"), r.config.hot_rows)
+    return rows.select(
+        "source_file", "txn_type", "product_id", "amount_buyer", "conversion_rate", "amount_usd", "txn_at_local",
+        "txn_at_utc", "dup_rank",
+    )
+
+
 # pairs and marts -------------------------------------------------------------------------------
 
 
