@@ -22,9 +22,15 @@ SPREAD = "_spread"
 _NTH, _COPIES = "_nth", "_copies"
 
 
-def with_spread(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+def with_spread(df: DataFrame, keys: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """Adds the spreading value: 0 for a row with a key, else a hash of ``by`` or of all other columns.
+
+    A few columns are better than all, since the search for heavy keys has to read them.
+    """
+    if SPREAD in df.columns:
+        return df
     no_key = " or ".join(f"`{k}` is null" for k in keys)
-    rest = [c for c in df.columns if c not in keys]
+    rest = by or [c for c in df.columns if c not in keys]
     return df.selectExpr("*", f"if({no_key}, xxhash64({skew.quoted(rest)}), 0L) as {SPREAD}")
 
 

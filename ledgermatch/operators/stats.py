@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgermatch.operators import skew
+
 #: rank accuracy of the estimate that brackets a quantile
 _ACCURACY = 10_000
 #: the bracket is this many accuracies wide on either side
@@ -15,16 +17,21 @@ _MARGIN = 4
 _SMALL = 50_000
 
 
-def quantiles(df: DataFrame, by: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
+def quantiles(
+    df: DataFrame, by: Sequence[str], value: str, probs: Mapping[str, float], also: Mapping[str, str] | None = None
+) -> DataFrame:
     """Exact interpolated quantiles of a double column: one row per group, one column per name.
 
-    A quantile estimate with known rank error brackets each exact one. Rows below a bracket are only
-    counted, rows above it are dropped, and the few distinct values inside are ranked. So the window
-    at the end sees a small share of a group, and equal values have been counted together before it.
+    ``also`` adds aggregates over ``v``, the value, as {name: SQL}. The table is read twice. The first
+    pass estimates with known rank error and so brackets each exact quantile; its result, a row per
+    group, is checkpointed. The second pass counts the rows below a bracket, drops those above it and
+    keeps the few values inside, all before the shuffle. So the window at the end sees a small share
+    of a group, and equal values have been counted together before it.
     """
-    by = list(by) or ["_all"]
-    rows = df.selectExpr("*", "0 as _all") if by == ["_all"] else df
-    rows = rows.selectExpr(*[f"`{c}`" for c in by], f"cast({value} as double) as v").filter("v is not null")
+    by, also = list(by), dict(also or {})
+    keys = [f"`{c}`" for c in by] or ["0 as all_rows"]
+    by = by or ["all_rows"]
+    rows = df.selectExpr(*keys, f"cast({value} as double) as v").filter("v is not null")
     margin = _MARGIN / _ACCURACY
     lows = [f"{p - margin}D" if p > margin else None for p in probs.values()]
     highs = [f"{p + margin}D" if p + margin < 1 else None for p in probs.values()]
@@ -35,61 +42,50 @@ def quantiles(df: DataFrame, by: Sequence[str], value: str, probs: dict[str, flo
 
     brackets = rows.groupBy(*by).agg(
         F.expr("count(*) as total"),
-        F.expr(f"array({bounds(lows, 'min(v)')}) as low"),
-        F.expr(f"array({bounds(highs, 'max(v)')}) as high"),
+        F.expr(f"arrays_zip(array({bounds(lows, 'min(v)')}), array({bounds(highs, 'max(v)')})) as ends"),
+        *[F.expr(f"{sql} as {name}") for name, sql in also.items()],
     )
-    if by == ["_all"]:
-        brackets = F.broadcast(brackets)  # one row
-    keys = [f"`{c}`" for c in by]
+    brackets = skew.checkpoint(brackets)
+    names = [f"`{c}`" for c in by]
     near = (
-        rows.groupBy(*by, "v")
+        rows.join(skew.broadcast_if_small(brackets.select(*by, "ends")), by)
+        .selectExpr(*names, "v", "posexplode(ends) as (i, b)")
+        .filter("v <= b['1']")
+        .groupBy(*by, "i", F.expr("if(v < b['0'], null, v) as v"))
         .agg(F.expr("count(*) as n"))
-        .join(brackets, by)
-        .selectExpr(*keys, "v", "n", "total", "posexplode(arrays_zip(low, high)) as (i, b)")
-        .filter("v <= b.high")
-        .groupBy(*by, "i", "total", F.expr("if(v < b.low, null, v) as v"))
-        .agg(F.expr("sum(n) as n"))
     )
     points = "array(" + ", ".join(f"{p}D" for p in probs.values()) + ")"
-    placed = near.selectExpr(
-        *keys,
+    placed = near.join(skew.broadcast_if_small(brackets.select(*by, "total")), by).selectExpr(
+        *names,
         "i",
         "v",
         f"(total - 1) * element_at({points}, i + 1) as place",
         "n",
-        f"sum(n) over (partition by {', '.join(keys)}, i order by v nulls first) as upto",
+        f"sum(n) over (partition by {', '.join(names)}, i order by v nulls first) as upto",
     )
     ends = placed.groupBy(*by, "i", "place").agg(
         F.expr("max(if(floor(place) >= upto - n and floor(place) < upto, v, null)) as low"),
         F.expr("max(if(ceil(place) >= upto - n and ceil(place) < upto, v, null)) as high"),
     )
-    named = [F.expr(f"max(if(i = {i}, low + (high - low) * (place - floor(place)), null)) as {name}")
-             for i, name in enumerate(probs)]
+    named = [
+        F.expr(f"max(if(i = {i}, low + (high - low) * (place - floor(place)), null)) as {name}")
+        for i, name in enumerate(probs)
+    ]
     result = ends.groupBy(*by).agg(*named)
-    return result.drop("_all")
+    if also:
+        result = result.join(brackets.select(*by, *also), by)
+    return result.drop("all_rows")
 
 
 def describe(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    """count, mean, std, min, quartiles and max of a column for each group."""
-    moments = df.groupBy(*by).agg(
-        F.expr(f"count({value}) as count"),
-        F.expr(f"avg(cast({value} as double)) as mean"),
-        F.expr(f"stddev_samp(cast({value} as double)) as std"),
-        F.expr(f"min(cast({value} as double)) as min"),
-        F.expr(f"max(cast({value} as double)) as max"),
-    )
-    quartiles = quantiles(df, by, value, {"p25": 0.25, "p50": 0.5, "p75": 0.75})
-    return moments.join(quartiles, list(by), "left").select(
-        *by, "count", "mean", "std", "min", "p25", "p50", "p75", "max"
-    )
+    """count, mean, std, min, quartiles and max of a column for each group with a value."""
+    moments = {"count": "count(v)", "mean": "avg(v)", "std": "stddev_samp(v)", "min": "min(v)", "max": "max(v)"}
+    described = quantiles(df, by, value, {"p25": 0.25, "p50": 0.5, "p75": 0.75}, moments)
+    return described.select(*by, "count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
 def spread_of(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    """Rows, min, median, 99th percentile and max of a column for each group."""
-    ends = df.groupBy(*by).agg(
-        F.expr("count(*) as row_count"),
-        F.expr(f"min(cast({value} as double)) as min"),
-        F.expr(f"max(cast({value} as double)) as max"),
-    )
-    middle = quantiles(df, by, value, {"median": 0.5, "p99": 0.99})
-    return ends.join(middle, list(by), "left").select(*by, "row_count", "min", "median", "p99", "max")
+    """Rows, min, median, 99th percentile and max of a column for each group with a value."""
+    ends = {"row_count": "count(v)", "min": "min(v)", "max": "max(v)"}
+    spread = quantiles(df, by, value, {"median": 0.5, "p99": 0.99}, ends)
+    return spread.select(*by, "row_count", "min", "median", "p99", "max")

@@ -29,7 +29,7 @@ from ledgermatch.operators import rules as R
 from ledgermatch.operators import skew
 from ledgermatch.operators.asof import RateBook, attach_rate
 from ledgermatch.operators.dedup import dup_rank
-from ledgermatch.operators.pairing import both_keys, pair_ledgers
+from ledgermatch.operators.pairing import both_keys, pair_ledgers, spread_keys, with_spread
 
 SALE, REFUND, CHARGEBACK = "SALE", "REFUND", "CHARGEBACK"
 
@@ -256,7 +256,8 @@ def _keyed(engine: DataFrame, provider: DataFrame, profile: Profile) -> tuple[Da
         "currency as engine_currency", f"{amount} as engine_amount", "fx_rate_applied as engine_fx_rate",
         "fx_date_applied as engine_fx_date", "signed_amount_usd", *_named(e_keys),
     )
-    return engine, provider.selectExpr("*", *_named(p_keys))
+    provider = provider.selectExpr("*", *_named(p_keys))
+    return with_spread(engine, profile.keys, ["txn_id"]), with_spread(provider, profile.keys, ["provider_amount"])
 
 
 _ENGINE_AT = times.event_time("captured_at_utc", "created_at_utc")
@@ -270,13 +271,14 @@ def _named(columns: Mapping[str, str]) -> list[str]:
 def _with_fee_lines(provider: DataFrame, profile: Profile) -> DataFrame:
     """Sales and refunds, the fee lines of a sale summed beside it."""
     sale, refund, fee = profile.keyless
+    on = spread_keys(profile.keys)
     fees = (
         provider.filter(f"provider_type = '{fee}'")
-        .groupBy(*profile.keys)
+        .groupBy(*on)
         .agg(F.expr(f"cast(-sum(own_usd) as {money.MONEY}) as fee_line"))
     )
     sales = provider.filter(f"provider_type in ('{sale}', '{refund}')")
-    return sales.drop("provider_fee_usd").join(fees, profile.keys, "left").withColumnRenamed(
+    return sales.drop("provider_fee_usd").join(fees, on, "left").withColumnRenamed(
         "fee_line", "provider_fee_usd"
     )
 
