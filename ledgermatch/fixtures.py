@@ -87,9 +87,11 @@ class Recipe:
         if name == "keyless":
             rows = rows.filter("settled")
         rows = self._engine_rate(rows, name) if priced else rows.selectExpr("*", *_NO_RATE, "'USD' as fx_currency")
+        # no order key is negative: all are sales, but the type stays a column as in a real ledger
         rows = rows.selectExpr(
-            "*", f"{money.valued('amount', 'fx_rate')} as usd", "'' as tag", f"'{P.SALE}' as operation_type"
-        )
+            "*", f"{money.valued('amount', 'fx_rate')} as usd", "'' as tag",
+            f"if(k < 0, '{P.REFUND}', '{P.SALE}') as operation_type",
+        )
         if name == "journal":
             late = rows.filter("settled and k % 29 = 7 and k % 5 <> 0").selectExpr(
                 *[c for c in rows.columns if c not in ("event_at", "operation_type", "tag")],

@@ -6,6 +6,8 @@ from compare import duck, duck_bag, spark_bag
 import __spark_entry__ as contract
 from ledgermatch.fixtures import PROFILES, Recipe
 from ledgermatch.operators import skew
+from ledgermatch.operators.pairing import both_keys
+from ledgermatch.plans import profiles
 
 QUERIES, SQL = contract.queries(), contract.oracle_sql()
 
@@ -36,3 +38,22 @@ def test_spread_route_gives_the_same_pairs(spark, sf_dir, name, hot_rows):
     hot = spread.heavy[name].pair
     assert hot == skew.ALL_ROWS if hot_rows == 2 else 0 < len(hot) < skew.HOT_LIMIT
     assert spark_bag(spread.pairs(name)) == spark_bag(plain.pairs(name))
+
+
+@pytest.mark.parametrize(("name", "sides"), [("id_base", 2), ("id_fx", 2), ("id_own", 2), ("keyless", 3), ("journal", 3)])
+def test_ledgers_are_shuffled_once(spark, sf_dir, name, sides):
+    """One exchange per side; keyless adds its fee lines, the journal its rank on another key."""
+    recipe = Recipe(spark, sf_dir)
+    plan = recipe.pairs(name)._jdf.queryExecution().executedPlan().toString()
+    of_rates = ("hashpartitioning(currency#", "hashpartitioning(rate_date#")
+    exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert len([line for line in exchanges if not any(r in line for r in of_rates)]) == sides
+    assert "BroadcastNestedLoopJoin" not in plan and "CartesianProduct" not in plan
+
+
+def test_search_for_heavy_keys_reads_key_columns_only(spark, sf_dir):
+    recipe = Recipe(spark, sf_dir)
+    sides = profiles._keyed(recipe.engine("id_fx", False), recipe.provider("id_fx", False), recipe.profile("id_fx"))
+    stacked, on = both_keys(*sides, ["pair_key"])
+    plan = stacked.select(*on)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "o_orderdate" not in plan and "o_orderstatus" not in plan
