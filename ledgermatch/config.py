@@ -5,6 +5,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 
+#: rows of one key that a task can rank and pair in seconds
+HOT_ROWS = 200_000
+
+
 @dataclass(frozen=True)
 class Period:
     """Half-open time interval ``[start, end)`` given as ISO text."""
@@ -28,6 +32,6 @@ class MatchConfig:
     #: an engine rate older than this many days before the event is an error
     stale_days: int = 3
     #: a key with at least this many rows leaves the plain window / join route
-    hot_rows: int = 1_000_000
+    hot_rows: int = HOT_ROWS
     #: a dimension is broadcast only when its checked row count stays below this
     broadcast_rows: int = 1_000_000

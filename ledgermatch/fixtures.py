@@ -11,7 +11,7 @@ from functools import cache, cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgermatch.config import MatchConfig, Period
+from ledgermatch.config import HOT_ROWS, MatchConfig, Period
 from ledgermatch.functions import money
 from ledgermatch.operators.asof import RateBook, attach_rate, rate_book
 from ledgermatch.plans import profiles as P
@@ -37,7 +37,7 @@ def _share(sql: str, share: str) -> str:
 
 
 class Recipe:
-    def __init__(self, spark: SparkSession, sf_dir: str, hot_rows: int = 1_000_000):
+    def __init__(self, spark: SparkSession, sf_dir: str, hot_rows: int = HOT_ROWS):
         self.spark = spark
         self.sf_dir = sf_dir
         self.orders = spark.read.parquet(f"{sf_dir}/orders.parquet")

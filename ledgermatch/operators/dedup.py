@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgermatch.config import HOT_ROWS
 from ledgermatch.operators import skew
 
 
@@ -26,7 +27,7 @@ def dup_rank(
     order_by: Sequence[str] = (),
     *,
     hot: skew.Hot | None = None,
-    hot_rows: int = 1_000_000,
+    hot_rows: int = HOT_ROWS,
     name: str = "dup_rank",
 ) -> DataFrame:
     """Number the rows of each key from 1; nothing is dropped.

@@ -14,6 +14,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgermatch.config import HOT_ROWS
 from ledgermatch.operators import skew
 from ledgermatch.operators.dedup import stable_order
 
@@ -47,7 +48,7 @@ def pair_ledgers(
     provider_order: Sequence[str] = (),
     rank: str = "dup_rank",
     hot: skew.Hot | None = None,
-    hot_rows: int = 1_000_000,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Both sides' columns, plus ``rank`` (place among the provider rows of the key),
     ``engine_copies``, ``has_engine`` and ``has_provider``.

@@ -99,13 +99,18 @@ def window_rank(df: DataFrame, keys: Sequence[str], order: str, name: str) -> Da
 
 
 def spread_rank(df: DataFrame, keys: Sequence[str], order: str, name: str) -> DataFrame:
-    """``row_number`` over ``keys`` without ever holding one key in one task.
+    """``row_number`` over ``keys`` without ever holding one key in one task."""
+    return spread_sum(df, keys, order, name, "1").withColumn(name, F.expr(f"int({name})"))
+
+
+def spread_sum(df: DataFrame, keys: Sequence[str], order: str, name: str, weight: str) -> DataFrame:
+    """Running sum of ``weight`` over ``keys`` without ever holding one key in one task.
 
     Rows are range-partitioned by key, order and a frozen row id, so a heavy key spans many
-    partitions. Each partition counts its own rows; the counts of the earlier partitions of the
-    same key are the offset of the local number. The two checkpoints fix the row ids and the
-    partition bounds, so a lost executor cannot move a row between two reads. ``order`` is a list of
-    columns as SQL text.
+    partitions. Each partition sums its own rows; the sums of the earlier partitions of the same
+    key are the offset of the local one. The two checkpoints fix the row ids and the partition
+    bounds, so a lost executor cannot move a row between two reads. ``order`` is a list of columns
+    as SQL text.
     """
     by_key = quoted(keys)
     frozen = checkpoint(df.selectExpr("*", "monotonically_increasing_id() as _row"))
@@ -116,15 +121,14 @@ def spread_rank(df: DataFrame, keys: Sequence[str], order: str, name: str) -> Da
     earlier = f"over (partition by {by_key} order by _part rows between unbounded preceding and 1 preceding)"
     offsets = (
         ranged.groupBy(*keys, "_part")
-        .agg(F.expr("count(*) as n"))
-        .selectExpr(*[f"`{k}`" for k in keys], "_part", f"ifnull(sum(n) {earlier}, 0) as offset")
-    )
-    local = ranged.selectExpr(
-        "*", f"row_number() over (partition by _part, {by_key} order by {order}, _row) as _local"
+        .agg(F.expr(f"sum({weight}) as part_sum"))
+        .selectExpr(*[f"`{k}`" for k in keys], "_part", f"ifnull(sum(part_sum) {earlier}, 0) as offset")
     )
+    upto = f"over (partition by _part, {by_key} order by {order}, _row rows unbounded preceding)"
+    local = ranged.selectExpr("*", f"sum({weight}) {upto} as _local")
     same = " and ".join(["l._part = o._part", *[f"l.`{k}` <=> o.`{k}`" for k in keys]])
     return (
         local.alias("l")
         .join(offsets.alias("o"), F.expr(same))
-        .selectExpr(*[f"l.`{c}`" for c in df.columns], f"int(_local + offset) as {name}")
+        .selectExpr(*[f"l.`{c}`" for c in df.columns], f"_local + offset as {name}")
     )

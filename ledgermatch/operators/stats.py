@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgermatch.config import HOT_ROWS
 from ledgermatch.operators import skew
 
 #: rank accuracy of the estimate that brackets a quantile
@@ -18,15 +19,21 @@ _SMALL = 50_000
 
 
 def quantiles(
-    df: DataFrame, by: Sequence[str], value: str, probs: Mapping[str, float], also: Mapping[str, str] | None = None
+    df: DataFrame,
+    by: Sequence[str],
+    value: str,
+    probs: Mapping[str, float],
+    also: Mapping[str, str] | None = None,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Exact interpolated quantiles of a double column: one row per group, one column per name.
 
     ``also`` adds aggregates over ``v``, the value, as {name: SQL}. The table is read twice. The first
     pass estimates with known rank error and so brackets each exact quantile; its result, a row per
     group, is checkpointed. The second pass counts the rows below a bracket, drops those above it and
-    keeps the few values inside, all before the shuffle. So the window at the end sees a small share
-    of a group, and equal values have been counted together before it.
+    keeps the few values inside, all before the shuffle. So the running count at the end sees a small
+    share of a group, and equal values have been counted together before it. Where even that share
+    may reach ``hot_rows``, it is spread over the tasks.
     """
     by, also = list(by), dict(also or {})
     keys = [f"`{c}`" for c in by] or ["0 as all_rows"]
@@ -55,13 +62,13 @@ def quantiles(
         .agg(F.expr("count(*) as n"))
     )
     points = "array(" + ", ".join(f"{p}D" for p in probs.values()) + ")"
-    placed = near.join(skew.broadcast_if_small(brackets.select(*by, "total")), by).selectExpr(
-        *names,
-        "i",
-        "v",
-        f"(total - 1) * element_at({points}, i + 1) as place",
-        "n",
-        f"sum(n) over (partition by {', '.join(names)}, i order by v nulls first) as upto",
+    largest = brackets.agg(F.max("total")).first()[0] or 0
+    if max(_SMALL, 4 * margin * largest) < hot_rows:
+        counted = near.selectExpr("*", f"sum(n) over (partition by {', '.join(names)}, i order by v) as upto")
+    else:
+        counted = skew.spread_sum(near, [*by, "i"], "v", "upto", "n")
+    placed = counted.join(skew.broadcast_if_small(brackets.select(*by, "total")), by).selectExpr(
+        *names, "i", "v", "n", "upto", f"(total - 1) * element_at({points}, i + 1) as place"
     )
     ends = placed.groupBy(*by, "i", "place").agg(
         F.expr("max(if(floor(place) >= upto - n and floor(place) < upto, v, null)) as low"),

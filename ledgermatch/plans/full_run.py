@@ -19,7 +19,7 @@ from ledgermatch.sources.layouts import read_raw
 from ledgermatch.sources.readers import stack_files
 from ledgermatch.sources.staging import COPY_KEYS, TYPED, staged
 
-#: columns whose values are counted, by raw table
+# The columns whose values are counted, and the keys looked for twice, by raw table.
 VALUE_COLUMNS = {
     "engine_log": ["operation_type", "status", "psp", "sku", "currency", "country"],
     "adyen_accounting": ["Record Type", "Merchant Account", "Gross Currency", "Net Currency", "Batch Number"],

@@ -10,6 +10,7 @@ from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame
 
+from ledgermatch.config import HOT_ROWS
 from ledgermatch.functions import money, times
 from ledgermatch.functions.money import MONEY, PERCENT, RATE, cast
 from ledgermatch.operators.dedup import dup_rank
@@ -199,7 +200,7 @@ COPY_KEYS = {
 }
 
 
-def staged(layout: str, raw: DataFrame, hot_rows: int = 1_000_000) -> DataFrame:
+def staged(layout: str, raw: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """The typed table of a layout with the rank of each copy, where the layout has copies."""
     typed = TYPED[layout](raw)
     if layout not in COPY_KEYS:

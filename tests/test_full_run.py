@@ -8,7 +8,7 @@ from june import June
 
 from ledgermatch import MatchConfig, Period
 from ledgermatch.operators.rules import WINNERS
-from ledgermatch.plans import pipeline
+from ledgermatch.plans import full_run
 
 CONFIG = MatchConfig(Period("2026-06-01", "2026-07-01"), Period("2026-06-01", "2026-07-04"))
 
@@ -22,7 +22,7 @@ def june():
 def result(spark, june, tmp_path_factory):
     folder = tmp_path_factory.mktemp("june")
     files = june.write(folder)
-    return pipeline.run(spark, files, str(folder / "out"), CONFIG, google_account="account_main"), folder
+    return full_run.run(spark, files, str(folder / "out"), CONFIG, google_account="account_main"), folder
 
 
 def test_each_pair_has_its_cause_and_difference(june, result):
