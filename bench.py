@@ -10,6 +10,7 @@ import json
 import os
 import time
 
+from ledgermatch.fixtures import PROFILES
 from ledgermatch.registry import QUERIES, recipe
 from ledgermatch.session import local_session
 
@@ -32,7 +33,7 @@ def main() -> None:
         seconds[name] = round(time.perf_counter() - start, 3)
 
     data = recipe(spark, sf_dir)
-    timed("plan_checks", lambda: (data.book, data.heavy))
+    timed("plan_checks", lambda: (data.book, data.heavy(*PROFILES)))
     for name in HEADLINE:
         timed(name, lambda: QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save())
     print(

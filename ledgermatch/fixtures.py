@@ -42,6 +42,7 @@ class Recipe:
         self.sf_dir = sf_dir
         self.orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
         self.config = MatchConfig(PERIOD, EXPORT_WINDOW, hot_rows=hot_rows)
+        self._heavy: dict[str, P.Heavy] = {}
 
     @cached_property
     def rates(self) -> DataFrame:
@@ -242,15 +243,22 @@ class Recipe:
 
     # results ---------------------------------------------------------------------------------
 
-    @cached_property
-    def heavy(self) -> dict[str, P.Heavy]:
-        bare = {n: (self.engine(n, False), self.provider(n, False), self.profile(n)) for n in PROFILES}
-        return P.heavy_keys(bare, self.config)
+    def heavy(self, *names: str) -> dict[str, P.Heavy]:
+        """Heavy keys of the profiles; those not looked for before are looked for in one job."""
+        missing = [n for n in names if n not in self._heavy]
+        if missing:
+            bare = {n: (self.engine(n, False), self.provider(n, False), self.profile(n)) for n in missing}
+            self._heavy.update(P.heavy_keys(bare, self.config))
+        return {n: self._heavy[n] for n in names}
 
     @cache
     def pairs(self, name: str) -> DataFrame:
         sides = self.engine(name), self.provider(name), self.profile(name)
-        return P.match(*sides, self.config, self.book, self.heavy[name])
+        return P.match(*sides, self.config, self.book, self.heavy(name)[name])
+
+    def all_pairs(self) -> dict[str, DataFrame]:
+        self.heavy(*PROFILES)
+        return {n: self.pairs(n) for n in PROFILES}
 
     def engine_all(self) -> DataFrame:
         return reduce(DataFrame.unionByName, [self.engine(n) for n in PROFILES])

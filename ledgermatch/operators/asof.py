@@ -58,7 +58,8 @@ def rate_book(
         f"`{rate}` as known_rate",
     )
     small = extent.currencies * days <= broadcast_rows
-    return RateBook(daily.persist() if small else daily, extent.last, small)
+    # a small table is kept: every ledger looks its rates up here, and a few partitions hold it
+    return RateBook(daily.coalesce(8).persist() if small else daily, extent.last, small)
 
 
 def attach_rate(

@@ -133,7 +133,7 @@ QUERIES.update({f"pairs_{name}": _pairs_query(name) for name in PROFILES})
 
 
 def _all_pairs(r: Recipe) -> DataFrame:
-    return marts.all_pairs(r.pairs(name) for name in PROFILES)
+    return marts.all_pairs(r.all_pairs().values())
 
 
 def _restated(r: Recipe) -> DataFrame:
@@ -361,7 +361,7 @@ def dq_unique(r: Recipe) -> DataFrame:
 
 @query
 def dq_fanout(r: Recipe) -> DataFrame:
-    parts = [quality.fanned_out(r.pairs(name)).selectExpr(f"'{name}' as psp", "txn_id", "n") for name in PROFILES]
+    parts = [quality.fanned_out(pairs).selectExpr(f"'{name}' as psp", "txn_id", "n") for name, pairs in r.all_pairs().items()]
     return reduce(DataFrame.unionByName, parts)
 
 

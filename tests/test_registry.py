@@ -35,7 +35,7 @@ def test_entry_runs(spark):
 def test_spread_route_gives_the_same_pairs(spark, sf_dir, name, hot_rows):
     """Every key, or every copied key, is taken for heavy, and nothing else may change."""
     plain, spread = Recipe(spark, sf_dir), Recipe(spark, sf_dir, hot_rows=hot_rows)
-    hot = spread.heavy[name].pair
+    hot = spread.heavy(name)[name].pair
     assert hot == skew.ALL_ROWS if hot_rows == 2 else 0 < len(hot) < skew.HOT_LIMIT
     assert spark_bag(spread.pairs(name)) == spark_bag(plain.pairs(name))
 
