@@ -102,3 +102,9 @@ def test_exports_have_a_header(spark, result):
     run, folder = result
     back = spark.read.option("header", True).csv(str(folder / "out" / "csv" / "marts" / "totals"))
     assert back.columns == run.marts["totals"].columns and back.count() == 6
+
+
+def test_a_provider_reads_its_own_part_of_the_ledger(result):
+    ledger = result[0].raw["engine_log"].filter("psp = 'adyen'")
+    plan = ledger._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(psp" in plan
