@@ -24,7 +24,8 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     model = langid.train(docs)
     if not model.languages:
         return docs.filter(langid.has_letter("text"))
-    return langid.identify(docs, model).filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    rows = langid.identify(docs.select(F.struct("*").alias("_row"), "text"), model)
+    return rows.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select("_row.*")
 
 
 def keep_one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,19 +37,21 @@ def keep_one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a passage of the benchmark go."""
-    found = decontam.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.filter(F.size("leak_items") == 0).select(*docs.columns)
+    found = decontam.leaks(docs.select(F.struct("*").alias("_row"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.filter(F.size("leak_items") == 0).select("_row.*")
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is replaced by its kind in brackets; ``n_chars`` follows the text. Null texts stay null."""
     found = pii.find(docs).filter(F.size("found") > 0).select(F.col("doc_id").alias("_id"), "_key", "found").dropDuplicates(["_id", "_key"])
-    same = docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("_key"))
-    text = F.when(F.col("found").isNull(), F.col("text")).otherwise(S.redact(F.col("text"), F.col("found")))
-    out = docs.join(found, same, "left").withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("found").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("_row"))
+    row = lambda c: F.col("_row").getField(c)
+    same = row("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(row("text"), F.lit(""))) == F.col("_key"))
+    clean = F.when(F.col("found").isNull(), row("text")).otherwise(S.redact(row("text"), F.col("found")))
+    out = rows.join(found, same, "left").select("_row", "found", clean.alias("_clean"))
+    size = F.when(F.col("found").isNull(), row("n_chars")).otherwise(F.length("_clean")) if "n_chars" in docs.columns else None
+    changed = {"text": F.col("_clean"), "n_chars": size}
+    return out.select(*[changed.get(f.name, row(f.name)).cast(f.dataType).alias(f.name) for f in docs.schema])
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgermatch.llm.common import map_text, materialize
+from ledgermatch.llm.common import map_text, materialize, packed, unpacked
 
 #: Characters of a chunk, and of the stretch it shares with the next chunk.
 CHUNK, OVERLAP = 32_768, 1_024
@@ -96,13 +96,13 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", chu
     """
     docs = docs.drop("ids")
     ids = [T.StructField("ids", T.ArrayType(T.IntegerType()))]
-    long = F.coalesce(F.length(text_col), F.lit(0)) > chunk
-    copy = docs.filter(~long).withColumn("_text", F.col(text_col))
-    short = map_text(copy, "_text", _whole(path, pattern), ids)
-    wide = docs.filter(long).select(F.struct(*docs.columns).alias("_row")).withColumn("_key", F.sha2(F.to_json("_row"), 256))
-    wide = wide.groupBy("_key").agg(F.first("_row").alias("_row"), F.count(F.lit(1)).alias("_n"))
+    rows = packed(docs, text_col)
+    long = F.coalesce(F.length("_text"), F.lit(0)) > chunk
+    short = map_text(rows.filter(~long), "_text", _whole(path, pattern), ids, drop_text=False)
+    wide = rows.filter(long).withColumn("_key", F.sha2(F.to_json(F.struct("_row", "_text")), 256))
+    wide = wide.groupBy("_key").agg(F.first("_row").alias("_row"), F.first("_text").alias("_text"), F.count(F.lit(1)).alias("_n"))
     wide = materialize(wide, "bpe-long")
-    body = F.col(f"_row.{text_col}")
+    body = F.col("_text")
     last = F.greatest(F.length("_body") - 1 - OVERLAP, F.lit(0))
     starts = wide.select("_key", body.alias("_body")).withColumn("at", F.explode(F.sequence(F.lit(0), last, F.lit(chunk))))
     chunks = starts.select("_key", "at", F.substr("_body", F.col("at") + 1, F.lit(chunk + OVERLAP)).alias("chunk")).repartition("_key", "at")
@@ -122,7 +122,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", chu
     coded = coded.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("start", "ids"))).alias("_all"))
     coded = coded.select("_key", F.flatten(F.col("_all.ids")).alias("ids"))
     rejoined = wide.join(coded, "_key").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))))
-    return short.unionByName(rejoined.select("_row.*", "ids"))
+    return unpacked(short.unionByName(rejoined.select("_row", "_text", "ids")), docs.columns, text_col, ["ids"])
 
 
 def with_digests(coded: DataFrame, path: str, keep: list[str]) -> DataFrame:

@@ -88,6 +88,23 @@ def map_text(df: DataFrame, text: str, work: Callable[[], Callable[[pa.Array], l
     return df.mapInArrow(run, schema)
 
 
+def packed(docs: DataFrame, text: str) -> DataFrame:
+    """``docs`` as ``(_row, _text)``, so that no column of its own can clash with one that an operator adds."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text]
+    return docs.select(F.struct(*others, F.lit(0).alias("_")).alias("_row"), F.col(f"`{text}`").alias("_text"))
+
+
+def unpacked(rows: DataFrame, columns: list[str], text: str, more: list) -> DataFrame:
+    """The columns of a packed table again, in their order, and more."""
+    return rows.select(*[(F.col("_text") if c == text else F.col("_row").getField(c)).alias(c) for c in columns], *more)
+
+
+def add_columns(docs: DataFrame, text: str, work: Callable, fields: list[T.StructField]) -> DataFrame:
+    """``map_text`` that keeps all columns of ``docs``; columns of a result's name are replaced."""
+    docs = docs.drop(*[f.name for f in fields])
+    return unpacked(map_text(packed(docs, text), "_text", work, fields, drop_text=False), docs.columns, text, [f.name for f in fields])
+
+
 def _arrow(kind: T.DataType) -> pa.DataType:
     if isinstance(kind, T.ArrayType):
         return pa.list_(_arrow(kind.elementType))

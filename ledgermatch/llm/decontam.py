@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgermatch.llm.common import map_text, text_bytes
+from ledgermatch.llm.common import map_text, packed, text_bytes, unpacked
 from ledgermatch.llm.words import SEPARATOR, mixed, spans_rows, split_words
 
 #: Positions of eight words that each mask looks at. Fixed together with the two below: any two substitutions in 13 words
@@ -25,7 +25,9 @@ _ALNUM[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
 
 def _tokens(column):
     """Words of lower-case texts without ASCII punctuation."""
-    raw, at = text_bytes(column)
+    import pyarrow.compute as pc
+
+    raw, at = text_bytes(pc.utf8_lower(column))
     w = split_words(raw, at, _ALNUM)
     return w, w.hashes()
 
@@ -123,17 +125,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
     reported; repeated rows get the same result. Other columns are kept; a column of a result's name is replaced.
     """
     docs = docs.drop("leak_items", "leak_words")
-    items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.lower(item_text).alias("t")).dropna()
+    items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text).alias("t")).dropna()
     size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     blocks = int(size // BLOCK_BYTES) + 1
-    out = docs.withColumn("_lower", F.lower(text_col))
-    found = []
+    out = packed(docs, text_col)
     for b in range(blocks):
         part = [tuple(r) for r in items.filter(F.pmod(F.xxhash64("t"), F.lit(blocks)) == b).collect()]
-        fields = [T.StructField(f"_{n}{b}", T.ArrayType(T.LongType())) for n in ("items", "words")]
-        out = map_text(out, "_lower", _search(part), fields, drop_text=False)
-        found.append(b)
-    together = lambda n: F.flatten(F.array(*[F.col(f"_{n}{b}") for b in found]))
-    order = F.array_sort(F.arrays_zip(together("items").alias("item"), together("words").alias("words")))
-    out = out.withColumn("_found", order)
-    return out.select(*docs.columns, F.col("_found.item").alias("leak_items"), F.col("_found.words").alias("leak_words"))
+        fields = [T.StructField(f"{n}{b}", T.ArrayType(T.LongType())) for n in ("items", "words")]
+        out = map_text(out, "_text", _search(part), fields, drop_text=False)
+    together = lambda n: F.flatten(F.array(*[F.col(f"{n}{b}") for b in range(blocks)]))
+    found = F.array_sort(F.arrays_zip(together("items").alias("item"), together("words").alias("words")))
+    out = out.select("_row", "_text", found.alias("found"))
+    return unpacked(out, docs.columns, text_col, [F.col("found.item").alias("leak_items"), F.col("found.words").alias("leak_words")])

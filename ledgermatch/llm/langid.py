@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgermatch.llm.common import bounded_sample, map_text, materialize
+from ledgermatch.llm.common import add_columns, bounded_sample, map_text, materialize
 
 #: Label of a text without letters.
 UNKNOWN = "und"
@@ -53,8 +53,8 @@ def letters() -> np.ndarray:
 
 
 def counts(text: str | None, s: Settings) -> np.ndarray | None:
-    """Hashed counts of character n-grams of a lower-case text, non-letters joined to one blank; null if it has no letter."""
-    points = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), np.uint32)
+    """Hashed counts of character n-grams of a text in lower case, non-letters joined to one blank; null if it has no letter."""
+    points = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
     letter = letters()[points]
     if not letter.any():
         return None
@@ -104,7 +104,7 @@ def _frequencies(rows: DataFrame, s: Settings) -> tuple[np.ndarray, int]:
         yield pa.RecordBatch.from_arrays([pa.array(where), pa.array(df[where])], names=["bucket", "n"])
 
     out = np.zeros(s.buckets + 1, np.int64)
-    for r in rows.select("_lower").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+    for r in rows.select("_text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
         out[r["bucket"]] = r["n"]
     return out[:-1], int(out[-1])
 
@@ -130,7 +130,7 @@ def _round(train: DataFrame, state: tuple[np.ndarray, np.ndarray], idf: np.ndarr
                 n[:, at] = more
         yield pa.RecordBatch.from_arrays([pa.array([z.tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary())], names=["z", "n"])
 
-    got = train.select("_lower", "_lang").mapInArrow(run, "z binary, n binary").collect()
+    got = train.select("_text", "_lang").mapInArrow(run, "z binary, n binary").collect()
     return tuple(np.mean([np.frombuffer(r[i]).reshape(shape) for r in got], axis=0) for i in (0, 1))
 
 
@@ -148,7 +148,7 @@ def _temperature(logits: np.ndarray, truth: np.ndarray) -> float:
 
 def train(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", s: Settings = Settings()) -> Model:  # noqa: B008
     """Fit on ``rows`` with a non-null language. Without any such row the model knows no language."""
-    rows = rows.select(F.col(id_col).cast("string").alias("_id"), F.lower(text_col).alias("_lower"), F.col(lang_col).alias("_lang")).filter("_lang is not null")
+    rows = rows.select(F.col(id_col).cast("string").alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang")).filter("_lang is not null")
     languages = sorted(r[0] for r in rows.select("_lang").distinct().limit(s.languages + 1).collect())
     if len(languages) > s.languages:
         raise ValueError(f"more than {s.languages} languages; raise Settings.languages if a model of that width fits the driver")
@@ -159,12 +159,12 @@ def train(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     temperature = 1.0
     if total:
         sample = bounded_sample(rows, "_lang", s.rows, "_id").withColumn("_part", F.pmod(F.xxhash64("_id", F.lit("part")), F.lit(5)))
-        sample = materialize(sample.select("_lower", "_lang", "_part", F.xxhash64("_id", "_lower").alias("_order")), "langid-sample")
+        sample = materialize(sample.select("_text", "_lang", "_part", F.xxhash64("_id", "_text").alias("_order")), "langid-sample")
         shards = sample.filter("_part > 0").repartition(s.shards, "_order").sortWithinPartitions("_order")
         for _ in range(s.rounds):
             z, n = _round(shards, (z, n), idf, languages, s)
         model = Model(languages, _solve(z, n, s), idf, 1.0, s)
-        held = map_text(sample.filter("_part = 0"), "_lower", _scores(model, True), [T.StructField("logits", T.ArrayType(T.DoubleType()))])
+        held = map_text(sample.filter("_part = 0"), "_text", _scores(model, True), [T.StructField("logits", T.ArrayType(T.DoubleType()))])
         held = held.filter("logits is not null").select("_lang", "logits").collect()
         temperature = _temperature(np.array([r["logits"] for r in held]), np.array([languages.index(r["_lang"]) for r in held], int))
     return Model(languages, _solve(z, n, s), idf, temperature, s)
@@ -201,9 +201,8 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     language. The text alone decides: repeated rows get equal results, null ids do no harm. Other columns are kept; columns of
     a result's name are replaced.
     """
-    docs = docs.drop("lang_pred", "score")
     fields = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
-    return map_text(docs.withColumn("_lower", F.lower(text_col)), "_lower", _scores(model), fields)
+    return add_columns(docs, text_col, _scores(model), fields)
 
 
 def has_letter(text_col: str) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgermatch.llm.common import bounded_sample, map_text, materialize
+from ledgermatch.llm.common import bounded_sample, map_text, materialize, packed, unpacked
 from ledgermatch.llm.langid import letters
 
 #: Words on either side of a term that are searched for quotation marks.
@@ -118,7 +118,7 @@ def _features(terms: list[str], strength: np.ndarray, s: Settings):
         auto = Automaton(terms, s.fuzzy_from) if terms else None
 
         def make(column):
-            texts = [x or "" for x in column.to_pylist()]
+            texts = [(x or "").lower() for x in column.to_pylist()]
             out = np.zeros((len(texts), len(FEATURES)))
             if auto is None:
                 return [list(out)]
@@ -171,20 +171,20 @@ def train(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
 
     Labels other than 0 and 1 are left out. Without both labels there is no lexicon and every score is the share of label 1.
     """
-    rows = rows.select(F.col(id_col).cast("string").alias("_id"), F.lower(text_col).alias("_lower"), F.col(label_col).cast("int").alias("_label")).filter("_label in (0, 1)")
+    rows = rows.select(F.col(id_col).cast("string").alias("_id"), F.col(text_col).alias("_text"), F.col(label_col).cast("int").alias("_label")).filter("_label in (0, 1)")
     sample = materialize(bounded_sample(rows, "_label", s.rows, "_id"), "toxicity-sample")
     totals = {r["_label"]: r["count"] for r in sample.groupBy("_label").count().collect()}
     bad, good = totals.get(1, 0), totals.get(0, 0)
     if not bad or not good:
         rate = (bad + 0.5) / (bad + good + 1)
         return Model([], np.zeros(0), np.array([0.0] * len(FEATURES) + [np.log(rate / (1 - rate)) if bad + good else 0.0]), s)
-    word = F.explode(F.array_distinct(F.split("_lower", r"[^\p{L}]+"))).alias("word")
+    word = F.explode(F.array_distinct(F.split(F.lower("_text"), r"[^\p{L}]+"))).alias("word")
     heard = sample.select("_label", word).filter(F.length("word").between(s.shortest, 24)).groupBy("word").agg(F.sum("_label").alias("bad"), F.sum(1 - F.col("_label")).alias("good"))
     odds = (F.col("bad") + 0.5) / (bad + 1) * (good + 1) / (F.col("good") + 0.5)
     heard = heard.withColumn("odds", odds).filter((F.col("bad") >= max(2, s.least_share * bad)) & (F.col("odds") >= s.least_odds))
     chosen = heard.orderBy(F.desc(F.col("bad") * F.log("odds")), "word").limit(s.terms).collect()
     terms, strength = [r["word"] for r in chosen], np.log([r["odds"] for r in chosen]) if chosen else np.zeros(0)
-    seen = map_text(sample.select("_lower", "_label"), "_lower", _features(terms, strength, s), [T.StructField("x", T.ArrayType(T.DoubleType()))]).collect()
+    seen = map_text(sample.select("_text", "_label"), "_text", _features(terms, strength, s), [T.StructField("x", T.ArrayType(T.DoubleType()))]).collect()
     x, y = np.array([r["x"] for r in seen]), np.array([r["_label"] for r in seen], float)
     # the sample keeps all of the rarer label: weigh the constant back to the labels' share
     share = {r["_label"]: r["count"] for r in rows.groupBy("_label").count().collect()}
@@ -201,9 +201,10 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """
     docs = docs.drop("score", "predicted", *FEATURES)
     fields = [T.StructField("_x", T.ArrayType(T.DoubleType()))]
-    out = map_text(docs.withColumn("_lower", F.lower(text_col)), "_lower", _features(model.terms, model.strength, model.settings), fields)
+    out = map_text(packed(docs, text_col), "_text", _features(model.terms, model.strength, model.settings), fields, drop_text=False)
     linear = F.lit(float(model.weights[-1]))
     for i, w in enumerate(model.weights[:-1]):
         linear += F.col("_x")[i] * float(w)
-    out = out.withColumn("score", 1 / (1 + F.exp(-linear))).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
-    return out.select("*", *[F.col("_x")[i].alias(c) for i, c in enumerate(FEATURES)]).drop("_x")
+    score = (1 / (1 + F.exp(-linear))).alias("score")
+    features = [F.col("_x")[i].alias(c) for i, c in enumerate(FEATURES)]
+    return unpacked(out, docs.columns, text_col, [score, (linear >= 0).cast("int").alias("predicted"), *features])
