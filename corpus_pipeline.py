@@ -12,7 +12,7 @@ from ledgermatch.llm.common import materialize
 from ledgermatch.llm.queries import RANKS
 
 #: A document stays if its language is known with at least this calibrated probability.
-LEAST_SCORE = 0.5
+LEAST_SCORE = 0.3
 
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
