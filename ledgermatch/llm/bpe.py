@@ -143,4 +143,4 @@ def with_digests(coded: DataFrame, path: str, keep: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*kept, pa.array(n, pa.int64()), pa.array(coded, pa.string()), pa.array(plain, pa.string())], names=[*keep, *names])
 
     schema = T.StructType([coded.schema[c] for c in keep] + [T.StructField(c, T.LongType() if c == "n_tokens" else T.StringType()) for c in names])
-    return coded.select(*keep, "ids").mapInArrow(run, schema)
+    return coded.select(*dict.fromkeys([*keep, "ids"])).mapInArrow(run, schema)
