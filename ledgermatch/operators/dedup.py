@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,10 +14,12 @@ from ledgermatch.operators import skew
 def stable_order(df: DataFrame, keys: Sequence[str], order_by: Sequence[str]) -> str:
     """SQL order: the given columns, then every other one, so that only identical rows can tie.
 
-    Plain columns on purpose: an expression would be computed before the shuffle and travel with the rows.
+    Better plain columns: an expression, which is what holds a bracket, is computed before the shuffle and travels
+    with the rows.
     """
     rest = [c for c in df.columns if c not in order_by and c not in keys]
-    return skew.quoted([*order_by, *rest]) or "1"
+    given = [c if "(" in c else skew.quoted([c]) for c in order_by]
+    return ", ".join([*given, *([skew.quoted(rest)] if rest else [])]) or "1"
 
 
 def dup_rank(
@@ -38,12 +39,8 @@ def dup_rank(
         hot = skew.hot_keys({name: (df, keys)}, hot_rows)[name]
     order = stable_order(df, keys, order_by)
     plain, heavy = skew.split_hot(df, keys, hot)
-    ranked = []
-    if plain is not None:
-        ranked.append(skew.window_rank(plain, keys, order, name))
-    if heavy is not None:
-        ranked.append(skew.spread_rank(heavy, keys, order, name))
-    return reduce(DataFrame.unionByName, ranked)
+    ranked = skew.window_rank(plain, keys, order, name)
+    return ranked if heavy is None else ranked.unionByName(skew.spread_rank(heavy, keys, order, name))
 
 
 def first_rate(

@@ -9,7 +9,6 @@ one in place of all with all.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -63,12 +62,10 @@ def pair_ledgers(
     p_order = stable_order(provider, on, provider_order)
     e_plain, e_heavy = skew.split_hot(engine, on, hot)
     p_plain, p_heavy = skew.split_hot(provider, on, hot)
-    parts = []
-    if e_plain is not None:
-        parts.append(_pair_in_place(e_plain, p_plain, on, e_order, p_order, rank))
-    if e_heavy is not None:
-        parts.append(_pair_spread(e_heavy, p_heavy, on, e_order, p_order, rank, bounded=hot != skew.ALL_ROWS))
-    return reduce(DataFrame.unionByName, parts)
+    paired = _pair_in_place(e_plain, p_plain, on, e_order, p_order, rank)
+    if e_heavy is None:
+        return paired
+    return paired.unionByName(_pair_spread(e_heavy, p_heavy, on, e_order, p_order, rank, bounded=hot.few))
 
 
 def both_keys(engine: DataFrame, provider: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:

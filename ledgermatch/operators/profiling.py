@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgermatch.functions.text import literal
+
 
 def count_values(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """(column_name, value, n): every value of the columns as text, nulls included."""
@@ -21,36 +23,48 @@ def count_values(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     return long.groupBy("column_name", "value").agg(F.expr("count(*) as n"))
 
 
-def column_stats(tables: Mapping[str, DataFrame], rsd: float = 0.05) -> DataFrame:
-    """Rows, exact and estimated distinct values and nulls of every column of the tables."""
+def in_one_pass(df: DataFrame, **measures: str) -> DataFrame:
+    """A row per column with aggregates over it, ``{c}`` in their SQL; nothing but sums is shuffled."""
+    rows = ", ".join(
+        f"struct({literal(c)} as column_name, " + ", ".join(f"{sql.format(c=f'`{c}`')} as {name}" for name, sql in measures.items()) + ")"
+        for c in df.columns
+    )
+    return df.agg(F.expr(f"array({rows}) as measured")).selectExpr("inline(measured)")
+
+
+def column_stats(tables: Mapping[str, DataFrame], rsd: float = 0.05, exact: bool = True) -> DataFrame:
+    """Rows, exact and estimated distinct values and nulls of every column of the tables.
+
+    The estimate comes from the pass that counts rows. The exact count shuffles every distinct cell and can be left out.
+    """
     parts = []
     for name, df in tables.items():
-        stats = count_values(df).groupBy("column_name").agg(
-            F.expr("sum(n) as rows"),
-            F.expr("count(value) as distinct_exact"),
-            F.expr(f"approx_count_distinct(value, {rsd}) as distinct_approx"),
-            F.expr("sum(if(value is null, n, 0)) as nulls"),
+        stats = in_one_pass(
+            df, rows="count(*)", distinct_approx=f"approx_count_distinct({{c}}, {rsd})", nulls="count_if({c} is null)"
         )
-        parts.append(stats.selectExpr(f"'{name}' as table_name", "*"))
+        if exact:
+            counted = count_values(df).groupBy("column_name").agg(F.expr("count(value) as distinct_exact"))
+            stats = stats.join(counted, "column_name")
+        parts.append(stats.selectExpr(f"{literal(name)} as table_name", "*"))
     return reduce(DataFrame.unionByName, parts).orderBy("table_name", "column_name")
 
 
 def value_counts(spec: Mapping[str, tuple[DataFrame, Sequence[str]]]) -> DataFrame:
     """Frequency of each value of the chosen columns; one pass per table."""
     parts = [
-        count_values(df, columns).selectExpr(f"'{name}' as table_name", "column_name as field", "value", "n")
+        count_values(df, columns).selectExpr(f"{literal(name)} as table_name", "column_name as field", "value", "n")
         for name, (df, columns) in spec.items()
     ]
     return reduce(DataFrame.unionByName, parts).orderBy("table_name", "field", F.desc("n"))
 
 
 def repeated_keys(spec: Mapping[str, tuple[DataFrame, Sequence[str]]]) -> DataFrame:
-    """Keys that occur more than once, the parts of a composite key joined by a blank."""
+    """Keys that occur more than once. Keys are counted by their columns; ``key`` shows the parts joined by a blank."""
     parts = []
     for name, (df, keys) in spec.items():
         key = " || ' ' || ".join(f"cast(`{k}` as string)" for k in keys)
-        counted = df.groupBy(F.expr(f"{key} as key")).agg(F.expr("count(*) as n")).filter("n > 1")
-        parts.append(counted.selectExpr(f"'{name}' as table_name", "key", "n"))
+        counted = df.groupBy(*keys).agg(F.expr("count(*) as n")).filter("n > 1")
+        parts.append(counted.selectExpr(f"{literal(name)} as table_name", f"{key} as key", "n"))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -63,14 +77,17 @@ def describe_columns(df: DataFrame, max_unique: int = 20) -> DataFrame:
     """Type, nulls, distinct values, and either all value counts or three sample values per column.
 
     ``top_values`` lists a column's values only when there are at most ``max_unique``, so a list
-    is never longer than that; the others show smallest, largest and one more value.
+    is never longer than that; the others show smallest, largest and one more value. Smallest and largest
+    are those of the column's type, not of its text.
     """
+    ends = in_one_pass(df, smallest="cast(min({c}) as string)", largest="cast(max({c}) as string)")
     counted = count_values(df)
     stats = counted.groupBy("column_name").agg(
         F.expr("sum(if(value is null, n, 0)) as nulls"),
         F.expr("count(value) as distinct_values"),
-        F.expr("array(min(value), max(value), min_by(value, xxhash64(value))) as samples"),
+        F.expr("min_by(value, xxhash64(value)) as other"),
     )
+    stats = stats.join(ends, "column_name").selectExpr("*", "array(smallest, largest, other) as samples")
     few = stats.filter(f"distinct_values <= {max_unique}").select("column_name")
     # one row per column of the table
     listed = (
@@ -79,7 +96,7 @@ def describe_columns(df: DataFrame, max_unique: int = 20) -> DataFrame:
         .agg(F.expr("sort_array(collect_list(struct(-n as negated, value, n))) as ranked"))
         .selectExpr("column_name", "transform(ranked, r -> struct(r.value as value, r.n as n)) as top_values")
     )
-    kinds = " ".join(f"when '{name}' then '{kind}'" for name, kind in df.dtypes)
+    kinds = " ".join(f"when {literal(name)} then '{kind}'" for name, kind in df.dtypes)
     return stats.join(listed, "column_name", "left").selectExpr(
         "column_name",
         f"case column_name {kinds} end as data_type",

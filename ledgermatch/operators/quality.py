@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgermatch.functions.text import literal
 from ledgermatch.config import Period
 from ledgermatch.operators.rules import MATCHED_CAUSES, SETTLED, text_list
 
@@ -51,7 +52,7 @@ def column_checks(df: DataFrame, table: str, rules: Mapping[str, Column]) -> Dat
             only = f" and ({rule.where})" if rule.where else ""
             counted.append((name, "not_null", f"`{name}` is null{only}"))
         if rule.accepted is not None:
-            closed = ", ".join(f"'{v}'" if isinstance(v, str) else str(v) for v in rule.accepted)
+            closed = ", ".join(literal(v) for v in rule.accepted)
             counted.append((name, "accepted_values", f"`{name}` not in ({closed})"))
     totals = df.agg(*[F.expr(f"count_if({fails}) as f{i}") for i, (_, _, fails) in enumerate(counted)])
     rows = ", ".join(f"struct('{name}' as column_name, '{kind}' as check, f{i} as failures)"
@@ -65,7 +66,7 @@ def not_unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def matched_with_difference(pairs: DataFrame) -> DataFrame:
-    return pairs.filter(f"cause in ({text_list(MATCHED_CAUSES)}) and diff_usd <> 0")
+    return pairs.filter(f"cause in ({text_list(MATCHED_CAUSES)}) and not (diff_usd <=> 0)")
 
 
 def fanned_out(pairs: DataFrame) -> DataFrame:
@@ -80,7 +81,7 @@ def outside_window(df: DataFrame, at: str, window: Period) -> DataFrame:
 def net_differs(df: DataFrame, gross: str, fees: Sequence[str], net: str) -> DataFrame:
     """Rows whose net is not gross less fees; the difference is in ``gap``."""
     gap = " - ".join([gross, *fees, net])
-    return df.selectExpr("*", f"{gap} as gap").filter("gap <> 0")
+    return df.selectExpr("*", f"{gap} as gap").filter("not (gap <=> 0)")
 
 
 def not_one_side(df: DataFrame, debit: str, credit: str) -> DataFrame:
@@ -121,18 +122,18 @@ def sales_without_one_fee_line(rows: DataFrame, keys: Sequence[str], kind: str,
 
 def times_differ(provider: DataFrame, engine: DataFrame) -> DataFrame:
     """Settled engine rows whose provider row of the same id has another time than the capture."""
-    settled = engine.filter(f"status = '{SETTLED}'").select("psp_reference", "captured_at_utc")
+    settled = engine.filter(f"status = '{SETTLED}'").select("psp_reference", "captured_at_utc").distinct()
     same = provider.join(settled, F.expr("provider_ref = psp_reference"))
     return same.filter("provider_at <> captured_at_utc").select("provider_ref", "provider_at", "captured_at_utc")
 
 
 def residual_left(totals: DataFrame) -> DataFrame:
-    return totals.filter("residual <> 0")
+    return totals.filter("not (residual <=> 0)")
 
 
 def shares_off(summary: DataFrame, tolerance: str = "0.05") -> DataFrame:
     """One row when the shares do not add up to 100."""
-    return summary.agg(F.expr("sum(share_pct) as total_share")).filter(f"abs(total_share - 100) > {tolerance}")
+    return summary.agg(F.expr("sum(share_pct) as total_share")).filter(f"not ifnull(abs(total_share - 100) <= {tolerance}, false)")
 
 
 def restatement_breaks(restated: DataFrame, revenue: DataFrame) -> DataFrame:
@@ -147,14 +148,15 @@ def restatement_breaks(restated: DataFrame, revenue: DataFrame) -> DataFrame:
     )
     joined = revenue.filter("psp <> 'total'").join(engine_right, "psp", "left")
     return joined.filter(
-        "corrected_usd <> engine_usd + correction_usd or corrected_minus_provider <> ifnull(engine_right_gap, 0)"
+        "not (corrected_usd <=> engine_usd + correction_usd) or not (corrected_minus_provider <=> ifnull(engine_right_gap, 0))"
     )
 
 
 def revenue_breaks(totals: DataFrame, revenue: DataFrame) -> DataFrame:
     """Providers whose totals differ from revenue computed without any pairing."""
     other = revenue.withColumnsRenamed({"engine_usd": "ledger_engine_usd", "provider_usd": "ledger_provider_usd"})
-    joined = totals.filter("psp <> 'total'").join(other, "psp", "left")
-    return joined.filter("engine_usd <> ledger_engine_usd or provider_usd <> ledger_provider_usd").select(
+    joined = totals.filter("psp <> 'total'").join(other, "psp", "full")
+    differ = "not (engine_usd <=> ledger_engine_usd) or not (provider_usd <=> ledger_provider_usd)"
+    return joined.filter(differ).select(
         "psp", "engine_usd", "ledger_engine_usd", "provider_usd", "ledger_provider_usd"
     )

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ledgermatch.config import MatchConfig
 from ledgermatch.functions import times
+from ledgermatch.functions.text import literal
 
 SETTLED, DECLINED = "settled", "declined"
 ENGINE, PROVIDER = "engine", "provider"
@@ -47,10 +48,15 @@ class CauseRules:
     compare_money: bool = True
 
 
+#: money without a rate; its own cause, which no rule table knows, so the pair is unexplained and not lost
+MISSING_RATE = "missing_rate"
+UNPRICED = "(provider_usd is null or engine_usd is null)"
+
+
 def classify(pairs: DataFrame, rules: CauseRules, config: MatchConfig) -> DataFrame:
     """Adds ``cause`` to paired rows."""
     branches = " ".join(f"when {_CONDITIONS[name](rules, config)} then '{name}'" for name in rules.order)
-    return pairs.selectExpr("*", f"case {branches} else '{rules.fallback}' end as cause")
+    return pairs.selectExpr("*", f"case when {UNPRICED} then '{MISSING_RATE}' {branches} else '{rules.fallback}' end as cause")
 
 
 #: a provider row beyond the engine rows of its key; its engine money is already counted
@@ -58,7 +64,7 @@ SURPLUS_COPY = "dup_rank > greatest(engine_copies, 1)"
 
 
 def text_list(values: Sequence[str]) -> str:
-    return ", ".join(f"'{v}'" for v in values)
+    return ", ".join(literal(v) for v in values)
 
 
 def cause_bucket(known: Sequence[str] = tuple(WINNERS)) -> str:
@@ -70,7 +76,7 @@ def cause_bucket(known: Sequence[str] = tuple(WINNERS)) -> str:
 
 
 def winner_table(spark: SparkSession, winners: Mapping[str, str] = WINNERS) -> DataFrame:
-    rows = ", ".join(f"('{cause}', '{side}')" for cause, side in winners.items())
+    rows = ", ".join(f"({literal(cause)}, {literal(side)})" for cause, side in winners.items())
     return spark.sql(f"select * from values {rows} as rules(cause, corrected_from)")
 
 

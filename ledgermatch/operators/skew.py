@@ -8,8 +8,8 @@ through ``spread_rank``, all others through the plain window, and both routes ar
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,11 +17,28 @@ from pyspark.sql import functions as F
 
 #: a heavy key shows up about this often among the rows looked at
 _SEEN = 10_000
-#: most heavy keys of a ledger taken to the driver; reaching it sends the whole ledger the spread route
-HOT_LIMIT = 1_000
+#: a list of heavy keys is broadcast only up to this length, which has been counted
+_FEW = 100_000
 
-ALL_ROWS = "all rows"
-Hot = Sequence[int] | str
+
+@dataclass(frozen=True)
+class HotKeys:
+    """The hashes of the heavy keys of a ledger, as a column ``h``, and how many there are."""
+
+    keys: DataFrame
+    count: int
+
+    @property
+    def few(self) -> bool:
+        return self.count <= _FEW
+
+    def listed(self) -> DataFrame:
+        return F.broadcast(self.keys) if self.few else self.keys
+
+
+#: no heavy key
+NONE: tuple = ()
+Hot = HotKeys | tuple
 
 
 def quoted(names: Sequence[str]) -> str:
@@ -36,8 +53,8 @@ def hot_keys(ledgers: Mapping[str, tuple[DataFrame, Sequence[str]]], hot_rows: i
     """Hashes of the keys with about ``hot_rows`` rows or more, per named ledger, in one job.
 
     Reads key columns only and counts a share of the rows, since the answer picks a route and never
-    a result. The driver receives at most ``HOT_LIMIT`` hashes per ledger; a ledger with that many
-    gets ``ALL_ROWS`` in place of its list.
+    a result. The keys stay a DataFrame, however many they are; the driver receives their number. A ledger
+    without any gets ``NONE``.
     """
     share = min(1.0, _SEEN / hot_rows)
     hashed = [
@@ -49,25 +66,24 @@ def hot_keys(ledgers: Mapping[str, tuple[DataFrame, Sequence[str]]], hot_rows: i
         .groupBy("ledger", "h")
         .agg(F.expr("count(*) as n"))
         .filter(f"n >= {hot_rows * share * 0.9}")
-        # at most one key in hot_rows rows is left here
-        .selectExpr("*", "row_number() over (partition by ledger order by n desc) as place")
-        .filter(f"place <= {HOT_LIMIT}")
-        .collect()
+        .select("ledger", "h")
     )
-    found: dict[str, list[int]] = {name: [] for name in ledgers}
-    for row in heavy:
-        found[row.ledger].append(row.h)
-    return {name: ALL_ROWS if len(hot) >= HOT_LIMIT else hot for name, hot in found.items()}
+    numbers = {row.ledger: row.n for row in heavy.groupBy("ledger").agg(F.expr("count(*) as n")).collect()}
+    if numbers:
+        heavy = checkpoint(heavy)
+    return {
+        name: HotKeys(heavy.filter(f"ledger = '{name}'").select("h"), numbers[name]) if name in numbers else NONE
+        for name in ledgers
+    }
 
 
-def split_hot(df: DataFrame, keys: Sequence[str], hot: Hot) -> tuple[DataFrame | None, DataFrame | None]:
-    """The rows of ordinary keys and the rows of heavy keys; None for a part known to be empty."""
-    if hot == ALL_ROWS:
-        return None, df
+def split_hot(df: DataFrame, keys: Sequence[str], hot: Hot) -> tuple[DataFrame, DataFrame | None]:
+    """The rows of ordinary keys and the rows of heavy keys; None if there are no heavy keys."""
     if not hot:
         return df, None
-    heavy = f"{key_hash(keys)} in ({', '.join(str(h) for h in hot)})"
-    return df.filter(f"not {heavy}"), df.filter(heavy)
+    hashed = df.selectExpr("*", f"{key_hash(keys)} as _h")
+    plain, heavy = (hashed.join(hot.listed(), F.expr("_h = h"), how).drop("_h") for how in ("left_anti", "left_semi"))
+    return plain, heavy
 
 
 def broadcast_if_small(df: DataFrame, rows: int = 100_000) -> DataFrame:
@@ -82,16 +98,10 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 def use_checkpoint_dir(spark: SparkSession) -> None:
-    """Take the folder from ``spark.checkpoint.dir``; only a local session without one gets its own."""
-    context = spark.sparkContext
-    if context.getCheckpointDir():
-        return
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured is None:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        configured = tempfile.mkdtemp(prefix="ledgermatch-checkpoint-")
-    context.setCheckpointDir(configured)
+    """Take the folder from ``spark.checkpoint.dir``, or one in the warehouse, which executors share as well."""
+    if not spark.sparkContext.getCheckpointDir():
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{warehouse}/_checkpoints")
 
 
 def window_rank(df: DataFrame, keys: Sequence[str], order: str, name: str) -> DataFrame:

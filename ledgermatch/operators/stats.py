@@ -7,7 +7,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgermatch.config import HOT_ROWS
 from ledgermatch.operators import skew
 
 #: rank accuracy of the estimate that brackets a quantile
@@ -16,6 +15,8 @@ _ACCURACY = 10_000
 _MARGIN = 4
 #: a group below this is its own bracket; above it, a margin spans more than the ranks next to a quantile
 _SMALL = 50_000
+#: slices of a bracket that are counted apart
+_SLICES = 64
 
 
 def quantiles(
@@ -24,16 +25,15 @@ def quantiles(
     value: str,
     probs: Mapping[str, float],
     also: Mapping[str, str] | None = None,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Exact interpolated quantiles of a double column: one row per group, one column per name.
 
-    ``also`` adds aggregates over ``v``, the value, as {name: SQL}. The table is read twice. The first
-    pass estimates with known rank error and so brackets each exact quantile; its result, a row per
-    group, is checkpointed. The second pass counts the rows below a bracket, drops those above it and
-    keeps the few values inside, all before the shuffle. So the running count at the end sees a small
-    share of a group, and equal values have been counted together before it. Where even that share
-    may reach ``hot_rows``, it is spread over the tasks.
+    ``also`` adds aggregates over ``v``, the value, as {name: SQL}. The first pass estimates with known
+    rank error and so brackets each exact quantile; its result is a row per group. The second pass counts
+    the rows below a bracket, drops those above it and keeps the few values inside, all before the
+    shuffle; equal values have been counted together before it. A bracket is cut into slices of equal
+    width that are counted apart, so no task holds a group. A quantile outside its bracket is an error,
+    never a wrong number.
     """
     by, also = list(by), dict(also or {})
     keys = [f"`{c}`" for c in by] or ["0 as all_rows"]
@@ -52,21 +52,27 @@ def quantiles(
         F.expr(f"arrays_zip(array({bounds(lows, 'min(v)')}), array({bounds(highs, 'max(v)')})) as ends"),
         *[F.expr(f"{sql} as {name}") for name, sql in also.items()],
     )
-    brackets = skew.checkpoint(brackets)
     names = [f"`{c}`" for c in by]
+    inside = "nanvl((v - b['0']) / (b['1'] - b['0']), 1D)"
+    slice_of = f"if(b['1'] > b['0'], least({_SLICES - 1}, int(floor({inside} * {_SLICES}))), 0)"
     near = (
         rows.join(skew.broadcast_if_small(brackets.select(*by, "ends")), by)
         .selectExpr(*names, "v", "posexplode(ends) as (i, b)")
         .filter("v <= b['1']")
-        .groupBy(*by, "i", F.expr("if(v < b['0'], null, v) as v"))
+        .groupBy(*by, "i", F.expr(f"if(v < b['0'], -1, {slice_of}) as slice"), F.expr("if(v < b['0'], null, v) as v"))
         .agg(F.expr("count(*) as n"))
     )
+    of_group = f"partition by {', '.join(names)}, i"
+    # a row per group, quantile and slice
+    starts = (
+        near.groupBy(*by, "i", "slice")
+        .agg(F.expr("sum(n) as slice_n"))
+        .selectExpr(*names, "i", "slice", f"sum(slice_n) over ({of_group} order by slice) - slice_n as earlier")
+    )
     points = "array(" + ", ".join(f"{p}D" for p in probs.values()) + ")"
-    largest = brackets.agg(F.max("total")).first()[0] or 0
-    if max(_SMALL, 4 * margin * largest) < hot_rows:
-        counted = near.selectExpr("*", f"sum(n) over (partition by {', '.join(names)}, i order by v) as upto")
-    else:
-        counted = skew.spread_sum(near, [*by, "i"], "v", "upto", "n")
+    counted = near.join(starts, [*by, "i", "slice"]).selectExpr(
+        *names, "i", "v", "n", f"earlier + sum(n) over ({of_group}, slice order by v) as upto"
+    )
     placed = counted.join(skew.broadcast_if_small(brackets.select(*by, "total")), by).selectExpr(
         *names, "i", "v", "n", "upto", f"(total - 1) * element_at({points}, i + 1) as place"
     )
@@ -74,8 +80,10 @@ def quantiles(
         F.expr("max(if(floor(place) >= upto - n and floor(place) < upto, v, null)) as low"),
         F.expr("max(if(ceil(place) >= upto - n and ceil(place) < upto, v, null)) as high"),
     )
+    missed = "raise_error('a quantile lies outside its bracket')"
+    exact = f"if(low is null or high is null, {missed}, low + (high - low) * (place - floor(place)))"
     named = [
-        F.expr(f"max(if(i = {i}, low + (high - low) * (place - floor(place)), null)) as {name}")
+        F.expr(f"max(if(i = {i}, {exact}, null)) as {name}")
         for i, name in enumerate(probs)
     ]
     result = ends.groupBy(*by).agg(*named)

@@ -94,11 +94,14 @@ def totals(pairs: DataFrame) -> DataFrame:
         F.expr("count(*) as pair_count"),
         F.expr("count(txn_id) as engine_rows"),
         F.expr("count(provider_ref) as provider_rows"),
+        F.expr(f"count_if({R.UNPRICED}) as unpriced_rows"),
         *_sums("engine_usd", "provider_usd"),
         F.expr(f"{total('diff_usd')} as total_diff"),
         *by_bucket,
     )
-    residual = f"cast(total_diff - (matched_usd + explained_usd + unexplained_usd) as {TOTAL}) as residual"
+    # from the two sides, not from the differences, so that money without a counterpart shows
+    sides = "ifnull(provider_usd, 0) - ifnull(engine_usd, 0)"
+    residual = f"cast({sides} - (matched_usd + explained_usd + unexplained_usd) as {TOTAL}) as residual"
     return with_total(per_psp).orderBy("is_total", "psp").selectExpr(*per_psp.columns, residual)
 
 

@@ -198,17 +198,21 @@ def match(
     if heavy is None:
         heavy = heavy_keys({"one": (engine, provider, profile)}, config)["one"]
     e_side, p_side = _keyed(engine, provider, profile)
-    rank, order = "dup_rank", ["own_usd"] if profile.keyless else []
+    # true repeats stand in the same order on both sides, so the n-th meets its like
+    rank, order, engine_order = "dup_rank", [], ["txn_id"]
+    if profile.keyless:
+        order, engine_order = ["abs(provider_amount)"], ["abs(engine_amount)", "txn_id"]
     if profile.journal:
         p_side = dup_rank(p_side, profile.copy_keys, ["provider_at"], hot=heavy.copies)
-        rank, order = "_place", ["dup_rank", "provider_at"]
+        rank, order = "_place", ["dup_rank", "provider_at", "abs(provider_amount)"]
+        engine_order = ["engine_at", "abs(engine_amount)", "txn_id"]
     if profile.keyless:
         p_side = _with_fee_lines(p_side, profile)
     pairs = pair_ledgers(
         e_side.drop(*profile.held_by_key),
         valued(p_side, profile, config, book).drop(*profile.held_by_key),
         profile.keys,
-        engine_order=["txn_id"],
+        engine_order=engine_order,
         provider_order=order,
         rank=rank,
         hot=heavy.pair,

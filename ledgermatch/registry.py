@@ -418,7 +418,7 @@ def dq_tie_out(r: Recipe) -> DataFrame:
     """
     pairs = skew.checkpoint(_all_pairs(r))
     totals, restated = marts.totals(pairs), marts.restate(pairs)
-    ranked = dup_rank(r.provider("id_base").select("provider_ref", "provider_at"), ["provider_ref"], hot=())
+    ranked = dup_rank(r.provider("id_base").select("provider_ref", "provider_at"), ["provider_ref"], hot_rows=r.config.hot_rows)
     sides = r.provider("journal").selectExpr(
         "if(provider_amount >= 0, provider_amount, null) as credit", "if(provider_amount < 0, provider_amount, null) as debit"
     )

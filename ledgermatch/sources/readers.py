@@ -28,10 +28,14 @@ def read_text_csv(
     *,
     sep: str = ",",
     encoding: str = "utf-8",
+    multiline: bool = False,
     comments: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """CSV with a header line, all columns text, empty cells null.
 
+    The header must spell the columns in their order; another one is an error, never a shift of columns. Quotes inside
+    quoted text are doubled. ``multiline`` allows line breaks there; such a file is read by one task.
+
     ``cp1252`` is read as ISO-8859-1, which maps each byte to one character, and the 27 characters
     that differ are put right by an expression; Spark's own list of charsets does not hold it.
     """
@@ -42,6 +46,9 @@ def read_text_csv(
         .option("header", True)
         .option("sep", sep)
         .option("encoding", "iso-8859-1" if windows else encoding)
+        .option("escape", '"')
+        .option("multiLine", multiline)
+        .option("enforceSchema", False)
         .option("mode", "FAILFAST")
         .csv(path)
     )
@@ -65,20 +72,27 @@ def read_banner_csv(
     """CSV below a banner line, with LF and CRLF line ends mixed.
 
     Files are split, so no task knows which line came first: banner and header go by content. The
-    header is the line that spells the columns. ``banner`` is a regular expression for the banner;
-    without one, a line that has no separator at all is taken for it, which no record can be.
+    header is the line that spells the columns; ``banner`` is a regular expression for the banner line.
+    Without one, each file's first line is the banner, found by its place in the file. Every other line
+    that is not empty is a record, and one that does not fit the columns is an error: nothing is dropped.
     """
-    lines = spark.read.text(path).select(F.rtrim(F.col("value"), F.lit("\r")).alias("line"))
+    read = spark.read.text(path).select(
+        F.rtrim(F.col("value"), F.lit("\r")).alias("line"), "_metadata.file_path", "_metadata.file_block_start"
+    )
     spelled = [sep.join(columns), sep.join(f'"{c}"' for c in columns)]
-    record = ~F.col("line").isin(*spelled, *["﻿" + s for s in spelled]) & (F.col("line") != "")
+    is_header = F.col("line").isin(*spelled, *["\ufeff" + s for s in spelled])
     if banner is None:
-        record = record & F.contains(F.col("line"), F.lit(sep))
+        # ids grow along a split, so the least one of the split at 0 is the file's first line
+        read = read.withColumn("_at", F.monotonically_increasing_id())
+        firsts = read.filter("file_block_start = 0").groupBy("file_path").agg(F.min("_at").alias("_at"))
+        lines = read.join(F.broadcast(firsts), ["file_path", "_at"], "left_anti")
     else:
-        record = record & ~F.col("line").rlike(banner)
+        lines = read.filter(~F.col("line").rlike(banner))
+    record = ~is_header & (F.col("line") != "")
     schema = text_schema(columns, comments)
     ddl = ", ".join(f"`{c}` string" for c in columns)
     parsed = lines.filter(record).select(
-        F.from_csv("line", F.lit(ddl), {"sep": sep, "mode": "FAILFAST"}).alias("r")
+        F.from_csv("line", F.lit(ddl), {"sep": sep, "mode": "FAILFAST", "escape": '"'}).alias("r")
     )
     return parsed.select(*[F.col(f"r.`{f.name}`").alias(f.name, metadata=f.metadata) for f in schema])
 

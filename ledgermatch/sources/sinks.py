@@ -29,7 +29,7 @@ def _escaped(text: str) -> str:
 
 def export_csv(df: DataFrame, folder: str, sep: str = ",") -> None:
     """A folder of delimited text files, each with a header; ``sep="\\t"`` for TSV."""
-    df.write.mode("overwrite").option("header", True).option("sep", sep).csv(folder)
+    df.write.mode("overwrite").option("header", True).option("sep", sep).option("escape", '"').csv(folder)
 
 
 def export_all(tables: Mapping[str, DataFrame], folder: str) -> None:

@@ -30,7 +30,7 @@ RATES = {}
 for n, day in enumerate(business_days()):
     RATES["EUR", day] = D("1.080000") + n * D("0.001")
     RATES["GBP", day] = D("1.260000") + n * D("0.002")
-    RATES["BRL", day] = D("0.185352") if day == date(2026, 6, 10) else D("0.180000") + n * D("0.0001")
+    RATES["BRL", day] = D("0.184000") if day == date(2026, 6, 10) else D("0.180000") + n * D("0.0001")
     RATES["CLP", day] = D("0.001050")
 
 
@@ -148,7 +148,7 @@ class June:
         line("DL-2", "CLP", "9990", when, *own("CLP", "9990", when))
         self.expect("dlocal", t, "DL-2", "engine_fx_rate_error", own("CLP", "9990", when)[0] - usd)
         t, usd, _ = self.txn("dlocal", "DL-3", "BRL", "30.00", when)
-        line("DL-3", "BRL", "30.00", when, usd + CENT, D("5.390000"))
+        line("DL-3", "BRL", "30.00", when, usd + CENT, D("5.425000"))
         self.expect("dlocal", t, "DL-3", "provider_fx_rate", CENT)
         t, usd, _ = self.txn("dlocal", "DL-4", "BRL", "40.00", when)
         line("DL-4", "BRL", "40.00", when, *own("BRL", "40.00", when), status="IN_MEDIATION")
@@ -249,7 +249,7 @@ class June:
 
     def write(self, folder: Path) -> dict:
         rates = [[day, c, x, f"{day}T16:00Z"] for (c, day), x in RATES.items()]
-        rates.append(["2026-06-10", "BRL", "0.190542", "2026-06-12T09:00Z"])
+        rates.append(["2026-06-10", "BRL", "0.190000", "2026-06-12T09:00Z"])
         fees = [["adyen", "account_eu", "2026-01-01", "2.5", "0.00", ""], ["adyen", "account_us", "2026-01-01", "2.5", "0.00", ""],
                 ["google_play", "account_main", "2026-01-01", "15", "0.00", ""]]
         files = {

@@ -14,7 +14,8 @@ from ledgermatch.operators.asof import attach_rate, rate_book
 from ledgermatch.operators.dedup import dup_rank, first_rate
 from ledgermatch.operators.pairing import pair_ledgers
 
-ROUTES = {"plain": (), "spread some": None, "spread all": skew.ALL_ROWS}
+#: heavy keys given, and the number of rows from which a key is heavy where none are given
+ROUTES = {"plain": ((), 50), "spread some": (None, 40), "spread all": (None, 1)}
 
 
 def ledger_rows(seed, n, prefix):
@@ -31,7 +32,8 @@ def ledger_rows(seed, n, prefix):
 def test_rank_numbers_every_copy(spark, route):
     rows = [(k or "none", t % 4, x) for k, _, x in ledger_rows(1, 400, "") for t in [x]]
     df = spark.createDataFrame(rows, "key string, at int, x int").repartition(5)
-    got = dup_rank(df, ["key"], ["at"], hot=ROUTES[route], hot_rows=50).collect()
+    hot, hot_rows = ROUTES[route]
+    got = dup_rank(df, ["key"], ["at"], hot=hot, hot_rows=hot_rows).collect()
     by_key = defaultdict(list)
     for r in got:
         by_key[r.key].append((r.dup_rank, r.at))
@@ -66,8 +68,9 @@ def test_pairs_equal_brute_force(spark, route, n_engine, n_provider):
     engine, provider = ledger_rows(2, n_engine, "T"), ledger_rows(3, n_provider, "P")
     e = spark.createDataFrame(engine, "key string, txn string, x int")
     p = spark.createDataFrame(provider, "key string, ref string, y int")
+    hot, hot_rows = ROUTES[route]
     pairs = pair_ledgers(
-        e, p, ["key"], engine_order=["txn"], provider_order=["ref"], hot=ROUTES[route], hot_rows=40
+        e, p, ["key"], engine_order=["txn"], provider_order=["ref"], hot=hot, hot_rows=hot_rows
     )
     got = Counter()
     for r in pairs.collect():
@@ -80,24 +83,33 @@ def test_pairs_equal_brute_force(spark, route, n_engine, n_provider):
 def test_identical_copies_keep_their_number(spark):
     e = spark.createDataFrame([("a", "T1")], "key string, txn string")
     p = spark.range(500).selectExpr("'a' as key", "'P' as ref")
-    for hot in ROUTES.values():
-        pairs = pair_ledgers(e, p, ["key"], engine_order=["txn"], hot=hot, hot_rows=100)
+    for hot, hot_rows in ROUTES.values():
+        pairs = pair_ledgers(e, p, ["key"], engine_order=["txn"], hot=hot, hot_rows=hot_rows)
         assert pairs.count() == 500
         assert sorted(r.dup_rank for r in pairs.collect()) == list(range(1, 501))
 
 
-def test_hot_keys_are_found_and_bounded(spark, monkeypatch):
+def test_hot_keys_are_found(spark):
     df = spark.range(9000).selectExpr("if(id % 3 = 0, 'hot', concat('k', id)) as key")
     found = skew.hot_keys({"a": (df, ["key"]), "b": (df.filter("key <> 'hot'"), ["key"])}, 1000)
     hot = df.filter("key = 'hot'").selectExpr(skew.key_hash(["key"])).first()[0]
-    assert found == {"a": [hot], "b": []}
-    monkeypatch.setattr(skew, "HOT_LIMIT", 1)
-    assert skew.hot_keys({"a": (df, ["key"])}, 1000) == {"a": skew.ALL_ROWS}
+    assert found["b"] == skew.NONE and found["a"].count == 1 and found["a"].keys.collect() == [(hot,)]
+
+
+@pytest.mark.parametrize("few", [10**6, 10])
+def test_thousands_of_heavy_keys(spark, monkeypatch, few):
+    """As many as there are, with or without a broadcast of their list."""
+    monkeypatch.setattr(skew, "_FEW", few)
+    df = spark.range(30_000).selectExpr("id % 6000 as key", "id div 6000 as at", "id")
+    hot = skew.hot_keys({"a": (df.filter("key < 5000"), ["key"])}, 5)["a"]
+    assert hot.count == 5000
+    ranked = dup_rank(df, ["key"], ["at"], hot=hot)
+    assert ranked.filter("dup_rank <> at + 1").isEmpty() and ranked.count() == 30_000
 
 
 def test_sampled_detection_sees_a_third_of_the_rows(spark):
     df = spark.range(600_000).selectExpr("if(id % 3 = 0, 0, id) as key")
-    assert len(skew.hot_keys({"a": (df, ["key"])}, 150_000)["a"]) == 1
+    assert skew.hot_keys({"a": (df, ["key"])}, 150_000)["a"].count == 1
 
 
 def test_plain_pairing_shuffles_each_side_once(spark):
