@@ -110,28 +110,33 @@ def _frequencies(rows: DataFrame, s: Settings) -> tuple[np.ndarray, int]:
 
 
 def _round(train: DataFrame, state: tuple[np.ndarray, np.ndarray], idf: np.ndarray, languages: list[str], s: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """One pass of FTRL-proximal over every shard from the same state; the shards' states are averaged."""
+    """One pass of FTRL-proximal over every shard from the same state; the shards' states are averaged.
+
+    The sample is bounded, and so are its ``shards`` groups; as many states reach the driver, however the data are partitioned.
+    """
     shape = state[0].shape
 
-    def run(batches):
-        z, n = state[0].copy(), state[1].copy()
-        for batch in batches:
-            for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                c = counts(text, s)
-                if c is None:
-                    continue
-                at, v = _vector(c, idf)
-                w = _solve(z[:, at], n[:, at], s)
-                p = _softmax(w @ v)
-                p[languages.index(lang)] -= 1
-                g = p[:, None] * v
-                more = n[:, at] + g * g
-                z[:, at] += g - (np.sqrt(more) - np.sqrt(n[:, at])) / s.alpha * w
-                n[:, at] = more
-        yield pa.RecordBatch.from_arrays([pa.array([z.tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary())], names=["z", "n"])
+    def run(pdf):
+        import pandas as pd
 
-    got = train.select("_text", "_lang").mapInArrow(run, "z binary, n binary").collect()
-    return tuple(np.mean([np.frombuffer(r[i]).reshape(shape) for r in got], axis=0) for i in (0, 1))
+        z, n = state[0].copy(), state[1].copy()
+        pdf = pdf.sort_values(["_order", "_lang"], kind="stable")
+        for text, lang in zip(pdf["_text"], pdf["_lang"], strict=True):
+            c = counts(text, s)
+            if c is None:
+                continue
+            at, v = _vector(c, idf)
+            w = _solve(z[:, at], n[:, at], s)
+            p = _softmax(w @ v)
+            p[languages.index(lang)] -= 1
+            g = p[:, None] * v
+            more = n[:, at] + g * g
+            z[:, at] += g - (np.sqrt(more) - np.sqrt(n[:, at])) / s.alpha * w
+            n[:, at] = more
+        return pd.DataFrame({"z": [z.tobytes()], "n": [n.tobytes()]})
+
+    got = train.groupBy("_shard").applyInPandas(run, "z binary, n binary").collect()
+    return tuple(np.mean([np.frombuffer(r[i]).reshape(shape) for r in got], axis=0) for i in (0, 1)) if got else state
 
 
 def _temperature(logits: np.ndarray, truth: np.ndarray) -> float:
@@ -160,7 +165,7 @@ def train(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     if total:
         sample = bounded_sample(rows, "_lang", s.rows, "_id").withColumn("_part", F.pmod(F.xxhash64("_id", F.lit("part")), F.lit(5)))
         sample = materialize(sample.select("_text", "_lang", "_part", F.xxhash64("_id", "_text").alias("_order")), "langid-sample")
-        shards = sample.filter("_part > 0").repartition(s.shards, "_order").sortWithinPartitions("_order")
+        shards = sample.filter("_part > 0").withColumn("_shard", F.pmod(F.col("_order"), F.lit(s.shards)))
         for _ in range(s.rounds):
             z, n = _round(shards, (z, n), idf, languages, s)
         model = Model(languages, _solve(z, n, s), idf, 1.0, s)
