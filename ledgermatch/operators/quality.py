@@ -36,7 +36,7 @@ def run_checks(checks: Sequence[Check]) -> DataFrame:
     """One row per check: (check, severity, failures, status)."""
     parts = [
         c.failing.agg(F.expr("count(*) as failures")).selectExpr(
-            f"'{c.name}' as check", f"'{c.severity}' as severity", "failures",
+            f"{literal(c.name)} as check", f"{literal(c.severity)} as severity", "failures",
             f"if(failures = 0, 'pass', '{c.severity}') as status",
         )
         for c in checks
@@ -57,7 +57,7 @@ def column_checks(df: DataFrame, table: str, rules: Mapping[str, Column]) -> Dat
     totals = df.agg(*[F.expr(f"count_if({fails}) as f{i}") for i, (_, _, fails) in enumerate(counted)])
     rows = ", ".join(f"struct('{name}' as column_name, '{kind}' as check, f{i} as failures)"
                      for i, (name, kind, _) in enumerate(counted))
-    return totals.selectExpr(f"'{table}' as table_name", f"inline(array({rows}))")
+    return totals.selectExpr(f"{literal(table)} as table_name", f"inline(array({rows}))")
 
 
 def not_unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -166,3 +166,14 @@ def test_rate_of_a_day_by_value_or_publication(spark):
     df = df.withColumn("usd_rate", F.col("usd_rate").cast("decimal(18,6)"))
     assert first_rate(df).first().usd_rate == Decimal("0.180000")
     assert first_rate(df, prefer="published_at").first().usd_rate == Decimal("0.190000")
+
+
+@pytest.mark.parametrize("hot_rows", [10**6, 1])
+def test_true_repeats_meet_their_like(spark, hot_rows):
+    """Two partial refunds of one order, listed in another order on either side."""
+    e = spark.createDataFrame([("O1", "T1", 20), ("O1", "T2", 10)], "key string, txn string, amount int")
+    p = spark.createDataFrame([("O1", "P1", -10), ("O1", "P2", -20)], "key string, ref string, paid int")
+    pairs = pair_ledgers(
+        e, p, ["key"], engine_order=["abs(amount)", "txn"], provider_order=["abs(paid)"], hot_rows=hot_rows
+    )
+    assert sorted((r.txn, r.ref) for r in pairs.collect()) == [("T1", "P2"), ("T2", "P1")]

@@ -101,3 +101,38 @@ def test_unknown_cause_is_restated_from_the_provider(spark):
     )
     out = marts.restate(spark.createDataFrame([row], names)).first()
     assert (out.corrected_from, out.corrected_usd, out.correction_usd) == ("provider", Decimal("2.00"), Decimal("-1.00"))
+
+
+def test_unpriced_money_is_unexplained_and_leaves_a_residual(spark):
+    from ledgermatch.operators import quality
+    from ledgermatch.plans import marts
+
+    names = "psp string, txn_id string, provider_ref string, cause string, engine_usd decimal(18,2), provider_usd decimal(18,2)"
+    rows = [("p", "T1", "P1", "matched", Decimal("3.00"), Decimal("3.00")), ("p", "T2", "P2", R.MISSING_RATE, Decimal("10.00"), None)]
+    pairs = spark.createDataFrame(rows, names).selectExpr(
+        "*", "cast(provider_usd - engine_usd as decimal(18,2)) as diff_usd", f"{R.cause_bucket()} as cause_bucket"
+    )
+    assert [r.cause_bucket for r in pairs.orderBy("txn_id").collect()] == ["matched", "unexplained"]
+    totals = marts.totals(pairs)
+    first = totals.first()
+    assert (first.unpriced_rows, first.residual) == (1, Decimal("-10.00"))
+    assert quality.residual_left(totals).count() == 2
+
+
+def test_money_without_a_rate_gets_its_cause(spark):
+    changes = {"provider_usd": None}
+    row = tuple({**PAIR, **changes}[c.split()[0]] for c in SCHEMA.split(", "))
+    df = spark.createDataFrame([row], SCHEMA)
+    assert [R.classify(df, p.rules, CONFIG).first().cause for p in EVERY] == [R.MISSING_RATE] * len(EVERY)
+
+
+def test_values_in_sql_are_escaped(spark):
+    from ledgermatch.operators import profiling, quality
+
+    df = spark.createDataFrame([("Cote d'Or",), ("a\\b",), ("other",)], "place string")
+    rule = quality.Column(accepted=["Cote d'Or", "a\\b"])
+    assert [r.failures for r in quality.column_checks(df, "it's", {"place": rule}).collect() if r.check == "accepted_values"] == [1]
+    keys = spark.createDataFrame([("a b", "c"), ("a", "b c"), (None, "x"), (None, "x")], "p string, q string")
+    assert [(r.key, r.n) for r in profiling.repeated_keys({"it's": (keys, ["p", "q"])}).collect()] == [(None, 2)]
+    numbers = spark.range(5, 101).selectExpr("id as n")
+    assert profiling.describe_columns(numbers).first().samples[:2] == ["5", "100"]

@@ -5,6 +5,7 @@ from decimal import Decimal
 
 import duckdb
 import pytest
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
@@ -50,6 +51,36 @@ def test_banner_and_mixed_line_ends(spark, tmp_path):
     assert named.count() == 2
 
 
+def test_header_must_spell_the_columns(spark, tmp_path):
+    (tmp_path / "h.csv").write_text("b,a\n1,2\n")
+    with pytest.raises((PySparkException, Py4JJavaError)):
+        readers.read_text_csv(spark, str(tmp_path / "h.csv"), ["a", "b"]).collect()
+
+
+def test_doubled_quotes_and_quoted_line_breaks(spark, tmp_path):
+    (tmp_path / "q.csv").write_text('a,b\n"say ""hi"", ok",2\n')
+    assert [tuple(r) for r in readers.read_text_csv(spark, str(tmp_path / "q.csv"), ["a", "b"]).collect()] == [('say "hi", ok', "2")]
+    (tmp_path / "m.csv").write_text('a,b\n"two\nlines",2\n')
+    rows = readers.read_text_csv(spark, str(tmp_path / "m.csv"), ["a", "b"], multiline=True).collect()
+    assert [tuple(r) for r in rows] == [("two\nlines", "2")]
+    sinks.export_csv(spark.createDataFrame([('say "hi", ok', 2)], "a string, b int"), str(tmp_path / "out"))
+    assert duckdb.sql(f"select a, b from read_csv('{tmp_path}/out/*.csv', header = true)").fetchall() == [('say "hi", ok', 2)]
+
+
+def test_no_line_of_a_banner_file_is_dropped(spark, tmp_path):
+    head = "Earnings report, June 2026\na,b\n"
+    (tmp_path / "one.csv").write_text(head + '"Jun 1, 2026",1\nx,2\n')
+    (tmp_path / "two.csv").write_text(head + "y,3\n")
+    both = [str(tmp_path / "one.csv"), str(tmp_path / "two.csv")]
+    rows = readers.read_banner_csv(spark, both, ["a", "b"]).collect()
+    assert sorted(tuple(r) for r in rows) == [("Jun 1, 2026", "1"), ("x", "2"), ("y", "3")]
+    (tmp_path / "cut.csv").write_text(head + 'x,2\n"Jun 2')
+    (tmp_path / "turned.csv").write_text("Earnings report\nb,a,c\nx,2\n")
+    for name in ("cut", "turned"):
+        with pytest.raises((PySparkException, Py4JJavaError)):
+            readers.read_banner_csv(spark, str(tmp_path / f"{name}.csv"), ["a", "b"]).collect()
+
+
 def test_bad_text_raises_and_can_be_put_aside(spark):
     raw = spark.createDataFrame([("1.5", "x"), ("abc", "y"), (None, "z")], "amount string, k string")
     with pytest.raises(PySparkException):
