@@ -108,7 +108,8 @@ def _quality() -> str:
 
     sizes = (3, *MOST_REPEATED)
     grams = ", ".join("word" + "".join(f" || ' ' || lead(word, {k}) over w" for k in range(1, n)) + f" as g{n}" for n in sizes)
-    twice = ", ".join(f"g{n} is not null and count(*) over (partition by doc_id, g{n}) > 1 as t{n}" for n in sizes)
+    # of three words every occurrence counts, of more words those after the first
+    twice = ", ".join(f"g{n} is not null and {'count(*)' if n == 3 else 'row_number()'} over (partition by doc_id, g{n}{'' if n == 3 else ' order by i'}) > 1 as t{n}" for n in sizes)
     cover = ", ".join(f"coalesce(bool_or(t{n}) over (partition by doc_id order by i rows between {n - 1} preceding and current row), false) as c{n}" for n in sizes)
     shares = ", ".join(f"coalesce(sum(length(word)) filter (c{n}), 0) / greatest(sum(length(word)), 1) as cover_{n}" for n in MOST_REPEATED)
     none = ", ".join(f"coalesce(cover_{n}, 0.0) as cover_{n}" for n in MOST_REPEATED)

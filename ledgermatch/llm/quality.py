@@ -10,8 +10,9 @@ from pyspark.sql import types as T
 from ledgermatch.llm.common import map_text, text_bytes
 from ledgermatch.llm.words import _BASES, _BYTE, grams, mixed, powers, spans_rows, split_words
 
-#: The largest share of word characters inside n-grams found twice or more, by n, and inside repeated lines.
-MOST_REPEATED = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
+#: The largest share of word characters in n-grams that occurred before, by n, and in lines that occurred before. A first
+#: occurrence is not counted, so that a short text is not lost for one line that stands twice.
+MOST_REPEATED = {5: 0.20, 6: 0.20, 7: 0.20, 8: 0.20, 9: 0.20, 10: 0.20}
 MOST_LINE_CHARS = 0.20
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -32,14 +33,14 @@ def _repeated(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return twice, before
 
 
-def _covered(w, hashes: np.ndarray, size: int) -> np.ndarray:
-    """Words inside a run of ``size`` words that is found twice or more in its row."""
+def _covered(w, hashes: np.ndarray, size: int, first: bool) -> np.ndarray:
+    """Words inside a run of ``size`` words that is found twice or more in its row, with or without its first occurrence."""
     inside = spans_rows(w, size)
     where = np.flatnonzero(inside)
     mark = np.zeros(len(hashes) + 1, np.int32)
     if len(where):
         salt = mixed(w.doc[where].astype(np.uint64) + np.uint64(1))
-        where = where[_repeated(grams(hashes, size)[where] ^ salt)[0]]
+        where = where[_repeated(grams(hashes, size)[where] ^ salt)[0 if first else 1]]
         np.add.at(mark, where, 1)
         np.add.at(mark, where + size, -1)
     return np.cumsum(mark)[:-1] > 0
@@ -68,16 +69,16 @@ def _measure(column):
     line_chars = _sums(np.where(again, total[high] - total[low], 0), by_row)
     word_chars = _sums(chars, w.first)
     share = lambda part: part / np.maximum(word_chars, 1)
-    covers = [share(_sums(np.where(_covered(w, h, n), chars, 0), w.first)) for n in MOST_REPEATED]
+    covers = [share(_sums(np.where(_covered(w, h, n, False), chars, 0), w.first)) for n in MOST_REPEATED]
     symbols = np.concatenate(([0], np.cumsum(_SYMBOL[raw])))
-    return [np.diff(w.first), word_chars, np.diff(symbols[at]), _sums(again, by_row), _sums(_covered(w, h, 3), w.first), share(line_chars), *covers]
+    return [np.diff(w.first), word_chars, np.diff(symbols[at]), _sums(again, by_row), _sums(_covered(w, h, 3, True), w.first), share(line_chars), *covers]
 
 
 def repetition(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Counts, repetition coverage and verdict of every text; one pass without a shuffle.
 
-    ``cover_n`` is the share of word characters inside runs of n words found twice or more, ``line_cover`` the share inside
-    lines equal to an earlier line of the text. ``kept`` is false if the base rule fails (fewer than 50 words, or more
+    ``cover_n`` is the share of word characters inside runs of n words that occurred before in the text, ``line_cover`` the
+    share inside lines equal to an earlier line. ``kept`` is false if the base rule fails (fewer than 50 words, or more
     than half of the words in repeated runs of three) or a share exceeds ``MOST_REPEATED`` or ``MOST_LINE_CHARS``.
 
     Null or empty texts have no words and fail the base rule. Repeated rows and null ids are rows like any other. Other columns

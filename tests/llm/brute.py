@@ -138,16 +138,17 @@ def quality(text):
                 dup_chars += sum(map(len, words(line)))
             seen.add(line)
 
-    def covered(n):
+    def covered(n, first=False):
         grams = [tuple(w[p : p + n]) for p in range(len(w) - n + 1)]
-        count = Counter(grams)
+        count, before = Counter(grams), set()
         mark = [False] * len(w)
         for p, g in enumerate(grams):
-            if count[g] > 1:
+            if g in before or (first and count[g] > 1):
                 mark[p : p + n] = [True] * n
+            before.add(g)
         return mark
 
-    repeated = sum(covered(3))
+    repeated = sum(covered(3, True))
     failed = len(w) < 50 or 100 * repeated > 50 * len(w)
     shares = {n: sum(len(x) for x, m in zip(w, covered(n), strict=True) if m) / max(chars, 1) for n in MOST_REPEATED}
     fine = dup_chars / max(chars, 1) <= MOST_LINE_CHARS and all(shares[n] <= most for n, most in MOST_REPEATED.items())
