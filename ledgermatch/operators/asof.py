@@ -14,7 +14,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgermatch.functions import money
+from ledgermatch.functions.text import literal
 from ledgermatch.operators.dedup import first_rate
+from ledgermatch.operators.skew import quoted
 
 
 @dataclass(frozen=True)
@@ -30,6 +32,10 @@ class RateBook:
     def lookup(self) -> DataFrame:
         return F.broadcast(self.daily) if self.small else self.daily
 
+    def close(self) -> None:
+        """Let go of the kept table."""
+        self.daily.unpersist()
+
 
 def rate_book(
     rates: DataFrame,
@@ -79,7 +85,12 @@ def attach_rate(
     # a date after the last rate sees the last rate; a null date must stay null
     last = "null" if book.last_date is None else f"date'{book.last_date}'"
     known = f"if(({on}) > {last}, {last}, ({on}))"
-    same = f"`{currency}` = rate_currency and {known} = on_date"
+    looked_up = f"`{currency}`"
+    if base is not None and not book.small:
+        # base rows need no rate: spread over keys that no rate has, they do not meet on one currency and day
+        apart = f"concat('~', pmod(xxhash64({quoted(facts.columns)}), 1024))"
+        looked_up = f"if(`{currency}` = {literal(base)}, {apart}, `{currency}`)"
+    same = f"{looked_up} = rate_currency and {known} = on_date"
     joined = facts.join(book.lookup(), F.expr(same), "left")
     rate, date = "known_rate", "known_date"
     if base is not None:
