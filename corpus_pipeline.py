@@ -15,6 +15,19 @@ from ledgermatch.llm.queries import RANKS
 LEAST_SCORE = 0.3
 
 
+def _place(docs: DataFrame, name: str) -> str:
+    return f"c{docs.columns.index(name)}"
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """Columns by number, so that none can clash with one that an operator adds."""
+    return docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+
+
+def _named(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    return rows.select(*[F.col(f"c{i}").alias(name) for i, name in enumerate(docs.columns)])
+
+
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go: no text, no letter, or no language with ``LEAST_SCORE``.
 
@@ -24,8 +37,8 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     model = langid.train(docs)
     if not model.languages:
         return docs.filter(langid.has_letter("text"))
-    rows = langid.identify(docs.select(F.struct("*").alias("_row"), "text"), model)
-    return rows.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select("_row.*")
+    known = langid.identify(_numbered(docs), model, _place(docs, "text"))
+    return _named(known.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)), docs)
 
 
 def keep_one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,8 +50,8 @@ def keep_one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a passage of the benchmark go."""
-    found = decontam.leaks(docs.select(F.struct("*").alias("_row"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.filter(F.size("leak_items") == 0).select("_row.*")
+    found = decontam.leaks(_numbered(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), _place(docs, "text"))
+    return _named(found.filter(F.size("leak_items") == 0), docs)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 #: Numbers of 8 bytes that a join may broadcast after they were counted; above it the join shuffles.
 BROADCAST_NUMBERS = 2_000_000
 #: Bytes of text that one numpy pass takes at a time; a longer text is a pass of its own.
-PASS_BYTES = 1 << 20
+PASS_BYTES = 1 << 19
 
 
 def shared_folder(spark: SparkSession) -> str:

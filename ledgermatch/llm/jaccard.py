@@ -13,7 +13,7 @@ from ledgermatch.llm.common import checked_broadcast, components, map_text, mate
 from ledgermatch.llm.words import grams, mixed, split_words
 
 #: Documents, and shingles, that one side of a verified block holds at most on average.
-BLOCK_DOCS, BLOCK_SHINGLES = 256, 2_000_000
+BLOCK_DOCS, BLOCK_SHINGLES = 256, 500_000
 _FIELD = T.StructField
 
 

@@ -7,7 +7,6 @@ loop over words or characters.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 
@@ -18,20 +17,19 @@ _BYTE = np.random.default_rng(20_240_607).integers(1, 2**63, 256, dtype=np.uint6
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 
 
-@lru_cache(maxsize=8)
-def _powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base modulo 2**64 and their inverses."""
-    inverse = pow(base, -1, 1 << 64)
-    out = []
-    for x in (base, inverse):
-        p = np.full(size, x, U)
-        p[:1] = 1
-        out.append(np.cumprod(p, dtype=U))
-    return out[0], out[1]
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = _powers(base, 1 << max(16, int(size).bit_length()))
+    """Powers of an odd base modulo 2**64 and their inverses; one table per base, which grows when a text needs it."""
+    if base not in _POWERS or len(_POWERS[base][0]) < size:
+        table = []
+        for x in (base, pow(base, -1, 1 << 64)):
+            p = np.full(max(size, 1 << 16), x, U)
+            p[:1] = 1
+            table.append(np.cumprod(p, dtype=U))
+        _POWERS[base] = tuple(table)
+    up, down = _POWERS[base]
     return up[:size], down[:size]
 
 
