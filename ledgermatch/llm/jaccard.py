@@ -163,7 +163,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = sets.filter(F.unhex(F.md5("shingles")) == F.col("digest")).dropDuplicates(["digest"]).drop("_id")
     sets = materialize(sets, "jaccard-sets")
     sizes = sets.groupBy("label").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    dealt = sets.join(sizes, "label").withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
+    dealt = sets.join(checked_broadcast(sizes, "2"), "label").withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("label", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "digest", "copies", "shingles")
     verified = dealt.groupBy("label", "one", "two").applyInPandas(_verify(threshold), "digest binary, links long, low binary")
