@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgermatch.llm.common import bounded_sample, map_text, materialize, packed, unpacked
+from ledgermatch.llm import jaccard
+from ledgermatch.llm.common import bounded_sample, checked_broadcast, map_text, materialize, packed, unpacked
 from ledgermatch.llm.langid import letters
 
 #: Words on either side of a term that are searched for quotation marks.
@@ -19,12 +20,12 @@ _QUOTES = [ord(c) for c in "\"“”„«»‘’"]
 
 @dataclass(frozen=True)
 class Settings:
-    """``rows`` bounds the labelled rows of each label that terms and weights are fitted on, ``terms`` the lexicon."""
+    """``rows`` bounds the labelled rows of each label that the weights are fitted on; the lexicon is counted over all of them."""
 
     rows: int = 8_000
-    terms: int = 64
-    least_share: float = 0.02  # of toxic texts that hold a term
     least_odds: float = 8.0  # of a term in toxic against other texts
+    most_terms: int = 20_000  # more are an error
+    together: int = 64  # terms of one automaton
     shortest: int = 3
     fuzzy_from: int = 5  # letters from which one edit is forgiven
 
@@ -110,12 +111,28 @@ class Automaton:
         return self.term[state], self.edits[state]
 
 
+class Automata:
+    """A lexicon of any size, ``together`` terms to an automaton; finds what one automaton of all terms finds."""
+
+    def __init__(self, terms: list[str], fuzzy_from: int, together: int):
+        self.parts = [(k, Automaton(terms[k : k + together], fuzzy_from)) for k in range(0, len(terms), together)]
+
+    def match(self, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the terms of a word the one with the fewest edits, then the first one."""
+        term, edits = np.full(len(starts), -1, np.int32), np.zeros(len(starts), np.int32)
+        for first, auto in self.parts:
+            found, made = auto.match(points, starts, ends)
+            better = (found >= 0) & ((term < 0) | (made < edits))
+            term[better], edits[better] = found[better] + first, made[better]
+        return term, edits
+
+
 FEATURES = ("abuse", "strongest", "quoted", "misspelled", "density")
 
 
 def _features(terms: list[str], strength: np.ndarray, s: Settings):
     def work():
-        auto = Automaton(terms, s.fuzzy_from) if terms else None
+        auto = Automata(terms, s.fuzzy_from, s.together) if terms else None
 
         def make(column):
             texts = [(x or "").lower() for x in column.to_pylist()]
@@ -166,24 +183,62 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
+def _heard(rows: DataFrame, s: Settings) -> tuple[DataFrame, int, int]:
+    """Words with the toxic and the other classes of near-copies that hold them, and the number of classes of each label.
+
+    A class counts once a label, however many copies it has; it holds the words of all its texts.
+    """
+    near = jaccard.near_duplicates(rows.select("_key", "_text"), "_key", "_text")
+    near = materialize(near.groupBy("_key", F.col("class_id").alias("class")).agg(F.count(F.lit(1)).alias("n")), "toxicity-classes")
+    several = near.groupBy("class").agg(F.sum("n").alias("n")).filter("n > 1").select("class")
+    copied = materialize(near.join(several, "class").select("_key", "class"), "toxicity-copied")
+    rows = rows.join(checked_broadcast(copied, "2"), "_key", "left").select("class", "_label", "_text")
+    word = F.explode(F.array_distinct(F.split(F.lower("_text"), r"[^\p{L}]+"))).alias("word")
+    counts = F.sum("_label").alias("bad"), F.sum(1 - F.col("_label")).alias("good")
+
+    def counted(rows, *by):
+        alone, classes = rows.filter("class is null"), rows.filter("class is not null").distinct()
+        both = alone.groupBy(*by).agg(*counts).unionByName(classes.groupBy(*by).agg(*counts))
+        return both.groupBy(*by).agg(F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"), F.coalesce(F.sum("good"), F.lit(0)).alias("good"))
+
+    words = rows.select("class", "_label", word).filter(F.length("word").between(s.shortest, 24))
+    total = counted(rows.select("class", "_label")).first()
+    return materialize(counted(words, "word"), "toxicity-words"), total["bad"], total["good"]
+
+
+def _lexicon(rows: DataFrame, s: Settings) -> tuple[list[str], np.ndarray]:
+    """Every word whose smoothed odds reach ``least_odds`` and whose support chance does not explain, with its log odds.
+
+    Under chance a word's classes are toxic as often as all classes are. The Chernoff bound on its toxic classes, times the number
+    of words heard, must be at most 1, so the support a term needs follows from the labels and not from a fixed share or number.
+    """
+    heard, bad, good = _heard(rows, s)
+    n, rate = F.col("bad") + F.col("good"), bad / (bad + good)
+    part = lambda c, p: F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) / (n * p))).otherwise(0.0)
+    odds = (F.col("bad") + 0.5) / (bad + 1) * (good + 1) / (F.col("good") + 0.5)
+    support = part("bad", rate) + part("good", 1 - rate)
+    chosen = heard.withColumn("odds", odds).filter((F.col("odds") >= s.least_odds) & (support >= float(np.log(max(heard.count(), 1)))))
+    chosen = chosen.orderBy(F.desc(F.col("bad") * F.log("odds")), "word").limit(s.most_terms + 1).collect()
+    if len(chosen) > s.most_terms:
+        raise ValueError(f"more than {s.most_terms} terms; raise Settings.most_terms")
+    return [r["word"] for r in chosen], np.log([r["odds"] for r in chosen]) if chosen else np.zeros(0)
+
+
 def train(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", s: Settings = Settings()) -> Model:  # noqa: B008
     """Learn the lexicon, the strength of its terms and the weights of the context features from labelled ``rows``.
 
+    The lexicon is counted over all labelled rows, each class of near-copies once, so no number of copies makes a word a term.
     Labels other than 0 and 1 are left out. Without both labels there is no lexicon and every score is the share of label 1.
     """
-    rows = rows.select(F.col(id_col).cast("string").alias("_id"), F.col(text_col).alias("_text"), F.col(label_col).cast("int").alias("_label")).filter("_label in (0, 1)")
-    sample = materialize(bounded_sample(rows, "_label", s.rows, "_id"), "toxicity-sample")
+    rows = rows.select(F.col(id_col).cast("string").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), F.col(label_col).cast("int").alias("_label"))
+    rows = materialize(rows.filter("_label in (0, 1)").withColumn("_key", F.xxhash64("_text")), "toxicity-labelled")
+    sample = bounded_sample(rows, "_label", s.rows, "_id")
     totals = {r["_label"]: r["count"] for r in sample.groupBy("_label").count().collect()}
     bad, good = totals.get(1, 0), totals.get(0, 0)
     if not bad or not good:
         rate = (bad + 0.5) / (bad + good + 1)
         return Model([], np.zeros(0), np.array([0.0] * len(FEATURES) + [np.log(rate / (1 - rate)) if bad + good else 0.0]), s)
-    word = F.explode(F.array_distinct(F.split(F.lower("_text"), r"[^\p{L}]+"))).alias("word")
-    heard = sample.select("_label", word).filter(F.length("word").between(s.shortest, 24)).groupBy("word").agg(F.sum("_label").alias("bad"), F.sum(1 - F.col("_label")).alias("good"))
-    odds = (F.col("bad") + 0.5) / (bad + 1) * (good + 1) / (F.col("good") + 0.5)
-    heard = heard.withColumn("odds", odds).filter((F.col("bad") >= max(2, s.least_share * bad)) & (F.col("odds") >= s.least_odds))
-    chosen = heard.orderBy(F.desc(F.col("bad") * F.log("odds")), "word").limit(s.terms).collect()
-    terms, strength = [r["word"] for r in chosen], np.log([r["odds"] for r in chosen]) if chosen else np.zeros(0)
+    terms, strength = _lexicon(rows, s)
     seen = map_text(sample.select("_text", "_label"), "_text", _features(terms, strength, s), [T.StructField("x", T.ArrayType(T.DoubleType()))]).collect()
     x, y = np.array([r["x"] for r in seen]), np.array([r["_label"] for r in seen], float)
     # the sample keeps all of the rarer label: weigh the constant back to the labels' share

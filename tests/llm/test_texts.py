@@ -190,3 +190,36 @@ def test_automaton_is_one_edit():
         points = np.frombuffer(word.encode("utf-32-le"), np.uint32)
         term, made = auto.match(points, np.array([0]), np.array([len(points)]))
         assert (int(made[0]) if term[0] >= 0 else None) == want, word
+
+
+def _toxic(spark, terms, each, copies=0):
+    """Labelled texts: every toxic one holds ``each`` of the terms, and one long toxic text has copies and near-copies."""
+    said = [(" ".join([f"filler{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}", *(terms[(k + j * 7) % len(terms)] for j in range(each)), "so it goes"]), 1) for k in range(120)]
+    said += [(f"calm{chr(97 + k % 26)}{chr(97 + k // 26)} words of a quiet day so it goes", 0) for k in range(400)]
+    name = lambda k: "priv" + "".join(chr(97 + k // 26**i % 26) for i in range(3))
+    long = [name(k) for k in range(399)]
+    said += [(" ".join(long), 1)] * copies + [(" ".join([*long[:200], f"near{name(k)}", *long[201:]]), 1) for k in range(copies // 5)]
+    return spark.createDataFrame([(k, t, y) for k, (t, y) in enumerate(said)], "doc_id long, text string, toxic int")
+
+
+def test_copies_of_a_toxic_text_add_no_terms(spark):
+    terms = ["idiot", "moron", "scum"]
+    assert sorted(toxicity.train(_toxic(spark, terms, 1, 100)).terms) == terms
+
+
+def test_lexicon_has_no_fixed_number_of_places(spark):
+    terms = sorted("bad" + chr(97 + k % 26) * 2 + chr(97 + k // 26) * 2 for k in range(90))
+    assert sorted(toxicity.train(_toxic(spark, terms, 30)).terms) == terms
+
+
+def test_split_lexicon_equals_one_automaton():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    terms = sorted({"".join(rng.choice(list("abcd"), rng.integers(3, 8))) for _ in range(40)})
+    words = [*terms, *("".join(rng.choice(list("abcde"), rng.integers(1, 9))) for _ in range(2000))]
+    points = np.frombuffer(" ".join(words).encode("utf-32-le"), np.uint32)
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    starts = ends - [len(w) for w in words]
+    one, many = toxicity.Automaton(terms, 5).match(points, starts, ends), toxicity.Automata(terms, 5, 7).match(points, starts, ends)
+    assert (one[0] == many[0]).all() and (one[1] == many[1])[one[0] >= 0].all()
