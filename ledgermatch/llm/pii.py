@@ -85,9 +85,12 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds
 
     Words with a digit or an at sign are instances; the two words before and the word after one are its patterns. Instances that
     lie inside a base span are seeds of score 1. In each round a pattern's confidence is the mean score of its distinct instances
-    over the whole corpus (one is added to the count, so rare patterns stay low), and the score of an instance joins
-    the confidences of its patterns with at least ``least_support`` seeds. After ``rounds`` rounds, instances of at least
-    ``least_confidence`` in a confident pattern are added as kind ``context`` where they overlap no base span.
+    over the whole corpus (one is added to the count, so rare patterns stay low). Only patterns of at least ``least_confidence``
+    with at least ``least_support`` seeds are kept as confident. A context (the words before and after) scores the higher
+    confidence of its confident patterns; without one it scores 0 if a pattern of it has ``least_support`` distinct instances, and else tells
+    nothing. An instance scores the mean over its distinct contexts that tell something, so a value that is frequent elsewhere
+    falls. After ``rounds`` rounds, instances of at least ``least_confidence`` are added as kind ``context``, at the places
+    that stand in a confident pattern and overlap no base span.
 
     Base spans always stay. All counts are combined by (pattern, instance) before they are shuffled, so a pattern that a third
     of the rows share is no hot group. Returns per row: ``id_col``, ``base`` and ``found``, sorted arrays of ``(start, end, value, kind)``.
@@ -104,18 +107,26 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds
     contexts = F.array(F.when(F.length("x.left") > 0, F.concat(F.lit("before "), "x.left")), F.when(F.length("x.right") > 0, F.concat(F.lit("after "), "x.right")))
     places = materialize(places.withColumn("patterns", F.array_compact(contexts)), "pii-places")
 
-    edges = places.select("instance", "seed", F.explode("patterns").alias("pattern")).groupBy("pattern", "instance").agg(F.max("seed").alias("seed"))
-    # only patterns with enough seeds can ever count
-    seeded = edges.groupBy("pattern").agg(F.count_if("seed").alias("seeds")).filter(F.col("seeds") >= least_support)
-    edges = materialize(edges.join(seeded, "pattern"), "pii-edges")
+    # each context of an instance counts once, however often it is repeated
+    slots = places.groupBy("instance", "patterns").agg(F.max("seed").alias("seed"))
+    slots = materialize(slots.select("instance", "seed", F.xxhash64("instance", "patterns").alias("slot"), F.explode("patterns").alias("pattern")), "pii-slots")
+    edges = slots.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"))
+    known = edges.groupBy("pattern").agg(F.count_if("seed").alias("seeds"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least_support)
+    edges = materialize(edges.join(known, "pattern"), "pii-edges")
     scores = edges.groupBy("instance").agg(F.max(F.col("seed").cast("double")).alias("score"))
+    is_seed = slots.groupBy("instance").agg(F.max("seed").alias("seed"))
     for _ in range(rounds):
-        patterns = edges.join(scores, "instance").groupBy("pattern").agg((F.sum("score") / (F.count(F.lit(1)) + 1)).alias("confidence"))
-        missed = F.sum(F.log(1 - F.least(F.col("confidence"), F.lit(0.999999))))
-        scores = edges.join(patterns, "pattern").groupBy("instance").agg(F.when(F.max("seed"), 1.0).otherwise(1 - F.exp(missed)).alias("score"))
+        patterns = edges.join(scores, "instance").groupBy("pattern").agg((F.sum("score") / (F.count(F.lit(1)) + 1)).alias("confidence"), F.max("seeds").alias("seeds"))
+        sure = (F.col("confidence") >= least_confidence) & (F.col("seeds") >= least_support)
+        patterns = materialize(patterns.select("pattern", F.when(sure, F.col("confidence")).otherwise(0.0).alias("confidence")), "pii-patterns")
+        told = slots.join(patterns, "pattern").groupBy("instance", "slot").agg(F.max("confidence").alias("told"))
+        told = told.groupBy("instance").agg(F.avg("told").alias("told"))
+        scores = told.join(is_seed, "instance").select("instance", F.when(F.col("seed"), 1.0).otherwise(F.col("told")).alias("score"))
         scores = materialize(scores, "pii-scores")
     sure = scores.filter(F.col("score") >= least_confidence).select("instance")
-    added = places.filter("not seed").join(sure, "instance").select("_id", "_key", F.struct("x.start", "x.end", "x.value", F.lit("context").alias("kind")).alias("x"))
+    confident = patterns.filter("confidence > 0").select("pattern")
+    added = places.filter("not seed").join(sure, "instance").withColumn("pattern", F.explode("patterns")).join(confident, "pattern")
+    added = added.select("_id", "_key", F.struct("x.start", "x.end", "x.value", F.lit("context").alias("kind")).alias("x"))
     added = added.groupBy(F.col("_id").alias("_aid"), F.col("_key").alias("_akey")).agg(F.collect_set("x").alias("added"))
 
     out = rows.join(added, rows["_id"].eqNullSafe(F.col("_aid")) & (F.col("_key") == F.col("_akey")), "left")
