@@ -165,6 +165,113 @@ select doc_id, n_items is not null as contaminated, coalesce(n_items, 0) as n_it
 """
 
 
+#: CRC-32 of a text column as a list fold over its UTF-8 bytes; the table of 256 values comes from its polynomial.
+_CRC_TABLE = "select list_transform(range(256), lambda b: list_reduce(range(8), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, b)) as crcs"
+
+
+def _crc(text: str) -> str:
+    data = f"list_transform(range(cast(octet_length(encode({text})) as bigint)), lambda i: cast(('0x' || substr(hex(encode({text})), cast(2 * i + 1 as bigint), 2)) as bigint))"
+    return f"xor(list_reduce({data}, lambda c, b: xor(crcs[cast((xor(c, b) & 255) + 1 as bigint)], c >> 8), cast(4294967295 as bigint)), 4294967295)"
+
+
+def _least(readings: list[str]) -> str:
+    return f"list_min([{', '.join(readings)}])"
+
+
+def _edit(state: str, cost: str, letter: str, line: str = "''", unless: str = "false") -> str:
+    """A reading one edit further on; an impossible one costs more than all others."""
+    return f"struct_pack(cost := {state}.cost + case when {unless} then 1000000 else {cost} end, audit := {state}.audit || '{letter}', said := {state}.said || {line})"
+
+
+_USER, _ASSISTANT = "chr(10) || 'user:'", "chr(10) || 'assistant:'"
+#: Readings by what was said last: nothing (n), a system turn (s), a user (u), an assistant (a); first with inserts, then with the row.
+_INSERTED = f"""n, s,
+    {_least(["u", *(_edit(x, "3", "I", _USER) for x in "nsa")])} as u,
+    {_least(["a", _edit("u", "3", "I", _ASSISTANT), *(_edit(x, "6", "II", f"{_USER} || {_ASSISTANT}") for x in "ns")])} as a"""
+_KEPT = "chr(10) || role || ':' || text"
+_BAD = "fault in ('blank', 'duplicate')"
+_CUT = "case when fault = 'truncated' then 3 else 0 end"
+
+
+def _keep(state: str, initial: str) -> str:
+    return _edit(state, _CUT, "K", _KEPT, f"{_BAD} or role[1] <> '{initial}' or role = ''")
+
+
+def _rerole(state: str, name: str) -> str:
+    return _edit(state, f"3 + {_CUT}", "R", f"{name} || text", _BAD)
+
+
+_REPAIR = f"""
+with recursive crc as materialized ({_CRC_TABLE}), said as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, {_crc("coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' ')")} % 20 as fault
+  from conversations, crc
+), damaged as (
+  select conv_id, turn, case when fault = 4 then 'user' else role end as role,
+    case when fault = 1 then '' when fault = 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text, copy
+  from said, unnest(case when fault = 3 then [0, 1] else [0] end) as x(copy) where fault <> 0
+), placed as (
+  select *, row_number() over w as place, lag(role) over w as before from damaged window w as (partition by conv_id order by turn nulls first, role, text, copy)
+), judged as (
+  select *, case when not regexp_matches(text, '[^\\x20\\x09-\\x0D]') then 'blank'
+      when row_number() over (partition by conv_id, role, text order by place) > 1 then 'duplicate'
+      when not regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*$') then 'truncated' else '' end as fault
+  from placed
+), start as (
+  select distinct conv_id, cast(0 as bigint) as place, struct_pack(cost := 0, audit := '', said := '') as n, struct_pack(cost := 1000000, audit := '', said := '') as o from conversations
+), read(conv_id, place, n, s, u, a) as (
+  select conv_id, place, n, o, o, o from start
+  union all
+  select conv_id, place, {_edit("n", "4", "D")}, {_least([_edit("s", "4", "D"), _keep("n", "s")])},
+    {_least([_edit("u", "4", "D"), *(_keep(x, "u") for x in "nsa"), *(_rerole(x, _USER) for x in "nsa")])},
+    {_least([_edit("a", "4", "D"), _keep("u", "a"), _rerole("u", _ASSISTANT)])}
+  from (select j.conv_id, j.place, role, text, fault, {_INSERTED} from read r join judged j on j.conv_id is not distinct from r.conv_id and j.place = r.place + 1)
+), counted as (
+  select conv_id, count(*) as held, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 'blank') as blank, count(*) filter (fault = 'duplicate') as duplicate,
+    count(*) filter (fault = 'truncated') as truncated, count(*) filter (before[1] || role[1] not in ('su', 'ua', 'au')) as illegal
+  from judged group by conv_id
+), ended as (
+  select r.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal,
+    {_least(["n", "a"])} as best
+  from (select conv_id, place, {_INSERTED} from read) r left join counted c on c.conv_id is not distinct from r.conv_id where r.place = coalesce(c.held, 0)
+)
+select conv_id, gaps, blank, duplicate, truncated, illegal, cast(best.cost as bigint) as cost, best.audit as audit, sha256(substr(best.said, 2)) as repaired_sha256 from ended
+"""
+
+_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_RESAMPLING = rf"""
+with crc as materialized ({_CRC_TABLE}), texts as (
+  select doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from documents
+), said as (select doc_id, unnest(ws) as word from texts), wanted as (
+  select unnest(regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) as word from benchmark
+), known as (
+  select word, {_crc("word")} % 10000 as bucket from (select distinct word from (select word from said union all select word from wanted)), crc
+), corpus as (select bucket, count(*) as s from said join known using (word) group by bucket), target as (
+  select bucket, count(*) as t from wanted join known using (word) group by bucket
+), gains as (
+  select bucket, floor(1000 * ln((coalesce(t, 0) + 1.0::double) * ((select count(*) from said) + 10000.0::double) / ((s + 1.0::double) * ((select count(*) from wanted) + 10000.0::double)))) as gain
+  from corpus left join target using (bucket)
+), weighed as (
+  select doc_id, floor(sum(gain) / count(*)) as weight from said join known using (word) join gains using (bucket) group by doc_id
+), scored as (
+  select doc_id, cast(len(ws) as bigint) as n_features, cast(coalesce(weight, 0) as bigint) as weight,
+    cast(coalesce(weight, 0) + floor(-1000 * ln(-ln((cast('0x' || substr(sha256('2024:' || doc_id), 1, 8) as bigint) + 0.5::double) / 4294967296))) as bigint) as score
+  from texts left join weighed using (doc_id)
+), ranked as (
+  select doc_id, row_number() over (order by score desc, doc_id) as rank from scored where n_features >= 20
+  qualify rank <= (select count(*) * 10 // 100 from scored where n_features >= 20)
+)
+select doc_id, n_features, weight, score, rank from scored left join ranked using (doc_id)
+"""
+
+_LINES = f"""
+with texts as (select doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents), lines as (
+  select doc_id, i, ls[i] as line, {_LOWER.format("trim(ls[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")} as key from texts, unnest(range(1, len(ls) + 1)) as u(i)
+), repeated as (
+  select key, max(doc_id) as last from lines where length(key) >= 20 group by key having count(distinct doc_id) >= 3
+), judged as (select doc_id, i, line, coalesce(doc_id <> last, false) as gone from lines left join repeated using (key))
+select doc_id, count(*) as n_lines, count(*) filter (gone) as n_dropped, sha256(coalesce(string_agg(line, chr(10) order by i) filter (not gone), '')) as kept_sha256 from judged group by doc_id
+"""
+
 SQL: dict[str, str] = {
     "op2_chat_format": _CHAT,
     "op4_secret_scan": _SECRETS,
@@ -172,4 +279,7 @@ SQL: dict[str, str] = {
     "op7_substring_dedup": _REPEATS,
     "op8_quality_rules": _quality(),
     "op10_decontamination": _leaks(),
+    "op11_conversation_repair": _REPAIR,
+    "op12_importance_resampling": _RESAMPLING,
+    "op13_line_dedup": _LINES,
 }

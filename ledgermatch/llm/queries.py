@@ -1,4 +1,4 @@
-"""The ten operators applied to the given tables."""
+"""The operators applied to the given tables."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgermatch.llm import bpe, chat, decontam, jaccard, langid, pii, quality, secrets, substrings, toxicity
+from ledgermatch.llm import bpe, chat, decontam, jaccard, langid, lines, pii, quality, repair, resample, secrets, substrings, toxicity
 from ledgermatch.llm import spans as S
 from ledgermatch.llm.common import fold
 
@@ -82,10 +82,33 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (F.size("leak_items") > 0).alias("contaminated"), F.size("leak_items").cast("long").alias("n_items"), text("leak_items").alias("item_ids"), text("leak_words").alias("item_words"))
 
 
+def damaged(turns: DataFrame) -> DataFrame:
+    """``conversations`` with faults dealt out by ``crc32(conv_id:turn) % 20``; rows that are dropped are marked ``absent``."""
+    place = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")])
+    said = turns.select("conv_id", "turn", *[F.coalesce(F.col(c), F.lit(" ")).alias(c) for c in ("role", "text")], (F.crc32(place.cast("binary")) % 20).alias("fault"))
+    text = F.when(F.col("fault") == 1, "").when(F.col("fault") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    rows = said.select("conv_id", "turn", F.when(F.col("fault") == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"), (F.col("fault") == 0).alias("absent"), "fault")
+    return rows.withColumn("copy", F.explode(F.when(F.col("fault") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))).drop("copy", "fault")
+
+
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(damaged(_table(spark, sf_dir, "conversations")), absent="absent")
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return resample.resample(docs, _table(spark, sf_dir, "benchmark").select("text"))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.drop_repeated_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_dropped", _sha(F.col("kept_text")).alias("kept_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_chat_format, op3_toxicity, op4_secret_scan, op5_byte_bpe, op6_jaccard_join, op7_substring_dedup, op8_quality_rules, op9_pii, op10_decontamination, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_chat_format, op3_toxicity, op4_secret_scan, op5_byte_bpe, op6_jaccard_join, op7_substring_dedup, op8_quality_rules, op9_pii, op10_decontamination, op11_conversation_repair, op12_importance_resampling, op13_line_dedup, pipeline)}
