@@ -265,11 +265,14 @@ class Recipe:
 
     @cached_property
     def schedule(self) -> DataFrame:
-        """Contract rates in percent; two accounts of the journal, one of the keyless export."""
-        rows = [("journal", "account_eu", "2.5"), ("journal", "account_us", "2.5"), ("keyless", "account_main", "15")]
-        df = self.spark.createDataFrame(rows, "psp string, account string, percent string")
+        """Contract rates in percent, in force until the next start; one account has two contracts in the period, one a start without a date."""
+        rows = [
+            ("journal", "account_eu", None, "2.5"), ("journal", "account_us", "1995-01-01", "2.5"), ("journal", "account_us", "1997-04-01", "2.4"),
+            ("journal", "account_us", "1999-01-01", "9"), ("keyless", "account_main", "1995-01-01", "15"), ("keyless", "account_main", "1997-06-20", "16.5"),
+        ]
+        df = self.spark.createDataFrame(rows, "psp string, account string, start string, percent string")
         return df.selectExpr(
-            "psp", "account", "date'1995-01-01' as valid_from", f"cast(percent as {money.PERCENT}) as percent_fee",
+            "psp", "account", "cast(start as date) as valid_from", f"cast(percent as {money.PERCENT}) as percent_fee",
             f"{money.ZERO} as fixed_fee", "cast(null as string) as fixed_fee_currency",
         )
 

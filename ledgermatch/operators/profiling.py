@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgermatch.functions.text import literal
+from ledgermatch.operators import ordinal
 
 
 def count_values(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -69,8 +70,8 @@ def repeated_keys(spec: Mapping[str, tuple[DataFrame, Sequence[str]]]) -> DataFr
 
 
 def sample_rows(df: DataFrame, n: int = 5) -> DataFrame:
-    """The first rows to look at."""
-    return df.limit(n)
+    """Rows to look at: the same ones however the table is partitioned."""
+    return ordinal.sample_rows(df, n)
 
 
 def describe_columns(df: DataFrame, max_unique: int = 20) -> DataFrame:

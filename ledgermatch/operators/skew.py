@@ -97,11 +97,20 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Unset, as in tests, it lies in the warehouse of a local
+    session; a cluster has to name it, since a folder of one machine would be lost to the others."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
+
+
 def use_checkpoint_dir(spark: SparkSession) -> None:
-    """Take the folder from ``spark.checkpoint.dir``, or one in the warehouse, which executors share as well."""
     if not spark.sparkContext.getCheckpointDir():
-        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{warehouse}/_checkpoints")
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
 
 
 def window_rank(df: DataFrame, keys: Sequence[str], order: str, name: str) -> DataFrame:

@@ -1,15 +1,15 @@
-"""Checks on the staged tables. The closed lists the files are known to hold."""
+"""Checks on the tables of a run. The closed lists the files are known to hold."""
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-from functools import reduce
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ledgermatch.config import MatchConfig
 from ledgermatch.operators import quality as Q
+from ledgermatch.operators.observe import Rule, column_rules, row_rule
+from ledgermatch.operators.rules import ENGINE, MATCHED_CAUSES, PROVIDER, WINNERS, text_list
 from ledgermatch.sources.staging import COPY_KEYS
 
 _OPERATIONS = ["SALE", "REFUND", "CHARGEBACK"]
@@ -116,49 +116,45 @@ UNIQUE = {
 }
 
 
-def column_report(staged: Mapping[str, DataFrame]) -> DataFrame:
-    """Not-null and closed-list failures of every column: (table_name, column_name, check, failures)."""
-    parts = [Q.column_checks(df, name, COLUMNS[name]) for name, df in staged.items()]
-    return reduce(DataFrame.unionByName, parts)
+_AT = {"adyen_accounting": "event_at_utc"}
+_EXPORTS = ("adyen_accounting", "dlocal_transactions", "google_play_earnings", "paypal_eu_activity", "paypal_us_activity")
 
 
-def staging_checks(staged: Mapping[str, DataFrame], config: MatchConfig) -> list[Q.Check]:
-    """Keys, windows, arithmetic and references of the staged tables."""
+def staging_rules(name: str, config: MatchConfig) -> list[Rule]:
+    """Rules of the single rows of a staged table, counted while it is written."""
+    rules = column_rules(COLUMNS[name])
+    if name in _EXPORTS and config.export_window:
+        rules.append(row_rule("inside export window", config.export_window.outside(_AT.get(name, "txn_at_utc")), Q.WARN))
+    own = {
+        "adyen_accounting": [
+            row_rule("one side of gross filled", "(gross_debit is null) = (gross_credit is null)"),
+            row_rule("net is gross less fee", f"{_SETTLED_EVENT} and not (gross_credit - commission - markup <=> net_credit)", Q.WARN),
+        ],
+        "dlocal_transactions": [
+            row_rule("usd is local over rate", "abs(amount_usd - round(amount_local / fx_rate_local_per_usd, 2)) > 0.005", Q.WARN)
+        ],
+        "google_play_earnings": [
+            row_rule("usd is buyer amount times rate", "abs(amount_usd - round(amount_buyer * conversion_rate, 2)) > 0.01", Q.WARN)
+        ],
+    }
+    return rules + own.get(name, [])
+
+
+def staging_checks(staged: Mapping[str, DataFrame]) -> list[Q.Check]:
+    """Keys and references of the staged tables, which need a shuffle of their own."""
     checks = [
         Q.Check(f"{name} unique on {', '.join(keys)}", Q.not_unique(df, keys))
         for name, df in staged.items()
         for keys in UNIQUE.get(name, [])
     ]
-    at = {"adyen_accounting": "event_at_utc"}
-    for name in ("adyen_accounting", "dlocal_transactions", "google_play_earnings", "paypal_eu_activity", "paypal_us_activity"):
-        outside = Q.outside_window(staged[name], at.get(name, "txn_at_utc"), config.export_window)
-        checks.append(Q.Check(f"{name} inside export window", outside, Q.WARN))
-
-    adyen, dlocal = staged["adyen_accounting"], staged["dlocal_transactions"]
-    google, engine = staged["google_play_earnings"], staged["engine_log"]
+    adyen, google, engine = staged["adyen_accounting"], staged["google_play_earnings"], staged["engine_log"]
     payment = "txn_type = 'Website Payment' and status = 'Completed'"
     refund = {"paypal_us_activity": "'Refund'", "paypal_eu_activity": "'Refund', 'Payment Reversal'"}
     us = staged["paypal_us_activity"].withColumnsRenamed({"transaction_id": "provider_ref", "txn_at_utc": "provider_at"})
     return [
         *checks,
         Q.Check("adyen one row per reference and type", Q.not_unique(adyen, COPY_KEYS["adyen_accounting"][0])),
-        Q.Check("adyen one side of gross filled", Q.not_one_side(adyen, "gross_debit", "gross_credit")),
-        Q.Check(
-            "adyen net is gross less fee",
-            Q.net_differs(adyen.filter(_SETTLED_EVENT), "gross_credit", ["commission", "markup"], "net_credit"),
-            Q.WARN,
-        ),
-        Q.Check(
-            "dlocal usd is local over rate",
-            Q.conversion_differs(dlocal, "amount_local / fx_rate_local_per_usd", "amount_usd", "0.005"),
-            Q.WARN,
-        ),
         Q.Check("one rate per day and currency", Q.not_unique(staged["fx_rates"], ["rate_date", "currency"]), Q.WARN),
-        Q.Check(
-            "google usd is buyer amount times rate",
-            Q.conversion_differs(google, "amount_buyer * conversion_rate", "amount_usd", "0.01"),
-            Q.WARN,
-        ),
         Q.Check(
             "google charge has one fee line",
             Q.sales_without_one_fee_line(google, ["txn_at_utc", "product_id"], "txn_type", "Charge", "Google fee"),
@@ -182,18 +178,69 @@ def staging_checks(staged: Mapping[str, DataFrame], config: MatchConfig) -> list
     ]
 
 
+_MONEY = ("engine_usd", "provider_usd", "diff_usd")
+MATCHED_EQUAL = row_rule(
+    "matched has zero difference", f"cause in ({text_list(MATCHED_CAUSES)}) and not (diff_usd <=> 0)"
+)
+
+
+def pair_rules(psp: str) -> list[Rule]:
+    """Rules of the pairs of one provider."""
+    known = {"psp": _one_of([psp]), **_filled(*_MONEY), "cause": _one_of(list(WINNERS))}
+    return [*column_rules(known), MATCHED_EQUAL]
+
+
 def pair_checks(pairs: Mapping[str, DataFrame]) -> list[Q.Check]:
-    """Matched means no difference, and an engine row stands in one pair where the key is composed."""
-    checks = [Q.Check(f"{psp} matched has zero difference", Q.matched_with_difference(df)) for psp, df in pairs.items()]
+    """An engine row stands in one pair where the key is composed."""
     composed = [psp for psp in ("adyen", "google_play") if psp in pairs]
-    return checks + [Q.Check(f"{psp} one pair per engine row", Q.fanned_out(pairs[psp])) for psp in composed]
+    return [Q.Check(f"{psp} one pair per engine row", Q.fanned_out(pairs[psp])) for psp in composed]
+
+
+#: money of both sides that the differences do not account for, over the whole table
+RESIDUAL = "ifnull(sum(provider_usd), 0) - ifnull(sum(engine_usd), 0) - ifnull(sum(diff_usd), 0)"
+
+
+def all_pairs_rules(psps: Sequence[str] = _PSPS) -> list[Rule]:
+    known = {"psp": _one_of(list(psps)), **_filled("cause", *_MONEY), "cause_bucket": _one_of(["matched", "explained", "unexplained"])}
+    return [
+        *column_rules(known),
+        Rule("residual is zero", f"int({RESIDUAL} <> 0)"),
+        row_rule("every cause known", "cause_bucket = 'unexplained'", Q.WARN),
+    ]
+
+
+def restated_rules() -> list[Rule]:
+    return column_rules(
+        {
+            **_filled("psp", "cause", "engine_usd", "provider_usd", "corrected_usd", "correction_usd"),
+            "corrected_from": _one_of([ENGINE, PROVIDER]),
+        }
+    )
+
+
+#: Not-null columns of the small marts; their rows are unique by the second list.
+MARTS = {
+    "summary_by_cause": (["psp", "cause", "row_count", "abs_usd", "signed_usd"], ["psp", "cause"]),
+    "summary_by_psp": (["psp"], ["psp"]),
+    "totals": (["psp"], ["psp"]),
+    "restated_revenue": (["psp"], ["psp"]),
+    "fees": (["psp"], ["psp", "account", "currency"]),
+}
+
+
+def mart_rules(name: str) -> list[Rule]:
+    rules = column_rules(_filled(*MARTS[name][0])) if name in MARTS else []
+    if name == "totals":
+        rules.append(row_rule("residual_by_psp is zero", "not (residual <=> 0)"))
+    if name == "summary_by_cause":
+        rules.append(Rule("shares sum to 100", "int(count(*) > 0 and not ifnull(abs(sum(share_pct) - 100) <= 0.05, false))"))
+    return rules
 
 
-def mart_checks(all_pairs: DataFrame, marts: Mapping[str, DataFrame], revenue: DataFrame) -> list[Q.Check]:
+def mart_checks(marts: Mapping[str, DataFrame], revenue: DataFrame) -> list[Q.Check]:
+    unique = [Q.Check(f"{name} unique on {', '.join(keys)}", Q.not_unique(marts[name], keys)) for name, (_, keys) in MARTS.items()]
     return [
-        Q.Check("residual is zero", Q.residual_left(marts["totals"])),
+        *unique,
         Q.Check("totals equal ledger revenue", Q.revenue_breaks(marts["totals"], revenue)),
-        Q.Check("shares sum to 100", Q.shares_off(marts["summary_by_cause"])),
         Q.Check("restatement ties", Q.restatement_breaks(marts["restated"], marts["restated_revenue"])),
-        Q.Check("every cause known", all_pairs.filter(F.expr("cause_bucket = 'unexplained'")), Q.WARN),
     ]

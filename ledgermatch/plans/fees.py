@@ -9,8 +9,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgermatch.functions.money import PERCENT, TOTAL, percent_of
-from ledgermatch.operators.skew import broadcast_if_small
+from ledgermatch.functions.money import MONEY, PERCENT, TOTAL, percent_of
+from ledgermatch.operators.asof import attach_interval
 
 #: a fee further than this from the contract is off it
 TOLERANCE = "0.01"
@@ -22,6 +22,7 @@ class FeeSource:
 
     ``gross`` and ``fee`` are SQL text over ``rows``. ``account`` and ``currency`` are SQL text too,
     a column that is grouped by or a constant. ``declined`` marks attempts that failed and still cost a fee.
+    ``at`` dates a row; the contract in force on that day applies.
     """
 
     psp: str
@@ -32,18 +33,31 @@ class FeeSource:
     currency: str = "'USD'"
     by: tuple[str, ...] = ()
     declined: str | None = None
+    at: str = "to_date(provider_at)"
 
 
 def check_fees(sources: Sequence[FeeSource], schedule: DataFrame) -> DataFrame:
     """One row per provider, account and currency; contract columns are null without a contract.
 
-    Where the schedule holds several contracts of an account, the latest one counts.
+    Every row is compared with the contract that was in force on its day. ``contract_pct`` shows the one in force at the last row.
+    A provider that is not grouped has a row even if it charged nothing.
     """
-    latest = schedule.groupBy("psp", "account").agg(F.expr("max_by(percent_fee, valid_from) as contract_pct"))
-    in_force = broadcast_if_small(latest)
-    lines = reduce(
-        lambda one, other: one.unionByName(other, allowMissingColumns=True),
-        [_one_provider(source, in_force) for source in sources],
+    rows = reduce(DataFrame.unionByName, [_rows(source) for source in sources])
+    charged = attach_interval(rows, schedule, ["psp", "account"], "at", "valid_from", ["percent_fee"]).selectExpr(
+        "*", "round(gross * (percent_fee * 0.01), 2) as due"
+    )
+    lines = charged.groupBy("psp", "account", "currency").agg(
+        F.expr("count_if(not declined) as row_count"),
+        F.expr("sum(if(declined, null, gross)) as gross"),
+        F.expr("sum(if(declined, null, fee)) as fee_actual"),
+        F.expr("max_by(percent_fee, if(percent_fee is null, null, at)) as contract_pct"),
+        F.expr("sum(if(declined, null, due)) as fee_contract"),
+        # null and not zero without a contract: nothing was compared
+        F.expr(
+            f"if(max(percent_fee) is null, null, count_if(not declined and abs(fee - due) > {TOLERANCE}))"
+            " as rows_off_contract"
+        ),
+        F.expr("if(max(may_decline), sum(if(declined, fee, null)), 0) as fee_on_declined"),
     )
     fee = "cast(fee_actual as decimal(38,2))"
     return lines.selectExpr(
@@ -55,28 +69,20 @@ def check_fees(sources: Sequence[FeeSource], schedule: DataFrame) -> DataFrame:
     ).orderBy("psp", F.asc_nulls_last("account"), F.asc_nulls_last("currency"))
 
 
-def _one_provider(source: FeeSource, in_force: DataFrame) -> DataFrame:
-    declined = source.declined or "false"
+def _rows(source: FeeSource) -> DataFrame:
+    """The fee-bearing rows of all providers look alike, so that one join prices all of them."""
+    may_decline = "true" if source.declined else "false"
     rows = source.rows.selectExpr(
-        f"'{source.psp}' as psp", f"{source.account} as account", f"{source.currency} as currency",
-        f"{source.gross} as gross", f"{source.fee} as fee", f"{declined} as declined",
+        f"'{source.psp}' as psp", f"{source.account} as account", f"{source.currency} as currency", f"{source.at} as at",
+        f"cast({source.gross} as {MONEY}) as gross", f"cast({source.fee} as {MONEY}) as fee",
+        f"{source.declined or 'false'} as declined", f"{may_decline} as may_decline",
+    )
+    if source.by:
+        return rows
+    nothing = [f"cast(null as {kind}) as {name}" for name, kind in rows.dtypes if name in ("at", "gross", "fee", "declined")]
+    return rows.unionByName(
+        rows.sparkSession.range(1).selectExpr(
+            f"'{source.psp}' as psp", f"{source.account} as account", f"{source.currency} as currency",
+            f"{may_decline} as may_decline", *nothing,
+        )
     )
-    charged = rows.join(in_force, ["psp", "account"], "left").selectExpr(
-        "*", "round(gross * (contract_pct * 0.01), 2) as due"
-    )
-    figures = charged.groupBy(*source.by).agg(
-        F.expr("count_if(not declined) as row_count"),
-        F.expr("sum(if(declined, null, gross)) as gross"),
-        F.expr("sum(if(declined, null, fee)) as fee_actual"),
-        F.expr("max(contract_pct) as contract_pct"),
-        F.expr("sum(if(declined, null, due)) as fee_contract"),
-        # null and not zero without a contract: nothing was compared
-        F.expr(
-            f"if(max(contract_pct) is null, null, count_if(not declined and abs(fee - due) > {TOLERANCE}))"
-            " as rows_off_contract"
-        ),
-        F.expr("sum(if(declined, fee, null)) as fee_on_declined" if source.declined else "0 as fee_on_declined"),
-    )
-    constants = [f"'{source.psp}' as psp"]
-    constants += [f"{getattr(source, c)} as {c}" for c in ("account", "currency") if c not in source.by]
-    return figures.selectExpr("*", *constants)

@@ -197,25 +197,35 @@ def match(
     """One row per pair with at least one side in the period, its money on both sides and its cause."""
     if heavy is None:
         heavy = heavy_keys({"one": (engine, provider, profile)}, config)["one"]
+    return paired(*prepared(engine, provider, profile, config, book, heavy), profile, config, heavy)
+
+
+def prepared(
+    engine: DataFrame, provider: DataFrame, profile: Profile, config: MatchConfig, book: RateBook | None, heavy: Heavy
+) -> tuple[DataFrame, DataFrame]:
+    """Both sides cut to the profile, keyed, ranked and valued: what ``paired`` takes, and what can be kept between runs."""
     e_side, p_side = _keyed(engine, provider, profile)
+    if profile.journal:
+        p_side = dup_rank(p_side, profile.copy_keys, ["provider_at"], hot=heavy.copies)
+    if profile.keyless:
+        p_side = _with_fee_lines(p_side, profile)
+    return (
+        with_spread(e_side.drop(*profile.held_by_key), profile.keys),
+        with_spread(valued(p_side, profile, config, book).drop(*profile.held_by_key), profile.keys),
+    )
+
+
+def paired(e_side: DataFrame, p_side: DataFrame, profile: Profile, config: MatchConfig, heavy: Heavy) -> DataFrame:
+    """The pairs of two prepared sides. Sides that were written in buckets by their pair key meet without a shuffle."""
     # true repeats stand in the same order on both sides, so the n-th meets its like
     rank, order, engine_order = "dup_rank", [], ["txn_id"]
     if profile.keyless:
         order, engine_order = ["abs(provider_amount)"], ["abs(engine_amount)", "txn_id"]
     if profile.journal:
-        p_side = dup_rank(p_side, profile.copy_keys, ["provider_at"], hot=heavy.copies)
         rank, order = "_place", ["dup_rank", "provider_at", "abs(provider_amount)"]
         engine_order = ["engine_at", "abs(engine_amount)", "txn_id"]
-    if profile.keyless:
-        p_side = _with_fee_lines(p_side, profile)
     pairs = pair_ledgers(
-        e_side.drop(*profile.held_by_key),
-        valued(p_side, profile, config, book).drop(*profile.held_by_key),
-        profile.keys,
-        engine_order=engine_order,
-        provider_order=order,
-        rank=rank,
-        hot=heavy.pair,
+        e_side, p_side, profile.keys, engine_order=engine_order, provider_order=order, rank=rank, hot=heavy.pair
     )
     restored = [
         f"if({'has_engine' if column == 'engine_at' else 'has_provider'}, {key}, null) as {column}"

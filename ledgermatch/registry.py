@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import lru_cache, reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ledgermatch.fixtures import PROFILES, Recipe
 from ledgermatch.functions import money, times
-from ledgermatch.operators import profiling, quality, skew, stats
-from ledgermatch.operators.asof import attach_rate
-from ledgermatch.operators.dedup import dup_rank
-from ledgermatch.plans import marts, profiles, reports
+from ledgermatch.operators import observe, ordinal, profiling, quality, sketches, skew, stats
+from ledgermatch.operators.asof import attach_interval, attach_rate, rate_book, spread_interval
+from ledgermatch.operators.dedup import dup_rank, first_rate
+from ledgermatch.plans import descriptions, expectations, marts, profiles, reports
 from ledgermatch.plans.fees import FeeSource, check_fees
-from ledgermatch.sources import staging
+from ledgermatch.sources import layouts, readers, sinks, staging
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -438,3 +440,226 @@ def dq_tie_out(r: Recipe) -> DataFrame:
             quality.Check("copies_in_export", quality.not_unique(r.provider("id_fx"), ["provider_ref"]), quality.WARN),
         ]
     )
+
+
+# a run's own checks, tables and order -----------------------------------------------------------
+
+
+@query
+def dq_observed(r: Recipe) -> DataFrame:
+    """Column rules, pair rules and a figure of the whole table, each table passed once."""
+    always = quality.Column(not_null=True)
+    engine = {c: always for c in ("txn_id", "order_id", "currency", "amount_usd", "fx_rate_applied", "psp_reference")}
+    engine["operation_type"] = quality.Column(not_null=True, accepted=["SALE"])
+    export = {"provider_status": quality.Column(accepted=["Completed", "Denied"]), "own_usd": always}
+    return observe.count_now(
+        r.spark,
+        {
+            "engine": (r.engine_all(), observe.column_rules(engine)),
+            "id_own": (r.provider("id_own"), observe.column_rules(export)),
+            "pairs": (_all_pairs(r), expectations.all_pairs_rules(PROFILES)),
+            "unpriced": (_unpriced(r), expectations.all_pairs_rules(PROFILES)),
+        },
+    )
+
+
+def _unpriced(r: Recipe) -> DataFrame:
+    """Pairs of the foreign-currency export when one currency has no rates."""
+    book = rate_book(r.rates.filter("currency <> 'BRL'"), broadcast_rows=r.config.broadcast_rows)
+    sides = r.engine("id_fx"), r.provider("id_fx"), r.profile("id_fx")
+    return marts.all_pairs([profiles.match(*sides, r.config, book, r.heavy("id_fx")["id_fx"])])
+
+
+@query
+def dq_unpriced(r: Recipe) -> DataFrame:
+    return marts.by_cause_money(_unpriced(r), "cause_bucket", "cause")
+
+
+@query
+def totals_unpriced(r: Recipe) -> DataFrame:
+    return marts.totals(_unpriced(r))
+
+
+@query
+def contract_in_force(r: Recipe) -> DataFrame:
+    """The contract of every journal row, by the merge that needs no day grid and no broadcast."""
+    rows = r.provider("journal").filter("provider_type = 'Settled'").selectExpr("'journal' as psp", "account", "provider_ref", "to_date(provider_at) as on_day")
+    return spread_interval(rows, r.schedule, ["psp", "account"], "on_day", "valid_from", ["percent_fee"])
+
+
+@query
+def order_status_in_force(r: Recipe) -> DataFrame:
+    """Line items with the customer's last order on or before the ship day: many keys, many starts, one interval each."""
+    orders = _table(r, "orders").selectExpr("o_custkey as cust", "to_date(o_orderdate) as since", "o_orderkey as last_order", "o_orderpriority as priority")
+    lines = _table(r, "lineitem").selectExpr("l_orderkey", "l_linenumber", "l_suppkey as cust", "to_date(l_shipdate) as shipped")
+    return attach_interval(lines, orders, ["cust"], "shipped", "since", ["last_order", "priority"], broadcast_rows=1000)
+
+
+def _catalog(r: Recipe, tables: tuple[str, ...]) -> list[str]:
+    """The given files as catalog tables; files and rows stay where they are."""
+    r.spark.sql("create database if not exists ledgermatch_files")
+    names = [f"ledgermatch_files.{t}" for t in tables]
+    for table, name in zip(tables, names, strict=True):
+        path = f"{r.sf_dir}/{table}.parquet"
+        sinks.register(r.spark.read.parquet(path), name, path, f"The table {table}, as given.", {_FIRST[table]: "Key of the table."})
+    return names
+
+
+_FIRST = {"orders": "o_orderkey", "lineitem": "l_orderkey", "customer": "c_custkey", "events": "event_id", "documents": "doc_id", "labels": "doc_id"}
+
+
+@query
+def catalog_listing(r: Recipe) -> DataFrame:
+    listed = sinks.catalog_listing(r.spark, _catalog(r, tuple(_FIRST)))
+    return listed.selectExpr("table_name", "kind", "place", "column_name", "table_comment", "column_comment", "row_count", "bytes > 0 as has_size")
+
+
+@query
+def described_marts(r: Recipe) -> DataFrame:
+    """Marts written, entered in the catalog with their descriptions, and read back from there."""
+    folder = f"{skew.shared_folder(r.spark)}/marts-{uuid.uuid4().hex}"
+    r.spark.sql("create database if not exists ledgermatch_marts")
+    pairs = skew.checkpoint(_all_pairs(r))
+    restated = marts.restate(pairs)
+    for name, df in {"totals": marts.totals(pairs), "summary_by_cause": marts.by_cause(pairs), "restated": restated}.items():
+        written = sinks.write_table(df, f"{folder}/{name}")
+        told = {c: text for c, text in descriptions.COLUMNS[name].items() if c in written.columns}
+        sinks.register(written, f"ledgermatch_marts.{name}", f"{folder}/{name}", descriptions.TABLES[name], told)
+    listed = sinks.catalog_listing(r.spark, [f"ledgermatch_marts.{n}" for n in ("totals", "summary_by_cause", "restated")])
+    return listed.selectExpr("table_name", "column_name", "place", "row_count", "table_comment is not null as described", "column_comment is not null as column_described")
+
+
+@query
+def pairs_ordered(r: Recipe) -> DataFrame:
+    """Every pair with its place when the largest differences come first."""
+    pairs = _all_pairs(r).select("psp", "txn_id", "provider_ref", "provider_at", "provider_type", "cause", "diff_usd")
+    order = "psp, magnitude desc, txn_id nulls last, provider_ref nulls last, provider_at nulls last, provider_type nulls last, cause, diff_usd"
+    return ordinal.ordinal(pairs.selectExpr("*", "abs(diff_usd) as magnitude"), order, "place").drop("magnitude")
+
+
+@query
+def summary_by_psp_ordered(r: Recipe) -> DataFrame:
+    rows = marts.by_psp(_all_pairs(r)).selectExpr("*", "psp = 'total' as is_total")
+    return ordinal.ordinal(rows, "is_total, abs_usd desc, psp", "place", unique=True).drop("is_total")
+
+
+@query
+def sampled_rows(r: Recipe) -> DataFrame:
+    return ordinal.sample_rows(_table(r, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"), 100, ["o_orderkey"])
+
+
+# profiles that grow -------------------------------------------------------------------------------
+
+
+@query
+def profile_incremental(r: Recipe) -> DataFrame:
+    """Sketches kept by month; merged they say what one sketch of the whole table says, within the error of a sketch."""
+    orders = _table(r, "orders")
+    columns = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority"]
+    by_month = sketches.column_sketches(orders, "date_format(o_orderdate, 'yyyy-MM')", columns)
+    kept = sinks.write_table(by_month, f"{skew.shared_folder(r.spark)}/sketches-{uuid.uuid4().hex}")
+    merged = sketches.merged_profile(kept)
+    whole = sketches.merged_profile(sketches.column_sketches(orders, "'all'", columns)).withColumnRenamed("distinct_approx", "whole")
+    exact = profiling.count_values(orders, columns).groupBy("column_name").agg(F.expr("count(value) as distinct_exact"))
+    rows = merged.join(whole.select("column_name", "whole"), "column_name").join(exact, "column_name")
+    return rows.selectExpr(
+        "column_name", "row_count", "nulls", "distinct_exact", "abs(distinct_approx - whole) <= 0.05 * distinct_exact as near_whole",
+        "abs(distinct_approx - distinct_exact) <= 0.05 * distinct_exact as within_bound",
+    )
+
+
+_FREQUENT = {"lineitem": ["l_partkey", "l_shipdate"], "orders": ["o_custkey", "o_orderpriority"], "events": ["event_type"], "documents": ["text", "source"]}
+
+
+@query
+def profile_top_values(r: Recipe) -> DataFrame:
+    parts = [
+        sketches.top_values(_table(r, table), column, 10).selectExpr(
+            f"'{table}' as table_name", f"'{column}' as column_name", "sha2(cast(cast(value as string) as binary), 256) as value", "n"
+        )
+        for table, columns in _FREQUENT.items()
+        for column in columns
+        if not (table == "lineitem" and column == "l_shipdate")
+    ]
+    return reduce(DataFrame.unionAll, parts)
+
+
+# files and laid-out ledgers -----------------------------------------------------------------------
+
+
+@query
+def stacked_files(r: Recipe) -> DataFrame:
+    """Monthly exports with a banner, written as text and read back in one scan, each row tagged with its month."""
+    kind = layouts.LAYOUTS["google_play_earnings"]
+    month = "date_format(to_date(`Transaction Date`, 'MMM d, yyyy'), 'yyyyMM') as month"
+    cells = ", ".join(f"`{c}`" for c in kind.columns)
+    lines = r.raw_text("google_play_earnings").selectExpr(month, f"to_csv(struct({cells}), map('escape', '\"')) as line")
+    header = ",".join(kind.columns).replace("'", "\\'")
+    tops = lines.select("month").distinct().selectExpr("month", f"explode(array('Earnings report, all products', '{header}')) as line")
+    folder = f"{skew.shared_folder(r.spark)}/exports-{uuid.uuid4().hex}"
+    lines.unionByName(tops).repartition("month").write.partitionBy("month").text(folder)
+    tag = readers.FileTag("source_file", r"/month=([0-9]+)/")
+    rows = layouts.read_folder(r.spark, "google_play_earnings", folder, tag, banner="^Earnings report")
+    typed = staging.google_play_earnings(rows)
+    return typed.select("source_file", "txn_type", "product_id", "amount_buyer", "conversion_rate", "amount_usd", "txn_at_utc")
+
+
+@query
+def pairs_laid_out(r: Recipe) -> DataFrame:
+    """Pairs from two sides that were written in buckets by their pair key: nothing but their own files is read, nothing is shuffled."""
+    return profiles.paired(*laid_out(r, "id_base"), r.profile("id_base"), r.config, r.heavy("id_base")["id_base"])
+
+
+def laid_out(r: Recipe, name: str, buckets: int = 16) -> list[DataFrame]:
+    r.spark.sql("create database if not exists ledgermatch_sides")
+    sides = profiles.prepared(r.engine(name), r.provider(name), r.profile(name), r.config, r.book, r.heavy(name)[name])
+    keys = profiles.spread_keys(r.profile(name).keys)
+    folder = f"{skew.shared_folder(r.spark)}/sides-{uuid.uuid4().hex}"
+    tables = []
+    for side, df in zip(("engine", "provider"), sides, strict=True):
+        table = f"ledgermatch_sides.{name}_{side}"
+        r.spark.sql(f"drop table if exists {table}")
+        tables.append(sinks.write_buckets(df, table, f"{folder}/{side}", keys, buckets))
+    return tables
+
+
+# rules that have to fail ---------------------------------------------------------------------------
+
+
+def _rates_twice(r: Recipe) -> DataFrame:
+    """Rates of which some days have a second one, published earlier or later than the first."""
+    rates = r.rates.selectExpr("rate_date", "currency", "usd_rate", "2 as published", "datediff(rate_date, date'1990-01-01') as n")
+    second = rates.filter("n % 5 = 0").selectExpr(
+        "rate_date", "currency", f"cast(usd_rate + if(n % 2 = 0, 0.01, -0.01) as {money.RATE})", "if(n % 3 = 0, 1, 3)", "n"
+    )
+    return rates.unionAll(second)
+
+
+@query
+def fx_first_rate(r: Recipe) -> DataFrame:
+    """Of two rates of a day, the lowest and the one published first."""
+    rates = _rates_twice(r)
+    lowest = first_rate(rates).withColumnRenamed("usd_rate", "lowest")
+    return lowest.join(first_rate(rates, prefer="published").withColumnRenamed("usd_rate", "published_first"), ["currency", "rate_date"])
+
+
+@query
+def dq_planted(r: Recipe) -> DataFrame:
+    """Structural checks on rows with planted defects: keys that repeat, both sides filled, wrong conversions."""
+    k = "cast(substring(provider_ref, 2) as bigint)"
+    journal = r.provider("journal").selectExpr(
+        "*", f"if(provider_amount >= 0 and {k} % 281 <> 0, provider_amount, null) as credit",
+        f"if(provider_amount < 0 or {k} % 283 = 0, abs(provider_amount), null) as debit",
+    )
+    own = r.provider("id_own").filter("own_rate is not null").selectExpr(
+        "provider_amount", f"cast(1 / own_rate as {money.RATE}) as local_per_usd",
+        f"cast(provider_amount / cast(1 / own_rate as {money.RATE}) + if({k} % 293 = 0, 0.02, 0) as {money.MONEY}) as usd",
+    )
+    return quality.run_checks(
+        [
+            quality.Check("one_row_per_reference_and_type", quality.not_unique(r.provider("journal").unionByName(r.provider("journal").filter(f"{k} % 277 = 0")), ["provider_ref", "provider_type"])),
+            quality.Check("one_rate_per_day", quality.not_unique(_rates_twice(r), ["currency", "rate_date"]), quality.WARN),
+            quality.Check("one_side_of_gross", quality.not_one_side(journal, "debit", "credit")),
+            quality.Check("usd_is_local_over_rate", quality.conversion_differs(own, "provider_amount / local_per_usd", "usd", "0.005"), quality.WARN),
+        ]
+    )

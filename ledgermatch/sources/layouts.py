@@ -9,7 +9,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgermatch.sources.readers import read_banner_csv, read_text_csv
+from ledgermatch.sources.readers import FileTag, read_banner_csv, read_text_csv
 
 
 @dataclass(frozen=True)
@@ -69,6 +69,20 @@ def read_raw(spark: SparkSession, layout: str, path: str | list[str]) -> DataFra
     return read_text_csv(spark, path, kind.columns, sep=kind.sep, encoding=kind.encoding)
 
 
+def read_folder(
+    spark: SparkSession, layout: str, folder: str | list[str], tag: FileTag | None = None, banner: str | None = None
+) -> DataFrame:
+    """All files of a layout below a folder in one scan, each row tagged with its file.
+
+    However many files there are, the plan has one reader; headers and banners go by file. ``banner`` is a pattern for
+    the banner line; without one it is the first line of each file.
+    """
+    kind, tag = LAYOUTS[layout], tag or FileTag()
+    if kind.banner:
+        return read_banner_csv(spark, folder, kind.columns, sep=kind.sep, banner=banner, tag=tag)
+    return read_text_csv(spark, folder, kind.columns, sep=kind.sep, encoding=kind.encoding, tag=tag)
+
+
 def register(tables: dict[str, DataFrame], prefix: str = "") -> None:
     """Make tables available to SQL under their names."""
     for name, df in tables.items():

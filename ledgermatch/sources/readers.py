@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,6 +14,17 @@ from pyspark.sql import types as T
 _WINDOWS = {byte: bytes([byte]).decode("cp1252", "ignore") for byte in range(0x80, 0xA0)}
 
 
+@dataclass(frozen=True)
+class FileTag:
+    """A column that names the file of a row: what ``pattern`` captures in its path, by default its name without an ending."""
+
+    name: str = "source_file"
+    pattern: str = r"([^/]+?)(?:\.[^./]*)?$"
+
+    def column(self) -> Column:
+        return F.regexp_extract(F.url_decode("_metadata.file_path"), self.pattern, 1).alias(self.name)
+
+
 def text_schema(columns: Sequence[str], comments: Mapping[str, str] | None = None) -> T.StructType:
     """Every column a string, with its description in the field metadata."""
     comments = comments or {}
@@ -30,6 +42,7 @@ def read_text_csv(
     encoding: str = "utf-8",
     multiline: bool = False,
     comments: Mapping[str, str] | None = None,
+    tag: FileTag | None = None,
 ) -> DataFrame:
     """CSV with a header line, all columns text, empty cells null.
 
@@ -50,14 +63,16 @@ def read_text_csv(
         .option("multiLine", multiline)
         .option("enforceSchema", False)
         .option("mode", "FAILFAST")
+        .option("recursiveFileLookup", tag is not None)
         .csv(path)
     )
+    tags = [tag.column()] if tag else []
     if not windows:
-        return raw
+        return raw.select(*tags, "*") if tag else raw
     wrong = "".join(chr(byte) for byte, char in _WINDOWS.items() if char)
     right = "".join(char for char in _WINDOWS.values() if char)
     fixed = [F.translate(F.col(f"`{f.name}`"), wrong, right).alias(f.name, metadata=f.metadata) for f in schema]
-    return raw.select(*fixed)
+    return raw.select(*tags, *fixed)
 
 
 def read_banner_csv(
@@ -68,6 +83,7 @@ def read_banner_csv(
     banner: str | None = None,
     sep: str = ",",
     comments: Mapping[str, str] | None = None,
+    tag: FileTag | None = None,
 ) -> DataFrame:
     """CSV below a banner line, with LF and CRLF line ends mixed.
 
@@ -76,9 +92,10 @@ def read_banner_csv(
     Without one, each file's first line is the banner, found by its place in the file. Every other line
     that is not empty is a record, and one that does not fit the columns is an error: nothing is dropped.
     """
-    read = spark.read.text(path).select(
-        F.rtrim(F.col("value"), F.lit("\r")).alias("line"), "_metadata.file_path", "_metadata.file_block_start"
-    )
+    tags = [tag.column()] if tag else []
+    read = spark.read.option("recursiveFileLookup", tag is not None).text(path).select(
+        F.rtrim(F.col("value"), F.lit("\r")).alias("line"), "_metadata.file_path", "_metadata.file_block_start", *tags
+    )
     spelled = [sep.join(columns), sep.join(f'"{c}"' for c in columns)]
     is_header = F.col("line").isin(*spelled, *["\ufeff" + s for s in spelled])
     if banner is None:
@@ -91,10 +108,11 @@ def read_banner_csv(
     record = ~is_header & (F.col("line") != "")
     schema = text_schema(columns, comments)
     ddl = ", ".join(f"`{c}` string" for c in columns)
+    own = [tag.name] if tag else []
     parsed = lines.filter(record).select(
-        F.from_csv("line", F.lit(ddl), {"sep": sep, "mode": "FAILFAST", "escape": '"'}).alias("r")
+        *own, F.from_csv("line", F.lit(ddl), {"sep": sep, "mode": "FAILFAST", "escape": '"'}).alias("r")
     )
-    return parsed.select(*[F.col(f"r.`{f.name}`").alias(f.name, metadata=f.metadata) for f in schema])
+    return parsed.select(*own, *[F.col(f"r.`{f.name}`").alias(f.name, metadata=f.metadata) for f in schema])
 
 
 def stack_files(parts: Mapping[str, DataFrame], tag: str = "source_file") -> DataFrame:

@@ -7,8 +7,11 @@ import pytest
 from june import June
 
 from ledgermatch import MatchConfig, Period
+from ledgermatch.operators import observe
+from ledgermatch.operators.observe import ChecksFailed
 from ledgermatch.operators.rules import WINNERS
 from ledgermatch.plans import full_run
+from ledgermatch.sources import sinks
 
 CONFIG = MatchConfig(Period("2026-06-01", "2026-07-01"), Period("2026-06-01", "2026-07-04"))
 
@@ -22,7 +25,9 @@ def june():
 def result(spark, june, tmp_path_factory):
     folder = tmp_path_factory.mktemp("june")
     files = june.write(folder)
-    return full_run.run(spark, files, str(folder / "out"), CONFIG, google_account="account_main"), folder
+    run = full_run.run(spark, files, str(folder / "out"), CONFIG, google_account="account_main", database="june_run")
+    yield run, folder
+    spark.sql("drop database june_run cascade")
 
 
 def test_each_pair_has_its_cause_and_difference(june, result):
@@ -108,3 +113,50 @@ def test_a_provider_reads_its_own_part_of_the_ledger(result):
     ledger = result[0].raw["engine_log"].filter("psp = 'adyen'")
     plan = ledger._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(psp" in plan
+
+
+def test_written_tables_keep_their_descriptions(spark, result):
+    tables = {t.name for t in spark.catalog.listTables("june_run")}
+    assert {"raw_engine_log", "staged_engine_log", "pairs_adyen", "marts_totals", "marts_fees", "reports_capture_delay", "analysis_columns"} <= tables
+    listed = {(r.table_name, r.column_name): r for r in sinks.catalog_listing(spark, ["june_run.marts_totals", "june_run.staged_engine_log"]).collect()}
+    totals = listed["marts_totals", "residual"]
+    assert totals.row_count == 6 and totals.column_comment and totals.table_comment
+    assert listed["staged_engine_log", "psp"].row_count == result[0].raw["engine_log"].count()
+
+
+def test_reports_are_exported_as_tsv(spark, result):
+    run, folder = result
+    for name, df in run.reports.items():
+        back = spark.read.option("header", True).option("sep", "\t").csv(str(folder / "out" / "tsv" / "reports" / name))
+        assert back.columns == df.columns and back.count() == df.count()
+    net = {r.psp: r.net_usd for r in run.reports["provider_net"].collect()}
+    totals = {r.psp: r.provider_usd for r in run.marts["totals"].collect()}
+    assert all(net[psp] == totals[psp] for psp in net)
+
+
+def test_a_planted_error_stops_the_run(spark, june, tmp_path):
+    """A row without an amount is an error of the staged layer: nothing is paired, and the failure is named."""
+    files = june.write(tmp_path)
+    path = files["engine_log"]
+    lines = open(path, encoding="utf-8").read().splitlines()
+    cells = lines[1].split(",")
+    place = lines[0].split(",").index("order_id")
+    cells[place] = ""
+    lines[1] = ",".join(cells)
+    with open(path, "w", encoding="utf-8") as f:
+        f.write("\n".join(lines) + "\n")
+    with pytest.raises(ChecksFailed, match="engine_log: order_id not_null \\(1\\)") as stopped:
+        full_run.run(spark, files, str(tmp_path / "out"), CONFIG, google_account="account_main")
+    assert ("engine_log", "order_id not_null", 1) in stopped.value.failures
+    assert not (tmp_path / "out" / "pairs").exists()
+
+
+def test_watched_tables_are_scanned_once(spark, result):
+    """Counting the rules adds a node to the plan and no scan."""
+    df = result[0].raw["dlocal_transactions"]
+    watch = lambda: observe.Watch("x", [observe.row_rule("bad", "currency is null"), observe.Rule("sum", "int(count(*) > 1000)")])
+    scans = lambda d: d._jdf.queryExecution().executedPlan().toString().count("FileScan")
+    assert scans(watch().on(df)) == scans(df) == 1
+    counted = watch()
+    counted.on(df).write.format("noop").mode("overwrite").save()
+    assert [r[3] for r in counted.results()] == [0, 0]
