@@ -16,6 +16,8 @@ from ledgermatch.llm.common import map_text, materialize, packed, unpacked
 
 #: Characters of a chunk, and of the stretch it shares with the next chunk.
 CHUNK, OVERLAP = 32_768, 1_024
+#: Characters that the library's own splitter is given at once; it recurses and ends the process on runs of a million blanks.
+SPLIT = 100_000
 
 
 @lru_cache(maxsize=2)
@@ -54,13 +56,20 @@ def boundaries(text: str, pattern: str) -> np.ndarray:
     return np.array([m.end() for m in regex.finditer(pattern, text) if not text[m.end() - 1].isspace()], np.int64)
 
 
+def token_ids(text: str, path: str, pattern: str) -> list[int]:
+    """Ids of a text of any length and shape: every match of the pattern encoded on its own."""
+    import regex
+
+    enc = encoder(path, pattern)
+    if len(text) <= SPLIT:
+        return enc.encode_ordinary(text)
+    return [i for m in regex.finditer(pattern, text) for i in enc._encode_single_piece(m.group())]
+
+
 def _whole(path: str, pattern: str):
     def work():
-        enc = encoder(path, pattern)
-
         def make(column):
-            ids = [enc.encode_ordinary(x or "") for x in column.to_pylist()]
-            return [[np.array(x, np.int32) for x in ids]]
+            return [[np.array(token_ids(x or "", path, pattern), np.int32) for x in column.to_pylist()]]
 
         return make
 
@@ -88,8 +97,8 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", chu
     Texts of up to ``chunk`` characters are encoded where they are. Longer ones are dealt out as chunks that overlap by
     ``OVERLAP`` characters and are pre-tokenised apart. A chunk starts anywhere, so its first boundaries may be wrong; where two
     neighbours agree on a boundary inside their overlap, both go on alike from there, and the text is cut. Each piece is encoded
-    on its own and the ids are put together by position. A text with two neighbours that never agree (one word longer than
-    the overlap) is encoded whole. Either way the ids are those of the whole text.
+    on its own and the ids are put together by position. A text with two neighbours that never agree (one word, or one run of blanks,
+    longer than the overlap) is encoded whole, match by match. Either way the ids are those of the whole text.
 
     Null and empty texts have no ids. Rows need no key: repeated rows, ties and null ids are kept as they are. Other columns are
     kept; one named ``ids`` is replaced.

@@ -7,27 +7,35 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgermatch.operators.skew import shared_folder
+
 #: Numbers of 8 bytes that a join may broadcast after they were counted; above it the join shuffles.
 BROADCAST_NUMBERS = 2_000_000
 #: Bytes of text that one numpy pass takes at a time; a longer text is a pass of its own.
 PASS_BYTES = 1 << 19
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or the warehouse where that is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    return folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_llm_work"
+#: Rows that Spark hands to Python at once while an operator writes its tables: texts are large, and a batch is held on both sides.
+BATCH_ROWS = 1_000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: cuts the lineage and outlives executors."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(_BATCH)
+    if int(before) > BATCH_ROWS or int(before) <= 0:
+        spark.conf.set(_BATCH, BATCH_ROWS)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def checked_broadcast(df: DataFrame, weight: str = "1", most: int = BROADCAST_NUMBERS) -> DataFrame:

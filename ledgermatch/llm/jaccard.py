@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +15,8 @@ from ledgermatch.llm.words import grams, mixed, split_words
 
 #: Documents, and shingles, that one side of a verified block holds at most on average.
 BLOCK_DOCS, BLOCK_SHINGLES = 256, 500_000
+#: Members of a bucket that meet one first member, and sketches that one side of a compared block holds on average.
+BUCKET_ROWS, BLOCK_SKETCHES = 4_096, 1_024
 _FIELD = T.StructField
 
 
@@ -42,34 +45,105 @@ def _each(column, size: int):
     return (_shingles(h[a:b], size) for a, b in zip(w.first, w.first[1:], strict=False))
 
 
-def _signature(size: int, trees: int, depth: int):
-    """Per text: a digest of its shingle set, and for every tree the prefix of the MinHash signature as one number."""
+def _signature(size: int, trees: int, levels: list[int]):
+    """Per text: a digest of its shingle set, a sketch of one byte per MinHash, and per level the prefix of every tree as one number."""
+    longest = levels[0]
 
     def work():
-        factors = mixed(np.arange(1, trees * depth + 1, dtype=np.uint64)) | np.uint64(1)
+        factors = mixed(np.arange(1, trees * longest + 1, dtype=np.uint64)) | np.uint64(1)
 
         def make(column):
-            digests, prefixes = [], []
+            digests, sketches, prefixes = [], [], []
             for s in _each(column, size):
                 digests.append(hashlib.md5(s.tobytes()).digest() if len(s) else None)
                 if not len(s):
+                    sketches.append(None)
                     prefixes.append([])
                     continue
-                low = np.full(trees * depth, np.iinfo(np.uint64).max, np.uint64)
-                for a in range(0, len(s), 2048):
-                    np.minimum(low, (s[a : a + 2048, None] * factors).min(axis=0), out=low)
-                low = mixed(low).reshape(trees, depth)
-                key = np.arange(trees, dtype=np.uint64)
-                for level in range(depth):
+                low = np.full(trees * longest, np.iinfo(np.uint64).max, np.uint64)
+                for a in range(0, len(s), 1024):
+                    np.minimum(low, (s[a : a + 1024, None] * factors).min(axis=0), out=low)
+                low = mixed(low)
+                sketches.append(low.astype(np.uint8).tobytes())
+                low = low.reshape(trees, longest)
+                key, at = np.arange(trees, dtype=np.uint64), {}
+                for level in range(longest):
                     key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + low[:, level])
-                prefixes.append(key.view(np.int64))
-            return [digests, prefixes]
+                    at[level + 1] = key
+                prefixes.append(np.concatenate([at[level] for level in levels]).view(np.int64))
+            return [digests, sketches, prefixes]
 
         return make
 
     return work
 
 
+def _agree(one: np.ndarray, other: np.ndarray, least: float) -> np.ndarray:
+    """For two stacks of sketches, whether so much of them agrees that their sets may be similar."""
+    need = least * one.shape[1]
+    out = np.zeros((len(one), len(other)), bool)
+    step = max(1, (1 << 24) // max(other.size, 1))
+    for a in range(0, len(one), step):
+        out[a : a + step] = (one[a : a + step, None, :] == other[None, :, :]).sum(axis=2, dtype=np.int32) >= need
+    return out
+
+
+def _merged(size: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least index that chains of links ``a[i] - b[i]`` reach, for every index."""
+    label = np.arange(size)
+    while True:
+        before = label.copy()
+        np.minimum.at(label, a, label[b])
+        np.minimum.at(label, b, label[a])
+        label = label[label]
+        if (label == before).all():
+            return label
+
+
+def _stars(least: float):
+    """Rows sorted by bucket and digest: ties every member that agrees with its bucket's first one to it; a bucket is streamed."""
+
+    def run(batches):
+        head, sketch = None, None
+        for batch in batches:
+            names = batch.schema.names
+            cells = [batch.column(names.index(c)).to_pylist() for c in ("prefix", "salt", "digest", "sketch")]
+            ties = []
+            for prefix, salt, digest, own in zip(*cells, strict=True):
+                if head is None or head[:2] != (prefix, salt):
+                    head, sketch = (prefix, salt, digest), np.frombuffer(own, np.uint8)
+                    ties.append((prefix, digest, digest))
+                elif (np.frombuffer(own, np.uint8) == sketch).sum() >= least * len(sketch):
+                    ties.append((prefix, digest, head[2]))
+            columns = zip(*ties, strict=True) if ties else ([], [], [])
+            types = (pa.int64(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=["prefix", "a", "b"])
+
+    return run
+
+
+def _crossing(least: float):
+    """One block of a bucket against another, or itself: ties members of different sets so far that agree, as stars."""
+
+    def run(pdf):
+        import pandas as pd
+
+        pdf = pdf.sort_values("digest", kind="stable", ignore_index=True)
+        first, second = (np.flatnonzero(pdf["block"].to_numpy() == pdf[c].iloc[0]) for c in ("one", "two"))
+        sketches = np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(len(pdf), -1)
+        _, label = np.unique(pdf["label"].to_numpy(), return_inverse=True)
+        apart = label[first][:, None] != label[second][None, :]
+        rows, columns = np.flatnonzero(apart.any(axis=1)), np.flatnonzero(apart.any(axis=0))
+        met = _agree(sketches[first[rows]], sketches[second[columns]], least) & apart[np.ix_(rows, columns)]
+        a, b = np.nonzero(met)
+        low = _merged(len(pdf), first[rows[a]], second[columns[b]])
+        tied = np.flatnonzero(low != np.arange(len(pdf)))
+        digests = pdf["digest"].to_numpy()
+        return pd.DataFrame({"a": digests[tied], "b": digests[low[tied]]})
+
+    return run
+
+
 def _sets(size: int):
     def make(column):
         found = [s.tobytes() for s in _each(column, size)]
@@ -114,50 +188,108 @@ def _verify(threshold: float):
         links[first] += linked @ weight[second]
         if pdf["one"].iloc[0] != pdf["two"].iloc[0]:
             links[second] += linked.T @ weight[first]
-        label = np.arange(len(sets))
         a, b = np.nonzero(linked)
-        a, b = first[a], second[b]
-        while True:
-            before = label.copy()
-            np.minimum.at(label, a, label[b])
-            np.minimum.at(label, b, label[a])
-            label = label[label]
-            if (label == before).all():
-                break
+        label = _merged(len(sets), first[a], second[b])
         digests = pdf["digest"].to_numpy()
         return pd.DataFrame({"digest": digests, "links": links, "low": digests[label]})
 
     return run
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: float = 0.8, trees: int = 24, longest: int = 8, recall: float = 0.99999) -> DataFrame:
+def _trie(vertices: DataFrame, level: int, trees: int) -> DataFrame:
+    """``(prefix, digest)`` of one level of all trees; equal prefixes are the buckets of the sorted tries at that level."""
+    return vertices.select("digest", F.explode(F.slice("prefixes", level * trees + 1, trees)).alias("prefix"))
+
+
+def _first_ties(vertices: DataFrame, trees: int, agree: float) -> DataFrame:
+    """Ties at the longest prefixes, to the first member of each bucket: a row per member and bucket, whatever the bucket's size.
+
+    A large bucket is dealt into parts that each have a first member; those meet once more.
+    """
+    trie = _trie(vertices, 0, trees)
+    sizes = trie.groupBy("prefix").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    salt = F.pmod(F.xxhash64("digest"), F.ceil(F.col("n") / BUCKET_ROWS)).cast("int")
+    members = trie.join(sizes, "prefix").select("prefix", "digest", salt.alias("salt"))
+
+    def stars(rows):
+        dealt = rows.join(vertices.select("digest", "sketch"), "digest").select("prefix", "salt", "digest", "sketch")
+        return dealt.repartition("prefix", "salt").sortWithinPartitions("prefix", "salt", "digest").mapInArrow(_stars(agree), "prefix long, a binary, b binary")
+
+    ties = materialize(stars(members), "jaccard-stars")
+    large = sizes.filter(F.col("n") > BUCKET_ROWS).select("prefix")
+    heads = ties.filter("a = b").join(large, "prefix").select("prefix", F.col("a").alias("digest"), F.lit(0).alias("salt"))
+    return ties.unionByName(stars(heads)).filter("a <> b").select("a", "b")
+
+
+def _later_ties(vertices: DataFrame, labels: DataFrame, level: int, trees: int, agree: float) -> DataFrame:
+    """Ties at shorter prefixes: only buckets that hold members of several sets so far, and only pairs across sets, are looked at."""
+    known = vertices.select("digest", "prefixes").join(labels, vertices["digest"] == labels["v"], "left")
+    known = known.select("digest", F.coalesce("label", "digest").alias("label"), "prefixes")
+    trie = known.select("digest", "label", F.explode(F.slice("prefixes", level * trees + 1, trees)).alias("prefix"))
+    mixed_ = trie.groupBy("prefix").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
+    mixed_ = mixed_.select("prefix", F.ceil(F.col("n") / BLOCK_SKETCHES).cast("int").alias("blocks"))
+    rows = trie.join(mixed_, "prefix").join(vertices.select("digest", "sketch"), "digest")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("prefix", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "digest", "label", "sketch")
+    return rows.groupBy("prefix", "one", "two").applyInPandas(_crossing(agree), "a binary, b binary")
+
+
+def _sets_of(ties: DataFrame, name: str) -> DataFrame:
+    """Connected sets of ties ``(a, b)``, where each ``a`` has few ``b``: ``(v, label)`` per vertex.
+
+    A vertex passes its least neighbour on to its other ones, so only vertices that others are tied to, of which there are few, take
+    part in the rounds; all others look their set up once.
+    """
+    near = materialize(ties.groupBy("a").agg(F.array_sort(F.collect_set("b")).alias("b")).select("a", F.col("b")[0].alias("first"), F.slice("b", 2, 1 << 30).alias("more")), f"{name}-near")
+    heads = near.select(F.explode(F.concat(F.array("first"), "more")).alias("v")).distinct()
+    between = near.select(F.explode("more").alias("a"), F.col("first").alias("b"))
+    own = near.join(heads, near["a"] == heads["v"], "left_semi").select("a", F.col("first").alias("b"))
+    found = components(between.union(own).distinct(), name)
+    top = heads.join(found, "v", "left").select("v", F.coalesce("label", "v").alias("label"))
+    top = materialize(top, f"{name}-heads")
+    rest = near.join(heads, near["a"] == heads["v"], "left_anti").select("a", "first")
+    return materialize(rest.join(top, rest["first"] == top["v"]).select(F.col("a").alias("v"), "label").union(top.select("v", "label")), f"{name}-sets")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: float = 0.8, trees: int = 24, longest: int = 8, recall: float = 0.99999, detail: bool = False) -> DataFrame:
     """Classes of documents linked by a Jaccard similarity of at least ``threshold`` of their word shingles.
 
-    Texts with equal shingle sets are one vertex, found by a digest. Every vertex has ``trees`` MinHash prefixes, shortened from
-    ``longest`` until a pair at the threshold is found with probability ``recall``. Documents that share a prefix are tied to
-    the bucket's least member, never to each other, so a bucket gives as many rows as it has members. Within a connected set of
-    such ties all pairs are verified exactly, block against block in tasks of bounded size, and a block returns
-    link counts and one row per document, not its pairs. So one group of any size is spread over many tasks, and no link
-    inside it is lost.
+    Texts with equal shingle sets are one vertex, found by a digest. Every vertex stands in ``trees`` prefix tries of MinHash
+    signatures, ``longest`` levels deep.
+
+    1. At the longest prefixes a member of a bucket is tied to the bucket's first one, if their sketches agree.
+    2. Prefixes are shortened to the depth at which a pair at the threshold is found with probability ``recall``. Buckets whose members
+       are one set already are done. In the others pairs of different sets are compared by their sketches, block against
+       block, and those that agree are tied. So texts that share a passage but little else meet in a bucket and stay apart.
+    3. Within a connected set of ties all pairs are verified exactly, block against block in tasks of bounded size; a block
+       returns link counts and one row per document, not its pairs.
+
+    Sketches agree if 0.75 of the threshold of their bytes are equal, seven standard deviations below what a pair at the threshold
+    shows, so they lose nothing that the prefixes find. Ties are stars, a row per member and bucket, so one group of any size is spread
+    over many tasks.
 
     Returns per row: ``id_col``, ``class_id`` (the least id that chains of links reach) and ``n_links`` (other rows linked with
     it, copies included). Texts of fewer than ``shingle`` words are one shingle; texts without words (null, empty) link to
     nothing and are a class of their own. Rows with a null id link to nothing and have a null class. Repeated rows count as
-    copies. Other columns are ignored, whatever their names.
+    copies. Other columns are ignored, whatever their names. ``detail`` adds ``text_key``, the SHA-256 of the text, and
+    ``class_key``, which names the class also where ids repeat (null without words or id).
     """
     depth = forest_depth(threshold, trees, longest, recall)
+    agree = 0.75 * threshold
+    levels = [longest, depth]
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    made = [_FIELD("digest", T.BinaryType()), _FIELD("prefixes", T.ArrayType(T.LongType()))]
-    signed = materialize(map_text(rows, "_text", _signature(shingle, trees, depth), made), "jaccard-signatures")
+    kept = rows.withColumn("text_key", F.sha2(F.col("_text").cast("binary"), 256)) if detail else rows
+    made = [_FIELD("digest", T.BinaryType()), _FIELD("sketch", T.BinaryType()), _FIELD("prefixes", T.ArrayType(T.LongType()))]
+    signed = materialize(map_text(kept, "_text", _signature(shingle, trees, levels), made), "jaccard-signatures")
 
     usable = signed.filter("digest is not null and _id is not null")
-    vertices = materialize(usable.groupBy("digest").agg(F.min("_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("prefixes").alias("prefixes")), "jaccard-vertices")
-    trie = vertices.select("digest", F.explode("prefixes").alias("prefix"))
-    buckets = trie.groupBy("prefix").agg(F.min("digest").alias("low"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("prefix", "low")
-    ties = trie.join(buckets, "prefix").filter("digest <> low").select(F.col("digest").alias("a"), F.col("low").alias("b")).distinct()
-    groups = components(ties, "jaccard-candidates")
+    vertices = usable.groupBy("digest").agg(F.min("_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("sketch").alias("sketch"), F.first("prefixes").alias("prefixes"))
+    vertices = materialize(vertices, "jaccard-vertices")
+    first = _sets_of(_first_ties(vertices, trees, agree), "jaccard-first")
+    later = _later_ties(vertices, first, 1, trees, agree)
+    groups = _sets_of(first.filter("v <> label").select(F.col("v").alias("a"), F.col("label").alias("b")).union(later), "jaccard-candidates")
 
-    members = materialize(groups.join(vertices.drop("prefixes"), groups["v"] == vertices["digest"]).select("digest", "label", "rep", "copies"), "jaccard-members")
+    members = materialize(groups.join(vertices.drop("prefixes", "sketch"), groups["v"] == vertices["digest"]).select("digest", "label", "rep", "copies"), "jaccard-members")
     known = rows.join(checked_broadcast(members.withColumnRenamed("rep", "_id"), "8"), "_id")
     sets = map_text(known, "_text", lambda: _sets(shingle), [_FIELD("shingles", T.BinaryType()), _FIELD("n", T.LongType())])
     sets = sets.filter(F.unhex(F.md5("shingles")) == F.col("digest")).dropDuplicates(["digest"]).drop("_id")
@@ -174,6 +306,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = vertices.select("digest", "rep", "copies").join(joined.select(F.col("v").alias("digest"), "label"), "digest", "left").join(links, "digest", "left")
     found = found.withColumn("label", F.coalesce("label", "digest"))
     least = found.groupBy("label").agg(F.min("rep").alias("class_id"))
-    found = found.join(least, "label").select("digest", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    out = signed.select("_id", F.when(F.col("_id").isNotNull(), F.col("digest")).alias("digest")).join(found, "digest", "left")
-    return out.select(F.col("_id").alias(id_col), F.coalesce("class_id", "_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    found = found.join(least, "label").select("digest", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.hex("label").alias("class_key"))
+    more = ["text_key"] if detail else []
+    out = signed.select("_id", *more, F.when(F.col("_id").isNotNull(), F.col("digest")).alias("digest")).join(found, "digest", "left")
+    more += ["class_key"] if detail else []
+    return out.select(F.col("_id").alias(id_col), F.coalesce("class_id", "_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), *more)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from operator import add
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,39 +53,50 @@ def base_spans(text: Column) -> Column:
 
 
 def _candidates(text: Column) -> Column:
-    """Identifier-like words without the punctuation around them, each with the two words before and the word after it."""
-    values = F.regexp_extract_all(text, F.lit(SHAPED), F.lit(0))
-    between = F.split(text, SHAPED, -1)
+    """Identifier-like words without the punctuation around them, each with the two words before and the word after it.
+
+    A neighbouring identifier that stands where a word would is ``<id>``.
+    """
+    empty = F.array().cast("array<struct<start:int,end:int,value:string,left:string,right:string>>")
     bare = lambda x: F.regexp_replace(F.lower(x), r"[^\p{L}]+", " ")
     words = lambda x: F.filter(F.split(bare(x), " "), lambda w: F.length(w) > 0)
+    another = lambda there: F.when(there, F.array(F.lit("<id>"))).otherwise(F.array().cast("array<string>"))
 
-    def one(v, i):
-        before, after = F.try_element_at(between, i + 1), F.try_element_at(between, i + 2)
-        # a window on the text before, wide enough for two words
-        left = words(F.right(before, F.lit(64)))
-        lead = F.length(F.regexp_extract(v, rf"^{_EDGE}*+", 0))
-        core = F.regexp_replace(v, rf"^{_EDGE}++|{_EDGE}++$", "")
+    def one(x, i):
+        lead = F.length(F.regexp_extract(x["v"], rf"^{_EDGE}*+", 0))
+        core = F.regexp_replace(x["v"], rf"^{_EDGE}++|{_EDGE}++$", "")
+        left = F.concat(another(i > 0), x["before"])
+        right = F.concat(x["after"], another(x["more"]))
         return F.struct(
-            F.length(before).alias("gap"), F.length(v).alias("n"), lead.alias("lead"), core.alias("value"),
+            x["gap"].alias("gap"), F.length(x["v"]).alias("n"), lead.alias("lead"), core.alias("value"),
             F.array_join(F.slice(left, F.greatest(F.size(left) - 1, F.lit(1)), 2), " ").alias("left"),
-            F.coalesce(F.try_element_at(words(F.left(after, F.lit(64))), F.lit(1)), F.lit("")).alias("right"),
+            F.coalesce(F.try_element_at(right, F.lit(1)), F.lit("")).alias("right"),
         )
 
-    empty = F.array().cast("array<struct<start:int,end:int,value:string,left:string,right:string>>")
+    def zipped(gaps):
+        # the words of every gap are cut once; the gap after a value is the one before the next
+        ahead = F.zip_with(F.regexp_extract_all(text, F.lit(SHAPED), F.lit(0)), gaps, lambda v, g: F.struct(v.alias("v"), g.alias("g")))
+        each = F.zip_with(ahead, F.slice(gaps, F.lit(2), F.size(gaps)), lambda x, g: F.struct(
+            x["v"].alias("v"), x["g"]["n"].alias("gap"), x["g"]["words"].alias("before"), g["words"].alias("after"), (~g["last"]).alias("more")))
+        return F.transform(F.filter(each, lambda x: x["v"].isNotNull()), one)
+
+    def placed(found):
+        def span(x, at):
+            start = at + x["gap"] + x["lead"]
+            return F.struct(start.alias("start"), (start + F.length(x["value"])).alias("end"), x["value"].alias("value"), x["left"].alias("left"), x["right"].alias("right"))
 
-    def place(acc, x):
-        begin = acc["at"] + x["gap"] + x["lead"]
-        found = F.struct(begin.alias("start"), (begin + F.length(x["value"])).alias("end"), x["value"].alias("value"), x["left"].alias("left"), x["right"].alias("right"))
-        return F.struct((acc["at"] + x["gap"] + x["n"]).alias("at"), F.concat(acc["out"], F.array(found)).alias("out"))
+        return F.zip_with(found, S.before(F.transform(found, lambda x: x["gap"] + x["n"]), 0, add), span)
 
-    start = F.struct(F.lit(0).alias("at"), empty.alias("out"))
-    return F.when(text.rlike("[0-9@]"), F.aggregate(F.transform(values, one), start, place, lambda acc: acc["out"])).otherwise(empty)
+    between = lambda pieces: F.transform(pieces, lambda g, i: F.struct(F.length(g).alias("n"), words(g).alias("words"), (i == F.size(pieces) - 1).alias("last")))
+    gaps = S.let(F.split(text, SHAPED, -1), between)
+    return F.when(text.rlike("[0-9@]"), S.let(S.let(gaps, zipped), placed)).otherwise(empty)
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 3, least_support: int = 3, least_confidence: float = 0.8) -> DataFrame:
     """Personal data of every text: base shapes, and identifiers that stand where base entities stand.
 
-    Words with a digit or an at sign are instances; the two words before and the word after one are its patterns. Instances that
+    Words with a digit or an at sign are instances; the two words before and the word after one are its patterns, where an identifier
+    next to one counts as a word of its own. Instances that
     lie inside a base span are seeds of score 1. In each round a pattern's confidence is the mean score of its distinct instances
     over the whole corpus (one is added to the count, so rare patterns stay low). Only patterns of at least ``least_confidence``
     with at least ``least_support`` seeds are kept as confident. A context (the words before and after) scores the higher
@@ -101,9 +114,8 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds
     rows = rows.select("_id", F.xxhash64("_text").alias("_key"), base_spans(F.col("_text")).alias("base"), _candidates(F.col("_text")).alias("like"))
     rows = materialize(rows, "pii-found")
 
-    inside = F.exists("base", lambda b: (F.col("x.start") < b["end"]) & (b["start"] < F.col("x.end")))
-    places = rows.filter(F.size("like") > 0).select("_id", "_key", "base", F.explode("like").alias("x")).filter(F.length("x.value") >= 4)
-    places = places.select("_id", "_key", "x", inside.alias("seed"), F.xxhash64("x.value").alias("instance"))
+    marked = F.zip_with("like", S.overlaps(F.col("like"), F.col("base")), lambda x, seed: F.struct(x.alias("x"), seed.alias("seed")))
+    places = rows.filter(F.size("like") > 0).select("_id", "_key", F.explode(marked).alias("m")).select("_id", "_key", "m.x", "m.seed", F.xxhash64("m.x.value").alias("instance"))
     contexts = F.array(F.when(F.length("x.left") > 0, F.concat(F.lit("before "), "x.left")), F.when(F.length("x.right") > 0, F.concat(F.lit("after "), "x.right")))
     places = materialize(places.withColumn("patterns", F.array_compact(contexts)), "pii-places")
 
@@ -130,5 +142,5 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds
     added = added.groupBy(F.col("_id").alias("_aid"), F.col("_key").alias("_akey")).agg(F.collect_set("x").alias("added"))
 
     out = rows.join(added, rows["_id"].eqNullSafe(F.col("_aid")) & (F.col("_key") == F.col("_akey")), "left")
-    found = F.when(F.col("added").isNull(), F.col("base")).otherwise(S.ordered(F.concat("base", S.apart_from(F.col("added"), F.col("base"))), KINDS))
+    found = F.when(F.col("added").isNull(), F.col("base")).otherwise(S.ordered(F.concat("base", "added"), KINDS))
     return out.select(F.col("_id").alias(id_col), "_key", "base", found.alias("found"))

@@ -42,8 +42,8 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", fold("doc_id", 5) == 0)
-    labels = _table(spark, sf_dir, "labels").select("doc_id", "toxic").filter("toxic is not null").dropDuplicates(["doc_id"])
-    model = toxicity.train(docs.filter("not held_out").join(labels, "doc_id"))
+    labels = _table(spark, sf_dir, "labels").filter(fold("doc_id", 5) != 0)
+    model = toxicity.train(toxicity.labelled(docs.filter("not held_out"), labels))
     return toxicity.score(docs, model).select("doc_id", "held_out", "score", "predicted", "abuse", "quoted", "misspelled")
 
 

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from hashlib import sha256
-from os.path import commonprefix
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,8 +23,11 @@ ENDS = (0, 3, 4)
 REROLE, DELETE, INSERT, TRUNCATED = 3, 4, 3, 3
 NAMES = {"u": "user", "a": "assistant"}
 _SOLID = re.compile(r"[^\x20\x09-\x0D]")
-#: Rows between two cuts of what all stack tops have in common.
-_CUT = 64
+#: A top that costs more than this above the cheapest one cannot win: any top goes on as any other would for an inserted
+#: assistant turn and a deleted system turn at most.
+SLACK = INSERT + DELETE
+#: Letters of an audit that are held as one string.
+_CHUNK = 256
 
 
 @dataclass
@@ -38,17 +40,28 @@ class Node:
 
 @dataclass
 class Top:
-    """A stack top with the least (cost, audit) of all readings that reach it, and the digest of its repaired turns so far."""
+    """A stack top with the least (cost, audit) of all readings that reach it, and the digest of its repaired turns so far.
+
+    After each row the tops are ranked by their audits. Two tops of one row never have audits of which one begins the other, since
+    both end with the letter of that row. So until the next row an audit is known by the rank of its top and the letters added to it.
+    """
 
     node: Node
     cost: int = 0
-    audit: str = ""
+    rank: int = 0
+    letters: str = ""
+    audit: tuple = ()  # (earlier, letters) in chunks
+    tail: str = ""
     digest: object = field(default_factory=sha256)
     said: tuple = ()  # (earlier, line) not yet in the digest
     empty: bool = True
 
+    @property
+    def order(self) -> tuple[int, int, str]:
+        return self.cost, self.rank, self.letters
+
     def edit(self, letter: str, cost: int) -> Top:
-        return Top(self.node, self.cost + cost, self.audit + letter, self.digest, self.said, self.empty)
+        return replace(self, cost=self.cost + cost, letters=self.letters + letter)
 
     def shift(self, initial: str, line: str, letter: str, cost: int) -> Top | None:
         state = SHIFT.get((self.node.state, initial))
@@ -60,10 +73,11 @@ class Top:
             for _ in range(size):
                 node = node.below
             node = Node(AFTER[node.state, symbol], node)
-        return Top(node, self.cost + cost, self.audit + letter, self.digest, (self.said, line if self.empty else "\n" + line), False)
+        said = (self.said, line if self.empty else "\n" + line)
+        return replace(self, node=node, cost=self.cost + cost, letters=self.letters + letter, said=said, empty=False)
 
-    def settle(self) -> None:
-        """Put the waiting lines into a digest of one's own."""
+    def settle(self, rank: int) -> None:
+        """Put the waiting lines into a digest of one's own, and the letters into the audit."""
         lines = []
         while self.said:
             self.said, line = self.said
@@ -72,14 +86,24 @@ class Top:
             self.digest = self.digest.copy()
             for line in reversed(lines):
                 self.digest.update(line.encode())
+        self.rank, self.tail, self.letters = rank, self.tail + self.letters, ""
+        if len(self.tail) >= _CHUNK:
+            self.audit, self.tail = (self.audit, self.tail), ""
+
+    def whole_audit(self) -> str:
+        parts, chain = [self.tail], self.audit
+        while chain:
+            chain, part = chain
+            parts.append(part)
+        return "".join(reversed(parts))
 
 
 def _merge(tops: dict[int, Top], new: Top | None) -> bool:
-    """Keep the least (cost, audit) of a state. Two readings of the same rows never cost the same with one audit a prefix of the other."""
+    """Keep the least (cost, audit) of a state."""
     if new is None:
         return False
     old = tops.get(new.node.state)
-    if old is not None and (old.cost, old.audit) <= (new.cost, new.audit):
+    if old is not None and old.order <= new.order:
         return False
     tops[new.node.state] = new
     return True
@@ -105,7 +129,6 @@ class Conversation:
         self.least = self.most = None
         self.turns = self.blank = self.duplicate = self.truncated = self.illegal = 0
         self.last: tuple | None = None
-        self.shared: list[str] = []  # audit that all tops have in common
         self.tops = {0: Top(Node(0))}
 
     def feed(self, turn, role: str, text: str, repeated: bool) -> None:
@@ -138,23 +161,16 @@ class Conversation:
                 _merge(after, top.shift(initial, f"{role}:{text}", "K", more))
                 for letter, name in NAMES.items():
                     _merge(after, top.shift(letter, f"{name}:{text}", "R", REROLE + more))
-        for top in after.values():
-            top.settle()
-        self.tops = after
-        if self.rows % _CUT == 0:
-            same = commonprefix([t.audit for t in after.values()])
-            self.shared.append(same)
-            for top in after.values():
-                top.audit = top.audit[len(same) :]
+        least = min(top.cost for top in after.values())
+        self.tops = {state: top for state, top in after.items() if top.cost <= least + SLACK}
+        for rank, top in enumerate(sorted(self.tops.values(), key=lambda t: (t.rank, t.letters))):
+            top.settle(rank)
 
     def result(self) -> tuple:
-        best: Top | None = None
-        for state, top in _with_inserts(self.tops).items():
-            if state in ENDS and (best is None or (top.cost, top.audit) < (best.cost, best.audit)):
-                best = top
-        best.settle()
+        best = min((top for state, top in _with_inserts(self.tops).items() if state in ENDS), key=lambda t: t.order)
+        best.settle(0)
         gaps = self.most - self.least + 1 - self.turns if self.turns else 0
-        return self.key, gaps, self.blank, self.duplicate, self.truncated, self.illegal, best.cost, "".join(self.shared) + best.audit, best.digest.hexdigest()
+        return self.key, gaps, self.blank, self.duplicate, self.truncated, self.illegal, best.cost, best.whole_audit(), best.digest.hexdigest()
 
 
 RESULTS = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")

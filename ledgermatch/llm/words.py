@@ -17,18 +17,26 @@ _BYTE = np.random.default_rng(20_240_607).integers(1, 2**63, 256, dtype=np.uint6
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 
 
+#: Powers that a worker keeps of each base; a slice that needs more makes its own and lets them go.
+_KEPT = 1 << 20
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
+def _table(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    made = []
+    for x in (base, pow(base, -1, 1 << 64)):
+        p = np.full(size, x, U)
+        p[:1] = 1
+        made.append(np.cumprod(p, dtype=U))
+    return made[0], made[1]
+
+
 def powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base modulo 2**64 and their inverses; one table per base, which grows when a text needs it."""
+    """Powers of an odd base modulo 2**64 and their inverses."""
+    if size > _KEPT:
+        return _table(base, size)
     if base not in _POWERS or len(_POWERS[base][0]) < size:
-        table = []
-        for x in (base, pow(base, -1, 1 << 64)):
-            p = np.full(max(size, 1 << 16), x, U)
-            p[:1] = 1
-            table.append(np.cumprod(p, dtype=U))
-        _POWERS[base] = tuple(table)
+        _POWERS[base] = _table(base, max(size, 1 << 16))
     up, down = _POWERS[base]
     return up[:size], down[:size]
 

@@ -183,3 +183,87 @@ def leaks(docs, items, stretch: int = 13, wrong: int = 2, least: int = 8):
                 found.append((i, best))
         out.append((d, sorted(found)))
     return out
+
+
+def repaired(rows):
+    """rows of one conversation after damage: (turn, role, text) -> the eight results, by trying all edits from the end."""
+    import functools
+
+    rows = sorted(((t is not None, t or 0, r if r is not None else " ", x if x is not None else " ") for t, r, x in rows))
+    turns = [t for known, t, *_ in rows if known]
+    gaps = max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0
+    faults, seen = [], set()
+    for _, _, r, x in rows:
+        solid = re.findall(r"[^\x20\x09-\x0D]", x)
+        faults.append("blank" if not solid else "duplicate" if (r, x) in seen else "truncated" if solid[-1] not in ".!?" else "")
+        seen.add((r, x))
+    follow = {("", "s"): "s", ("", "u"): "u", ("s", "u"): "u", ("u", "a"): "a", ("a", "u"): "u"}
+    full = {"u": "user", "a": "assistant"}
+
+    @functools.cache
+    def best(i, last, inserts):
+        """Least (cost, audit, lines) from row i on; ``last`` is the initial said last."""
+        ways = [(0, "", ())] if i == len(rows) and last in ("", "a") else []
+
+        def way(cost, letter, line, rest):
+            if rest is not None:
+                ways.append((cost + rest[0], letter + rest[1], line + rest[2]))
+
+        for to, name in full.items():
+            if inserts < 3 and (last, to) in follow:
+                way(3, "I", (f"{name}:",), best(i, to, inserts + 1))
+        if i < len(rows):
+            _, _, r, x = rows[i]
+            way(4, "D", (), best(i + 1, last, 0))
+            if faults[i] not in ("blank", "duplicate"):
+                more = 3 * (faults[i] == "truncated")
+                if (last, r[:1]) in follow:
+                    way(more, "K", (f"{r}:{x}",), best(i + 1, r[:1], 0))
+                for to, name in full.items():
+                    if (last, to) in follow:
+                        way(3 + more, "R", (f"{name}:{x}",), best(i + 1, to, 0))
+        return min(ways, default=None)
+
+    cost, audit, lines = best(0, "", 0)
+    illegal = sum(a[2][:1] + b[2][:1] not in ("su", "ua", "au") for a, b in zip(rows, rows[1:], strict=False))
+    count = Counter(faults)
+    return gaps, count["blank"], count["duplicate"], count["truncated"], illegal, cost, audit, sha("\n".join(lines))
+
+
+def deduped_lines(docs, least_chars=20, least_docs=3):
+    """docs: (doc_id, text) -> list of (doc_id, n_lines, n_dropped, kept text)"""
+    key = lambda line: "".join(c.lower() if c.isascii() else c for c in line.strip(" \t\n\x0b\x0c\r"))
+    held = defaultdict(set)
+    for i, t in docs:
+        for line in (t or "").split("\n"):
+            if i is not None:
+                held[key(line)].add(i)
+    gone = {k: max(v) for k, v in held.items() if len(k) >= least_chars and len(v) >= least_docs}
+    out = []
+    for i, t in docs:
+        lines = (t or "").split("\n")
+        kept = [x for x in lines if i is None or gone.get(key(x), i) == i]
+        out.append((i, len(lines), len(lines) - len(kept), "\n".join(kept)))
+    return out
+
+
+def resampled(docs, target, longest=1, buckets=10_000, seed=2024, least=20, percent=10):
+    """docs: (doc_id, text) -> list of (doc_id, n_features, weight, score, rank)"""
+    import math
+
+    def features(text):
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c.isascii() else c for c in text or ""))
+        return len(w), [crc(" ".join(w[p : p + n])) % buckets for n in range(1, longest + 1) for p in range(len(w) - n + 1)]
+
+    s, t = (Counter(b for x in texts for b in features(x)[1]) for texts in ([x for _, x in docs], target))
+    gain = lambda b: math.floor(1000 * math.log((t[b] + 1) * (s.total() + buckets) / ((s[b] + 1) * (t.total() + buckets))))
+    scored = []
+    for i, x in docs:
+        n, f = features(x)
+        h = int(sha(f"{seed}:{'' if i is None else i}")[:8], 16)
+        weight = sum(map(gain, f)) // len(f) if f else 0
+        scored.append([i, len(f), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296))), None, n])
+    able = sorted((r for r in scored if r[5] >= least), key=lambda r: (-r[3], r[0] is None, r[0] or 0, r[1]))
+    for k, r in enumerate(able[: percent * len(able) // 100]):
+        r[4] = k + 1
+    return [tuple(r[:5]) for r in scored]

@@ -42,12 +42,48 @@ def test_jaccard_join(docs):
 
 
 def test_jaccard_join_in_small_blocks(spark, sf_dir, monkeypatch):
-    """Every class is cut into many blocks, and nothing may change."""
+    """Every class and bucket is cut into many blocks, and nothing may change."""
     monkeypatch.setattr(jaccard, "BLOCK_DOCS", 2)
+    monkeypatch.setattr(jaccard, "BUCKET_ROWS", 2)
+    monkeypatch.setattr(jaccard, "BLOCK_SKETCHES", 2)
     docs = table(spark, sf_dir)
     assert rows(jaccard.near_duplicates(docs), "doc_id", "class_id", "n_links") == bag(brute.jaccard(pairs(docs)))
 
 
+def test_texts_that_share_a_passage_stay_apart(spark, monkeypatch):
+    """Two fifths of every text are the same words; no two texts are near, and the exact step gets next to none of them."""
+    seen = {}
+    plain = jaccard.materialize
+    monkeypatch.setattr(jaccard, "materialize", lambda df, name: seen.setdefault(name, plain(df, name)))
+    head = " ".join(f"shared{k}" for k in range(40))
+    own = "concat_ws(' ', transform(sequence(0, 59), k -> concat('own', id, 'x', k)))"
+    for n in (500, 4000):
+        seen.clear()
+        docs = spark.range(n).selectExpr("id as doc_id", f"concat('{head} ', {own}) as text")
+        got = jaccard.near_duplicates(docs)
+        assert got.filter("n_links > 0 or class_id <> doc_id").isEmpty() and got.count() == n
+        assert seen["jaccard-members"].count() <= n // 100
+
+
+def test_recall_of_borderline_pairs(spark):
+    """Pairs just above the threshold: 96 of 100 words kept in one place give a similarity of 0.81 to 0.92."""
+    rows = []
+    for k in range(600):
+        base = [f"w{k}x{j}" for j in range(100)]
+        other = base[: 100 - 5 - k % 4] + [f"new{k}x{j}" for j in range(5 + k % 4)]
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(other))]
+    got = {r["doc_id"]: r["n_links"] for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = {i: n for i, _, n in brute.jaccard(rows)}
+    assert sum(want.values()) > 900 and sum(got[i] for i in got if want[i]) >= 0.99 * sum(want.values()) and all(got[i] <= want[i] for i in got)
+
+
+def test_near_duplicates_in_detail(spark, odd):
+    got = jaccard.near_duplicates(odd, detail=True)
+    assert got.columns == ["doc_id", "class_id", "n_links", "text_key", "class_key"]
+    keys = {(r["doc_id"], r["text_key"]): r["class_key"] for r in got.collect()}
+    assert len({k for (i, _), k in keys.items() if i == 8}) == 2 and keys[1, None] is None
+
+
 def test_forest_depth_shortens_until_the_recall_is_reached():
     assert jaccard.forest_depth(0.8, 24, 8, 0.99999) == 4
     assert jaccard.forest_depth(0.8, 24, 8, 0.9) > 4
@@ -71,6 +107,18 @@ def test_byte_bpe(docs):
     assert rows(got, "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == bag(want)
 
 
+def test_byte_bpe_of_endless_runs(spark):
+    """Two million characters without a boundary; the library's own splitter would end the process."""
+    n = 2_000_000
+    texts = [" " * n, "x" * n, "!-" * (n // 2), "a" + "\n" * n + "b"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = bpe.with_digests(bpe.encode(df, queries.RANKS, public_tokenizers.PATTERN), queries.RANKS, ["doc_id"])
+    assert {r["doc_id"]: r["decoded_sha256"] for r in out.collect()} == {i: brute.sha(t) for i, t in enumerate(texts)}
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.ranks(queries.RANKS), special_tokens={})
+    long = "Some words, 1234 and  blanks\n\n " * 4_000 + " " * 50_000 + "é漢字 don't"
+    assert len(long) > bpe.SPLIT and bpe.token_ids(long, queries.RANKS, public_tokenizers.PATTERN) == enc.encode_ordinary(long)
+
+
 def test_byte_bpe_in_short_chunks(spark, sf_dir):
     """Nearly every text is cut into chunks; the ids stay those of the whole text."""
     docs = table(spark, sf_dir).filter("length(text) < 20000")
@@ -97,6 +145,48 @@ def test_long_runs_are_read_once(spark):
     assert secrets.scan(long).count() == pii.find(long).count() == 8
 
 
+def test_spans_take_time_in_proportion(spark):
+    """Eight times the text may not take much more than eight times as long; quadratic work takes sixty-four times."""
+    import time
+
+    def seconds(n):
+        texts = spark.createDataFrame([(k, x * n) for k, x in enumerate(["1 ", "a@b.c ", "1.1.1.1 "])], "doc_id long, text string")
+        start = time.perf_counter()
+        texts.select(pii.base_spans(F.col("text")).alias("b"), pii._candidates(F.col("text")).alias("c"), "text").select(F.size("b"), F.size("c"), F.length(S.redact(F.col("text"), F.col("b")))).collect()
+        return time.perf_counter() - start
+
+    seconds(2_000)
+    one = seconds(10_000)
+    assert seconds(80_000) < 16 * one + 5
+
+
+def test_overlaps_equal_all_pairs(spark):
+    import random
+
+    rng = random.Random(6)
+    cases = []
+    for k in range(60):
+        starts = sorted(rng.sample(range(200), rng.randrange(0, 12)))
+        spans = [(a, min(a + rng.randrange(1, 30), (starts[i + 1 : i + 2] or [999])[0])) for i, a in enumerate(starts)]
+        taken = sorted((a, a + rng.randrange(1, 40)) for a in rng.choices(range(200), k=rng.randrange(0, 9)))
+        cases.append((k, spans, taken))
+    cases.append((60, [(i, i + 1) for i in range(3000)], [(i, i + 2) for i in range(0, 3000, 7)]))
+    df = spark.createDataFrame(cases, "k int, a array<struct<start:int,end:int>>, b array<struct<start:int,end:int>>")
+    got = {r.k: r.o for r in df.select("k", S.overlaps(F.col("a"), F.col("b")).alias("o")).collect()}
+    assert got == {k: [any(x[0] < y[1] and y[0] < x[1] for y in taken) for x in spans] for k, spans, taken in cases}
+
+
+def test_hidden_seeds_are_found_again(spark):
+    """A fifth of the mails is printed in a way no base shape knows; the places they share with the others give them back."""
+    heads = ["please write to {}", "contact us under {} any", "reach {} by mail"]
+    said = [(k, heads[k % 3].format(f"person{k}(at)mail" if k % 5 == 0 else f"person{k}@mail.example.com") + " today") for k in range(150)]
+    said += [(1000 + k, f"count of {k * 37} in the year {1900 + k}") for k in range(100)]
+    found = {r["doc_id"]: [x["value"] for x in r["found"] if x["kind"] == "context"] for r in pii.find(spark.createDataFrame(said, "doc_id long, text string")).collect()}
+    hidden = [k for k in range(0, 150, 5)]
+    assert sum(found[k] == [f"person{k}(at)mail"] for k in hidden) >= 0.9 * len(hidden)
+    assert all(not v for k, v in found.items() if k not in hidden)
+
+
 def test_added_spans_stand_for_their_text(spark):
     value = "k3yv4lue" + "Zz9" * 6
     said = [(1, f"use {value} here", "a"), (2, "copy0" + "Aa1" * 7, "a"), (3, "copy0" + "Aa1" * 7, "b"), (4, "token = \"abcdefgh12\"", None)]
@@ -212,6 +302,57 @@ def test_lexicon_has_no_fixed_number_of_places(spark):
     assert sorted(toxicity.train(_toxic(spark, terms, 30)).terms) == terms
 
 
+def _edits(a: str, b: str) -> int:
+    """Levenshtein distance, row by row."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        row, left = [i + 1], row
+        for j, y in enumerate(b):
+            row.append(min(left[j] + (x != y), left[j + 1] + 1, row[j] + 1))
+    return row[-1]
+
+
+@pytest.mark.parametrize("number", [40, 900])
+def test_automata_equal_all_distances(number):
+    import numpy as np
+
+    rng = np.random.default_rng(number)
+    draw = lambda low, high: "".join(rng.choice(list("abcdef"), rng.integers(low, high)))
+    terms = sorted({draw(3, 10) for _ in range(number)})
+    words = [draw(1, 11) for _ in range(120)] + [t[:k] + rng.choice(list("abcxyz")) + t[k + 1 :] for t in terms[:60] for k in (0, len(t) // 2)]
+    points = np.frombuffer(" ".join(words).encode("utf-32-le"), np.uint32)
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    term, made = toxicity.Automata(terms, 5, 64).match(points, ends - [len(w) for w in words], ends)
+    for word, t, e in zip(words, term.tolist(), made.tolist(), strict=True):
+        least = min((_edits(word, x), k) for k, x in enumerate(terms) if len(x) >= 5 or word == x)
+        assert (e, t) == least if least[0] <= 1 else t == -1, word
+
+
+def test_a_long_lexicon_is_built_once(spark):
+    import time
+
+    terms = sorted("t" + "".join(chr(97 + k // 26**i % 26) for i in range(4)) for k in range(0, 400_000, 80))
+    start = time.perf_counter()
+    auto = toxicity.Automata(terms, 5, 64)
+    assert len(terms) == 5_000 and time.perf_counter() - start < 120
+    assert sum(p.table.nbytes for _, p in auto.parts) < 64 << 20
+
+
+def test_signs_inside_a_word_are_one_edit(spark):
+    terms = ["idiot", "moron", "stupid"]
+    model = toxicity.train(_toxic(spark, terms, 1))
+    said = ["you m0ron!", "what a st*pid, silly thing", "an (id1ot) he is", "m0r0n", "more on this", "a mor-on-line"]
+    got = {r["text"]: r["misspelled"] for r in toxicity.score(spark.createDataFrame([(x,) for x in said], "text string"), model).collect()}
+    assert [got[x] > 0 for x in said] == [True, True, True, False, False, False]
+
+
+def test_conflicting_labels_are_none(spark):
+    docs = spark.range(5).selectExpr("id as doc_id", "concat('text ', id) as text")
+    labels = spark.createDataFrame([(0, 1), (0, 1), (1, 0), (1, 1), (2, 0), (3, None), (9, 1)], "doc_id long, toxic int")
+    got = {(r.doc_id, r.toxic, r._total) for r in toxicity.labelled(docs, labels).collect()}
+    assert got == {(0, 1, 2), (2, 0, 1)}
+
+
 def test_split_lexicon_equals_one_automaton():
     import numpy as np
 
