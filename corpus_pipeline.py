@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ledgermatch.llm import bpe, decontam, jaccard, langid, pii
 from ledgermatch.llm import spans as S
-from ledgermatch.llm.common import materialize
+from ledgermatch.llm.common import checked_broadcast, materialize
 from ledgermatch.llm.queries import RANKS
 
 #: A document stays if its language is known with at least this calibrated probability.
@@ -42,10 +42,27 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of every class of near duplicates stays; of rows that repeat that id, one. Null ids stay."""
-    first = jaccard.near_duplicates(docs).filter("class_id = doc_id").select("doc_id").distinct()
-    named = docs.filter("doc_id is not null").dropDuplicates(["doc_id"]).join(first, "doc_id", "left_semi")
-    return named.unionByName(docs.filter("doc_id is null"))
+    """Of every class of near duplicates the row with the least id, then the least text digest, stays; of equal rows, one.
+
+    A row goes only if its class keeps another one: two unlike texts under one id are two classes. Rows without an id or without
+    words are no duplicates and stay.
+    """
+    near = materialize(jaccard.near_duplicates(docs, detail=True).filter("class_key is not null"), "pipeline-classes")
+    first = near.groupBy("class_key").agg(F.min(F.struct("doc_id", "text_key")).alias("kept"))
+    several = near.groupBy("class_key", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("n"))
+    fate = several.join(first, "class_key").groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(
+        F.bool_or(F.struct("doc_id", "text_key") == F.col("kept")).alias("_stays"), F.max("n").alias("_n")
+    )
+    # most rows are the only one of their class, and need no mention
+    fate = materialize(fate.filter("not _stays or _n > 1"), "pipeline-fates")
+    rows = docs.select(F.struct("*").alias("_row"))
+    row = lambda c: F.col("_row").getField(c)
+    same = (row("doc_id") == F.col("_id")) & (F.sha2(row("text").cast("binary"), 256) == F.col("_key"))
+    judged = rows.join(checked_broadcast(fate, "7"), same, "left").filter(F.coalesce("_stays", F.lit(True)))
+    columns = [row(c).alias(c) for c in docs.columns]
+    once = judged.filter(F.coalesce("_n", F.lit(1)) == 1).select(*columns)
+    again = judged.filter("_n > 1")
+    return once.unionByName(again.dropDuplicates(["_id", "_key"]).select(*columns))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
