@@ -17,6 +17,8 @@ from ledgermatch.llm.words import grams, mixed, split_words
 BLOCK_DOCS, BLOCK_SHINGLES = 256, 500_000
 #: Members of a bucket that meet one first member, and sketches that one side of a compared block holds on average.
 BUCKET_ROWS, BLOCK_SKETCHES = 4_096, 1_024
+#: Members up to which buckets are compared together.
+SMALL_BUCKET = 48
 _FIELD = T.StructField
 
 
@@ -100,46 +102,95 @@ def _merged(size: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             return label
 
 
+def _starts(batch, names: list[str]) -> np.ndarray:
+    """Where the value of the columns changes in sorted rows, the first row included."""
+    columns = [batch.column(n).to_numpy() for n in names]
+    new = np.zeros(batch.num_rows, bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
+
+
+def _stack(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+
+
 def _stars(least: float):
     """Rows sorted by bucket and digest: ties every member that agrees with its bucket's first one to it; a bucket is streamed."""
 
     def run(batches):
-        head, sketch = None, None
+        first = None  # the first member of the bucket that the last batch ended in
         for batch in batches:
-            names = batch.schema.names
-            cells = [batch.column(names.index(c)).to_pylist() for c in ("prefix", "salt", "digest", "sketch")]
-            ties = []
-            for prefix, salt, digest, own in zip(*cells, strict=True):
-                if head is None or head[:2] != (prefix, salt):
-                    head, sketch = (prefix, salt, digest), np.frombuffer(own, np.uint8)
-                    ties.append((prefix, digest, digest))
-                elif (np.frombuffer(own, np.uint8) == sketch).sum() >= least * len(sketch):
-                    ties.append((prefix, digest, head[2]))
-            columns = zip(*ties, strict=True) if ties else ([], [], [])
-            types = (pa.int64(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=["prefix", "a", "b"])
+            rows = pa.Table.from_batches([batch])
+            if first is not None:
+                rows = pa.concat_tables([first, rows])
+            begin = _starts(rows, ["prefix", "salt"])
+            head = np.repeat(begin, np.diff(np.append(begin, rows.num_rows)))
+            sketches = _stack(rows.column("sketch"))
+            close = (sketches == sketches[head]).sum(axis=1, dtype=np.int32) >= least * sketches.shape[1]
+            # the carried member has been told already
+            close[: 0 if first is None else 1] = False
+            at = np.flatnonzero(close)
+            digests = rows.column("digest")
+            first = rows.slice(int(begin[-1]), 1)
+            out = [rows.column("prefix").take(at), digests.take(at), digests.take(head[at])]
+            yield from pa.table(out, names=["prefix", "a", "b"]).to_batches()
 
     return run
 
 
 def _crossing(least: float):
-    """One block of a bucket against another, or itself: ties members of different sets so far that agree, as stars."""
+    """Rows sorted by bucket and blocks: ties members of different sets so far that agree, as stars.
 
-    def run(pdf):
-        import pandas as pd
+    Buckets are taken from the stream as they end, many at a time. Members of small ones are compared with the next one, the one after
+    it and so on, over all buckets at once; a large one is compared as a matrix.
+    """
+    key = ["prefix", "one", "two"]
+
+    def met(rows):
+        begin = np.append(_starts(rows, key), rows.num_rows)
+        group = np.repeat(np.arange(len(begin) - 1), np.diff(begin))
+        size = np.diff(begin)[group]
+        sketches = _stack(rows.column("sketch"))
+        label = rows.column("label").combine_chunks().dictionary_encode().indices.to_numpy()
+        block, across = rows.column("block").to_numpy(), rows.column("one").to_numpy() != rows.column("two").to_numpy()
+        need, a, b = least * sketches.shape[1], [], []
+        for lag in range(1, min(int(size.max()), SMALL_BUCKET)):
+            i = np.flatnonzero((group[lag:] == group[:-lag]) & (label[lag:] != label[:-lag]) & (size[lag:] <= SMALL_BUCKET) & (~across[lag:] | (block[lag:] != block[:-lag])))
+            for k in range(0, len(i), 65_536):
+                j = i[k : k + 65_536]
+                fine = j[(sketches[j] == sketches[j + lag]).sum(axis=1, dtype=np.int32) >= need]
+                a.append(fine)
+                b.append(fine + lag)
+        for g in np.flatnonzero(np.diff(begin) > SMALL_BUCKET):
+            rows_ = np.arange(begin[g], begin[g + 1])
+            low = block[rows_] == rows.column("one")[int(begin[g])].as_py()
+            first, second = (rows_[low], rows_[~low]) if across[begin[g]] else (rows_, rows_)
+            apart = label[first][:, None] != label[second][None, :]
+            own, other = np.flatnonzero(apart.any(axis=1)), np.flatnonzero(apart.any(axis=0))
+            x, y = np.nonzero(_agree(sketches[first[own]], sketches[second[other]], least) & apart[np.ix_(own, other)])
+            a.append(first[own[x]])
+            b.append(second[other[y]])
+        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
+        low = _merged(rows.num_rows, a, b)
+        tied = np.flatnonzero(low != np.arange(rows.num_rows))
+        digests = rows.column("digest")
+        ties = pa.table([digests.take(tied), digests.take(low[tied])], names=["a", "b"])
+        return ties.to_batches()
 
-        pdf = pdf.sort_values("digest", kind="stable", ignore_index=True)
-        first, second = (np.flatnonzero(pdf["block"].to_numpy() == pdf[c].iloc[0]) for c in ("one", "two"))
-        sketches = np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(len(pdf), -1)
-        _, label = np.unique(pdf["label"].to_numpy(), return_inverse=True)
-        apart = label[first][:, None] != label[second][None, :]
-        rows, columns = np.flatnonzero(apart.any(axis=1)), np.flatnonzero(apart.any(axis=0))
-        met = _agree(sketches[first[rows]], sketches[second[columns]], least) & apart[np.ix_(rows, columns)]
-        a, b = np.nonzero(met)
-        low = _merged(len(pdf), first[rows[a]], second[columns[b]])
-        tied = np.flatnonzero(low != np.arange(len(pdf)))
-        digests = pdf["digest"].to_numpy()
-        return pd.DataFrame({"a": digests[tied], "b": digests[low[tied]]})
+    def run(batches):
+        held = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            if held is not None:
+                rows = pa.concat_tables([held, rows])
+            last = int(_starts(rows, key)[-1])
+            if last:
+                yield from met(rows.slice(0, last))
+            held = rows.slice(last)
+        if held is not None:
+            yield from met(held)
 
     return run
 
@@ -231,7 +282,8 @@ def _later_ties(vertices: DataFrame, labels: DataFrame, level: int, trees: int,
     rows = trie.join(mixed_, "prefix").join(vertices.select("digest", "sketch"), "digest")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("prefix", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "digest", "label", "sketch")
-    return rows.groupBy("prefix", "one", "two").applyInPandas(_crossing(agree), "a binary, b binary")
+    dealt = rows.repartition("prefix", "one", "two").sortWithinPartitions("prefix", "one", "two", "digest")
+    return dealt.mapInArrow(_crossing(agree), "a binary, b binary")
 
 
 def _sets_of(ties: DataFrame, name: str) -> DataFrame:

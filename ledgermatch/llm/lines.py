@@ -46,7 +46,7 @@ def _raw(texts: pa.Array) -> list[bytes]:
     return texts.fill_null("").cast(pa.large_string()).cast(pa.large_binary()).to_pylist()
 
 
-def _positions(hashes: np.ndarray, positions: int, number: int) -> np.ndarray:
+def positions_of(hashes: np.ndarray, positions: int, number: int) -> np.ndarray:
     """``number`` positions of every hash, one column each; ``positions`` is a power of two."""
     step = mixed(hashes.copy()) | np.uint64(1)
     return (hashes[:, None] + np.arange(number, dtype=np.uint64) * step[:, None]) & np.uint64(positions - 1)
@@ -91,7 +91,7 @@ def _filters(docs: DataFrame, text: str, s: Settings, positions: int) -> dict[in
 
         def flush():
             if waiting:
-                own.add(_positions(np.concatenate(waiting), positions, s.hashes).ravel())
+                own.add(positions_of(np.concatenate(waiting), positions, s.hashes).ravel())
                 waiting.clear()
 
         for batch in batches:
@@ -104,22 +104,30 @@ def _filters(docs: DataFrame, text: str, s: Settings, positions: int) -> dict[in
                     flush()
                     size = 0
         flush()
-        yield from _written(own)
+        yield from written(own)
+
+    parts = docs.select(F.col(f"`{text}`").alias("_text")).mapInArrow(build, SHAPE)
+    return merged(parts, "twice")
+
+
+def merged(parts: DataFrame, which: str) -> dict[int, bytes]:
+    """One bitmap, ``once`` or ``twice``, of the filters that all tasks have written; at most its stated size reaches the driver."""
 
     def merge(batches):
         whole = Filters()
         for batch in batches:
             for number, once, twice in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 whole.merge(number, np.frombuffer(once, np.uint8), np.frombuffer(twice, np.uint8))
-        yield from _written(whole)
+        yield from written(whole)
+
+    whole = parts.repartition("block").mapInArrow(merge, SHAPE)
+    return {r["block"]: bytes(r[which]) for r in whole.select("block", which).collect() if any(r[which])}
+
 
-    shape = "block int, once binary, twice binary"
-    parts = docs.select(F.col(f"`{text}`").alias("_text")).mapInArrow(build, shape)
-    whole = parts.repartition("block").mapInArrow(merge, shape)
-    return {r["block"]: bytes(r["twice"]) for r in whole.select("block", "twice").collect() if any(r["twice"])}
+SHAPE = "block int, once binary, twice binary"
 
 
-def _written(filters: Filters) -> Iterator[pa.RecordBatch]:
+def written(filters: Filters) -> Iterator[pa.RecordBatch]:
     for number, (once, twice) in filters.blocks.items():
         yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([once.tobytes()], pa.binary()), pa.array([twice.tobytes()], pa.binary())], names=["block", "once", "twice"])
 
@@ -140,7 +148,7 @@ def _suspects(docs: DataFrame, doc_id: str, text: str, s: Settings) -> DataFrame
         twice = {number: np.frombuffer(bits, np.uint8) for number, bits in sent.value.items()}
 
         def passes(hashes: np.ndarray) -> np.ndarray:
-            at = _positions(hashes, positions, s.hashes)
+            at = positions_of(hashes, positions, s.hashes)
             fine = np.ones(len(hashes), bool)
             numbers, inside = at // np.uint64(BLOCK), (at % np.uint64(BLOCK)).astype(np.int64)
             for k in range(s.hashes):

@@ -5,15 +5,18 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgermatch.llm.common import checked_broadcast, map_text, materialize, text_bytes
-from ledgermatch.llm.words import grams, mixed, slide, spans_rows, split_words
+from ledgermatch.llm.words import grams, mixed, slide, spans_rows, split_words, stretches
 
 #: Words of a seed. A window of ``window`` words holds ``window - SEED + 1`` seeds; the least hash among them is its anchor.
 SEED = 22
+#: Rows of one key from which on its side of a join is broadcast.
+HOT = 20_000
 _FIELD = T.StructField
 
 
@@ -50,46 +53,76 @@ def _seed(window: int):
     return make
 
 
-def _extend(window: int, docs_anchors: str):
-    """Per text: the windows whose anchor is shared with another document, as 128-bit hashes with their first word."""
+def _anchored(hashes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """The seeds of a text, and for every window the place of its anchor: its first least seed."""
+    seeds, width = grams(hashes, SEED), window - SEED + 1
+    if len(seeds) < width:
+        return seeds, np.zeros(0, np.int64)
+    windows = np.lib.stride_tricks.sliding_window_view(seeds, width)
+    places = [windows[a : a + 65_536].argmin(axis=1) for a in range(0, len(windows), 65_536)]
+    return seeds, np.concatenate(places) + np.arange(len(windows))
+
+
+def _extend(window: int):
+    """Per text: each shared anchor extended both ways over all windows that it anchors, as one row with a 128-bit hash of what it spans."""
 
     def run(batches):
-        import pyarrow as pa
+        for batch in batches:
+            names = batch.schema.names
+            for i in range(batch.num_rows):
+                w = split_words(*text_bytes(batch.column(names.index("_text")).slice(i, 1)))
+                one, two = w.hashes(), w.hashes(1)
+                seeds, place = _anchored(one, window)
+                # the windows of an anchor lie side by side
+                first = np.flatnonzero(np.diff(place, prepend=-1))
+                count = np.diff(np.append(first, len(place)))
+                shared = batch.column(names.index("anchors"))[i].values.to_numpy(zero_copy_only=False).view(np.uint64)
+                hit = np.isin(seeds[place[first]], shared)
+                first, count = first[hit], count[hit]
+                anchor, offset = seeds[place[first]], (place[first] - first).astype(np.uint64)
+                keys = [mixed(stretches(h, first, first + count + window - 1, k) + offset).view(np.int64) for k, h in ((1, one), (2, two))]
+                for a in range(0, len(first), 50_000):
+                    b = min(a + 50_000, len(first))
+                    same = [batch.column(names.index(c)).slice(i, 1).take(pa.array(np.zeros(b - a, np.int64))) for c in ("_id", "_dig")]
+                    cells = (first.astype(np.int32), count.astype(np.int32), anchor.view(np.int64), *keys)
+                    yield pa.RecordBatch.from_arrays([*same, *(pa.array(c[a:b]) for c in cells)], names=["_id", "_dig", "start", "size", "anchor", "one", "two"])
+
+    return run
 
+
+def _windows(window: int):
+    """Per text and runs of it: the windows of each run, by 128-bit hashes."""
+
+    def run(batches):
         for batch in batches:
             names = batch.schema.names
             for i in range(batch.num_rows):
-                raw, at = text_bytes(batch.column(names.index("_text")).slice(i, 1))
-                w = split_words(raw, at)
-                _, low, _ = _lows(w, window)
-                shared = batch.column(names.index(docs_anchors))[i].values.to_numpy(zero_copy_only=False).view(np.uint64)
-                start = np.flatnonzero(np.isin(low, shared))
-                h = w.hashes()
-                one, two = (grams(x, window, k)[start].view(np.int64) for x, k in ((h, 1), (mixed(h + np.uint64(77)), 2)))
-                for a in range(0, len(start), 50_000):
-                    b = min(a + 50_000, len(start))
-                    keys = [batch.column(names.index(c)).slice(i, 1).take(pa.array(np.zeros(b - a, np.int64))) for c in ("_id", "_dig")]
-                    yield pa.RecordBatch.from_arrays([*keys, pa.array(start[a:b].astype(np.int32)), pa.array(one[a:b]), pa.array(two[a:b])], names=["_id", "_dig", "start", "one", "two"])
+                w = split_words(*text_bytes(batch.column(names.index("_text")).slice(i, 1)))
+                one, two = (grams(w.hashes(k), window, k + 1).view(np.int64) for k in (0, 1))
+                for r in batch.column(names.index("runs"))[i].as_py():
+                    n, at = r["size"], slice(r["start"], r["start"] + r["size"])
+                    cells = [pa.array([r[c]] * n, pa.int64()) for c in ("one", "two")] + [pa.array(np.arange(n, dtype=np.int32)), pa.array(one[at]), pa.array(two[at])]
+                    low = batch.column(names.index("_id")).slice(i, 1).take(pa.array(np.zeros(n, np.int64)))
+                    yield pa.RecordBatch.from_arrays([*cells, low], names=["one", "two", "place", "w_one", "w_two", "_low"])
 
     return run
 
 
 def _cut(window: int):
-    """Per text and sorted starts of repeated windows: merge them to maximal repeats and return what is left."""
+    """Per text and its repeated runs: merge them to maximal repeats and return what is left."""
 
     def run(batches):
-        import pyarrow as pa
-
         for batch in batches:
             names = batch.schema.names
             texts = batch.column(names.index("_text"))
             removed, kept = [], []
             for i in range(batch.num_rows):
                 words = texts[i].as_py().encode().split()
-                starts = batch.column(names.index("starts"))[i].values.to_numpy(zero_copy_only=False)
+                runs = batch.column(names.index("runs"))[i].values.flatten()
+                start, size = (x.to_numpy(zero_copy_only=False) for x in runs)
                 gone = np.zeros(len(words) + 1, np.int32)
-                np.add.at(gone, starts, 1)
-                np.add.at(gone, starts + window, -1)
+                np.add.at(gone, start, 1)
+                np.add.at(gone, start + size + window - 1, -1)
                 gone = np.cumsum(gone)[:-1] > 0
                 removed.append(int(gone.sum()))
                 kept.append(b" ".join([x for x, g in zip(words, gone.tolist(), strict=True) if not g]))
@@ -98,6 +131,17 @@ def _cut(window: int):
     return run
 
 
+def _looked_up(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """Join ``table``, which has one row per key and in ``_n`` the rows it will meet. Keys that meet ``HOT`` rows or more, of which there
+    are few, are broadcast, so that their rows stay where they are."""
+    hot = materialize(table.filter(F.col("_n") >= HOT).drop("_n"), "repeats-hot")
+    cold = table.filter(F.col("_n") < HOT).drop("_n")
+    if hot.isEmpty():
+        return rows.join(cold, keys)
+    few = checked_broadcast(hot, "70")
+    return rows.join(few, keys).unionByName(rows.join(few.select(keys), keys, "left_anti").join(cold, keys))
+
+
 def _with(texts: DataFrame, lists: DataFrame) -> DataFrame:
     """Join lists to their texts. If their keys alone are few enough to broadcast, the other texts are not shuffled."""
     key = ["_id", "_dig"]
@@ -107,11 +151,15 @@ def _with(texts: DataFrame, lists: DataFrame) -> DataFrame:
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50) -> DataFrame:
     """Remove the words covered by a window of ``window`` words that also starts in a document with a smaller id.
 
-    Seeds: of the hashes of ``SEED`` words, the least one of every window is kept, so that two equal windows keep the same.
-    Documents are joined on these anchors; only windows around an anchor of at least two documents are extended and compared,
-    by 128-bit hashes, and runs of repeated windows are merged to maximal repeats. Whole copies are found by one digest each
-    and are not compared window by window. Every join meets one row per hash, never pairs of documents, and the counts are
-    combined before each shuffle, so a passage that a third of the documents share is no hot group.
+    Seeds: of the hashes of ``SEED`` words, the least one of every window is its anchor, so that two equal windows have the same.
+    Documents are joined on these anchors. An anchor that two documents share is extended both ways over all windows that
+    it anchors, and such a run is one row with a 128-bit hash of the words it spans. Equal runs are one class with its smallest id. Where an
+    anchor has one class, its windows repeat as a whole. Where it has several, which differ somewhere around the anchor, the
+    windows of one run of each class are compared one by one. Runs of repeated windows are merged to maximal repeats.
+
+    Whole copies are found by one digest each and are not extended. Every join meets one row per hash, never pairs of documents;
+    counts are combined before each shuffle, and classes of many rows are broadcast, so a passage that a third of the documents share is no hot
+    group.
 
     Returns per row: ``id_col``, ``n_words``, ``n_removed``, ``kept_sha256`` and ``kept_text``, which is null where no word goes.
     Null or empty text: no words. A null id is neither smaller nor larger than any: such rows stay whole. Rows that repeat an
@@ -129,10 +177,33 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     hit = materialize(hit, "repeats-hits")
 
     texts = rows.filter("_id is not null and _text is not null")
-    windows = _with(texts, hit).mapInArrow(_extend(window, "anchors"), f"_id {docs.schema[id_col].dataType.simpleString()}, _dig long, start int, one long, two long")
-    windows = materialize(windows, "repeats-windows")
-    seen = windows.groupBy("one", "two").agg(F.min("_id").alias("_first"), F.max("_id").alias("_last")).filter("_first < _last").drop("_last")
-    found = windows.join(seen, ["one", "two"]).filter("_first < _id").groupBy("_id", "_dig").agg(F.collect_set("start").alias("starts"))
+    id_type = docs.schema[id_col].dataType.simpleString()
+    runs = _with(texts, hit).mapInArrow(_extend(window), f"_id {id_type}, _dig long, start int, size int, anchor long, one long, two long")
+    runs = materialize(runs, "repeats-runs")
+
+    key = ["one", "two"]
+    classes = runs.groupBy("anchor", *key).agg(
+        F.min("_id").alias("_first"), F.max("_id").alias("_last"), F.count(F.lit(1)).alias("_n"), F.min(F.struct("_id", "_dig", "start", "size")).alias("_one")
+    )
+    classes = materialize(classes, "repeats-classes")
+    several = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("_classes")).filter("_classes > 1").select("anchor")
+    several = materialize(several, "repeats-several")
+    whole = classes.join(several, "anchor", "left_anti").filter("_first < _last").select(*key, "_n", F.col("_first").alias("_whole"))
+    parts = classes.join(several, "anchor", "left_semi")
+    shown = parts.groupBy("_one._id", "_one._dig").agg(F.collect_list(F.struct("_one.start", "_one.size", *key)).alias("runs"))
+    made = _with(texts, shown).mapInArrow(_windows(window), f"one long, two long, place int, w_one long, w_two long, _low {id_type}")
+    made = materialize(made.dropDuplicates(["one", "two", "place"]), "repeats-windows")
+    seen = made.groupBy("w_one", "w_two").agg(F.min("_low").alias("_since"), F.count(F.lit(1)).alias("_n"))
+    since = _looked_up(made.select(*key, "place", "w_one", "w_two"), seen, ["w_one", "w_two"])
+    since = since.groupBy(*key).agg(F.collect_list(F.struct("place", "_since")).alias("_parts"))
+    parts = parts.join(since, key).filter(F.array_min("_parts._since") < F.col("_last")).select(*key, "_n", "_parts")
+
+    table = whole.unionByName(parts, allowMissingColumns=True)
+    some = F.filter("_parts", lambda x: x["_since"] < F.col("_id"))
+    run = lambda start, size: F.struct(start.cast("int").alias("start"), size.cast("int").alias("size"))
+    again = F.when(F.col("_whole") < F.col("_id"), F.array(run(F.col("start"), F.col("size")))).otherwise(F.transform(some, lambda x: run(F.col("start") + x["place"], F.lit(1))))
+    found = _looked_up(runs.drop("anchor"), table, key).withColumn("again", again).filter(F.size("again") > 0)
+    found = found.groupBy("_id", "_dig").agg(F.flatten(F.collect_list("again")).alias("runs"))
     found = materialize(found, "repeats-found")
 
     cut = _with(texts, found).mapInArrow(_cut(window), f"_id {docs.schema[id_col].dataType.simpleString()}, _dig long, removed long, left_text binary")

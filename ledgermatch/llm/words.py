@@ -13,7 +13,8 @@ import numpy as np
 U = np.uint64
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[32, 9, 10, 11, 12, 13]] = True
-_BYTE = np.random.default_rng(20_240_607).integers(1, 2**63, 256, dtype=np.uint64) | U(1)
+_BYTES = np.random.default_rng(20_240_607).integers(1, 2**63, (2, 256), dtype=np.uint64) | U(1)
+_BYTE = _BYTES[0]
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 
 
@@ -59,13 +60,13 @@ class Words:
     doc: np.ndarray  # row of each word
     first: np.ndarray  # first word of each row, and the number of words at the end
 
-    def hashes(self) -> np.ndarray:
-        """One 64-bit hash per word."""
+    def hashes(self, which: int = 0) -> np.ndarray:
+        """One 64-bit hash per word; ``which`` picks one of two that know nothing of each other."""
         if not len(self.starts):
             return np.zeros(0, U)
-        up, down = powers(_BASES[0], len(self.raw) + 1)
+        up, down = powers(_BASES[-which], len(self.raw) + 1)
         sums = np.zeros(len(self.raw) + 1, U)
-        np.cumsum(_BYTE[self.raw] * up[:-1], dtype=U, out=sums[1:])
+        np.cumsum(_BYTES[which][self.raw] * up[:-1], dtype=U, out=sums[1:])
         return mixed((sums[self.ends] - sums[self.starts]) * down[self.starts])
 
 
@@ -101,6 +102,14 @@ def grams(hashes: np.ndarray, size: int, which: int = 1) -> np.ndarray:
     return mixed((sums[size:] - sums[:-size]) * down[: n - size + 1])
 
 
+def stretches(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 1) -> np.ndarray:
+    """Hash of the words from each start up to, but not with, its end; equal words of equal number give equal hashes."""
+    up, down = powers(_BASES[which], len(hashes) + 1)
+    sums = np.zeros(len(hashes) + 1, U)
+    np.cumsum(hashes * up[:-1], dtype=U, out=sums[1:])
+    return mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U))
+
+
 def spans_rows(w: Words, size: int) -> np.ndarray:
     """For every run of ``size`` words: whether it lies within one row."""
     return w.doc[size - 1 :] == w.doc[: len(w.doc) - size + 1] if len(w.doc) >= size else np.zeros(0, bool)

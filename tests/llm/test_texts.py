@@ -232,11 +232,38 @@ def test_decontamination(spark, sf_dir, odd):
     assert decontam.leaks(few, bench.limit(0)).filter("size(leak_items) > 0").isEmpty()
 
 
-def test_decontamination_in_blocks(spark, sf_dir, monkeypatch):
-    docs, bench = table(spark, sf_dir), table(spark, sf_dir, "benchmark")
+def test_decontamination_of_phrases_that_many_items_share(spark, sf_dir, monkeypatch):
+    """Widened keys find what the keys themselves find."""
+    docs, bench = table(spark, sf_dir).filter("length(text) < 4000"), table(spark, sf_dir, "benchmark")
     one = rows(decontam.leaks(docs, bench), "doc_id", "leak_items", "leak_words")
-    monkeypatch.setattr(decontam, "BLOCK_BYTES", 3_000)
+    monkeypatch.setattr(decontam, "HOT", 0)
     assert rows(decontam.leaks(docs, bench), "doc_id", "leak_items", "leak_words") == one
+    assert any("[]" not in r for r in one)
+
+
+def test_a_common_phrase_is_no_leak_and_no_product(spark):
+    """3 000 items begin alike, 200 texts hold that beginning: nothing is found, and no pair of them is compared."""
+    phrase = "a common phrase of eight words in all"
+    items = spark.range(3000).selectExpr("id as item_id", f"concat('{phrase} ', concat_ws(' ', transform(sequence(1, 12), k -> concat('i', id, 'x', k)))) as text")
+    docs = spark.range(200).selectExpr("id as doc_id", f"concat('before {phrase} ', concat_ws(' ', transform(sequence(1, 12), k -> concat('d', id, 'x', k)))) as text")
+    more = spark.createDataFrame([(900, f"so {phrase} i7x1 i7x2 other i7x4 i7x5 end")], "doc_id long, text string")
+    seen, plain = {}, decontam.materialize
+    decontam.materialize = lambda df, name: seen.setdefault(name, plain(df, name))
+    try:
+        got = {r["doc_id"]: r["leak_items"] for r in decontam.leaks(docs.union(more), items).collect()}
+    finally:
+        decontam.materialize = plain
+    assert got.pop(900) == [7] and not any(got.values())
+    assert seen["leaks-candidates"].select(F.explode("found")).count() < 10
+
+
+def test_short_items_agree_in_every_word(spark):
+    items = spark.createDataFrame([(1, "one two three"), (2, "Alpha, beta gamma delta epsilon zeta eta theta iota"), (3, "x")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "zero one two three four"), (2, "so alpha beta gamma delta epsilon zeta eta theta iota!"), (3, "alpha beta gamma delta epsilon zeta other theta iota"), (4, None)], "doc_id long, text string")
+    plain = {r["doc_id"]: r["leak_items"] for r in decontam.leaks(docs, items).collect()}
+    assert plain == {1: [], 2: [2], 3: [], 4: []}
+    short = {r["doc_id"]: list(zip(r["leak_items"], r["leak_words"], strict=True)) for r in decontam.leaks(docs, items, least_words=3).collect()}
+    assert short == {1: [(1, 3)], 2: [(2, 9)], 3: [], 4: []}
 
 
 def test_language_id(spark, sf_dir, odd):
