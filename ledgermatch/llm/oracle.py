@@ -49,8 +49,12 @@ with base as ({_places("assign", _NAMED + "[A-Za-z0-9+/_.=-]+", f"length({_VALUE
   select * from shaped s where not exists (select 1 from base b where b.doc_id = s.doc_id and s.a < b.b and b.a < s.b)
 ), seen as (
   select *, {_VALUE} as value from (select * from base union all select * from more)
+), placed as (
+  select value, text, min(struct_pack(known := source is not null, source := coalesce(source, ''), repo := cast(doc_id as varchar))) as place from seen join documents using (doc_id) group by all
+), held as (
+  select value, place.known as known, place.source as source, count(distinct place.repo) as n from placed group by all
 ), owned as (
-  select value, count(distinct coalesce(source, '<none>')) <= 1 and count(distinct doc_id) <= 3 as live from seen join documents using (doc_id) group by value
+  select value, sum(n) * sum(n) * 2 <= sum(n * n) * 3 as live from held group by value
 ), judged as (
   select doc_id, count(*) filter (live) as n_live, count(*) filter (not live) as n_example from seen join owned using (value) group by doc_id
 ), shown as (

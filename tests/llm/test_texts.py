@@ -177,25 +177,37 @@ def test_overlaps_equal_all_pairs(spark):
 
 
 def test_hidden_seeds_are_found_again(spark):
-    """A fifth of the mails is printed in a way no base shape knows; the places they share with the others give them back."""
+    """A tenth of the mails is printed in a way no base shape knows; the places they share with the others give them back."""
     heads = ["please write to {}", "contact us under {} any", "reach {} by mail"]
-    said = [(k, heads[k % 3].format(f"person{k}(at)mail" if k % 5 == 0 else f"person{k}@mail.example.com") + " today") for k in range(150)]
+    said = [(k, heads[k % 3].format(f"person{k}(at)mail" if k % 10 == 0 else f"person{k}@mail.example.com") + " today") for k in range(150)]
     said += [(1000 + k, f"count of {k * 37} in the year {1900 + k}") for k in range(100)]
     found = {r["doc_id"]: [x["value"] for x in r["found"] if x["kind"] == "context"] for r in pii.find(spark.createDataFrame(said, "doc_id long, text string")).collect()}
-    hidden = [k for k in range(0, 150, 5)]
+    hidden = [k for k in range(0, 150, 10)]
     assert sum(found[k] == [f"person{k}(at)mail"] for k in hidden) >= 0.9 * len(hidden)
     assert all(not v for k, v in found.items() if k not in hidden)
 
 
 def test_added_spans_stand_for_their_text(spark):
     value = "k3yv4lue" + "Zz9" * 6
-    said = [(1, f"use {value} here", "a"), (2, "copy0" + "Aa1" * 7, "a"), (3, "copy0" + "Aa1" * 7, "b"), (4, "token = \"abcdefgh12\"", None)]
+    said = [(1, f"use {value} here", "a"), (2, "copy0" + "Aa1" * 7, "a"), (3, "see copy0" + "Aa1" * 7, "b"), (4, "token = \"abcdefgh12\"", None)]
     got = {r["doc_id"]: r for r in secrets.scan(spark.createDataFrame(said, "doc_id long, text string, source string")).collect()}
     assert [(x["kind"], x["value"]) for x in got[1]["found"]] == [("live", value)]
     assert got[2]["found"] == got[3]["found"] == [] and got[2]["n_example"] == 1
     assert [x["kind"] for x in got[4]["found"]] == ["assign"] and got[4]["n_live"] == 1
 
 
+def test_spread_over_owners_tells_examples_from_secrets(spark):
+    """The verdict follows shares, so it is the same in a corpus a hundred times as large, and copies of one text count once."""
+    mine, shared, seen = "own0" + "Xy7" * 6, "example0" + "Qw5" * 6, "once0" + "Rt3" * 6
+    for size in (1, 100):
+        said = [(k, f"note {k} {mine}", "a") for k in range(9 * size)] + [(10_000 + k, f"quoted {k} {mine}", "b") for k in range(size)]
+        said += [(20_000 + k, f"tutorial {k} {shared}", f"s{k % 3}") for k in range(9 * size)]
+        said += [(30_000 + k, f"the same text {seen}", f"s{k % 3}") for k in range(9 * size)]
+        got = secrets.scan(spark.createDataFrame(said, "doc_id long, text string, source string"))
+        live = {r["doc_id"] // 10_000 for r in got.filter("n_live > 0").collect()}
+        assert live == {0, 1, 3} and got.filter("n_example > 0 and doc_id div 10000 = 2").count() == 9 * size
+
+
 def test_patterns_find_unseen_identifiers(spark):
     mail = [(k, f"please write to person{k}@mail.example.com today or later {k * 7}") for k in range(8)]
     said = [*mail, (20, "please write to person20(at)mail today or never"), (21, "there were 1234567 of them")]
@@ -284,6 +296,35 @@ def test_language_id(spark, sf_dir, odd):
     assert langid.identify(odd.limit(0), langid.train(odd.limit(0))).collect() == []
 
 
+def test_language_scores_are_calibrated(spark):
+    """A fifth of the labels is wrong; scores say so, and the temperature is no end of its bracket."""
+    import random
+
+    rng = random.Random(3)
+    words = {"aa": ["lorem", "ipsum", "dolor", "amet"], "bb": ["quick", "brown", "foxes", "jumps"], "cc": ["über", "größe", "straße", "mädchen"]}
+    rows = []
+    for k in range(1500):
+        own = rng.choice(sorted(words))
+        label = own if rng.random() < 0.8 else rng.choice(sorted(set(words) - {own}))
+        rows.append((k, " ".join(rng.choices(words[own], k=6)), label))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(df.filter("doc_id < 1000"))
+    got = langid.identify(df.filter("doc_id >= 1000"), model).collect()
+    right = sum(r["lang_pred"] == r["lang"] for r in got) / len(got)
+    assert 0.7 < right < 0.9 and abs(sum(r["score"] for r in got) / len(got) - right) < 0.08
+
+
+def test_temperature_of_separable_rows():
+    import numpy as np
+
+    truth = np.arange(300) % 3
+    for size in (1e-3, 1.0, 50.0):
+        logits = np.eye(3)[truth] * size
+        t = langid._temperature(logits, truth)
+        score = np.exp(size / t) / (np.exp(size / t) + 2)
+        assert abs(score - (1 - 1 / 302)) < 1e-3
+
+
 def test_toxicity(spark, odd):
     sf_dir = "/root/testdata/sf0.1"
     got = queries.op3_toxicity(spark, sf_dir).collect()
