@@ -19,7 +19,7 @@ def test_every_operator_is_registered():
     import __spark_entry__ as contract
 
     assert set(queries.QUERIES) <= set(contract.queries()) and set(oracle.SQL) <= set(contract.oracle_sql())
-    assert [n for n in range(1, 11) if any(q.startswith(f"op{n}_") for q in queries.QUERIES)] == list(range(1, 11))
+    assert [n for n in range(1, 14) if any(q.startswith(f"op{n}_") for q in queries.QUERIES)] == list(range(1, 14))
 
 
 def test_pipeline(spark, sf_dir):
