@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,22 +20,31 @@ BROADCAST_NUMBERS = 2_000_000
 PASS_BYTES = 1 << 19
 
 
-#: Rows that Spark hands to Python at once while an operator writes its tables: texts are large, and a batch is held on both sides.
+#: Rows that Spark hands to Python at once: texts are large, and a batch is held on both sides.
 BATCH_ROWS = 1_000
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's rows per Arrow batch to ``BATCH_ROWS``, unless it is lower already. Results do not depend on it."""
+    if not 0 < int(spark.conf.get(_BATCH)) <= BATCH_ROWS:
+        spark.conf.set(_BATCH, BATCH_ROWS)
+
+
+def give_back() -> None:
+    """Return memory that this worker has freed to the system; a reused worker would keep it beside the next task's."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: cuts the lineage and outlives executors."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_BATCH)
-    if int(before) > BATCH_ROWS or int(before) <= 0:
-        spark.conf.set(_BATCH, BATCH_ROWS)
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(_BATCH, before)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -92,7 +102,9 @@ def map_text(df: DataFrame, text: str, work: Callable[[], Callable[[pa.Array], l
             for part in _parts(batch, at):
                 made = make(part.column(at))
                 yield pa.RecordBatch.from_arrays([part.column(i) for i in kept] + [x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(made, types, strict=True)], names=labels)
+        give_back()
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgermatch.llm.common import checked_broadcast, components, map_text, materialize, text_bytes
+from ledgermatch.llm.common import checked_broadcast, components, give_back, map_text, materialize, text_bytes
 from ledgermatch.llm.words import grams, mixed, split_words
 
 #: Documents, and shingles, that one side of a verified block holds at most on average.
@@ -224,25 +224,25 @@ def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
 def _verify(threshold: float):
     """One block against another, or against itself: links per document, and the least member each one is joined to."""
 
-    def run(pdf):
-        import pandas as pd
-
-        pdf = pdf.sort_values("digest", kind="stable", ignore_index=True)
-        sets = [np.frombuffer(x, np.uint64) for x in pdf["shingles"]]
-        first, second = (np.flatnonzero(pdf["block"].to_numpy() == pdf[c].iloc[0]) for c in ("one", "two"))
+    def run(rows):
+        rows = rows.sort_by("digest")
+        block, one, two = (rows.column(c).to_numpy() for c in ("block", "one", "two"))
+        sets = [np.frombuffer(x, np.uint64) for x in rows.column("shingles").to_pylist()]
+        first, second = (np.flatnonzero(block == c[0]) for c in (one, two))
         sizes = np.array([len(s) for s in sets], np.float64)
         shared = _overlaps([sets[i] for i in first], [sets[i] for i in second])
         linked = shared >= threshold * (sizes[first][:, None] + sizes[second][None, :] - shared) - 1e-6
         linked &= first[:, None] != second[None, :]
-        weight = pdf["copies"].to_numpy(np.int64)
+        weight = rows.column("copies").to_numpy().astype(np.int64)
         links = np.zeros(len(sets), np.int64)
         links[first] += linked @ weight[second]
-        if pdf["one"].iloc[0] != pdf["two"].iloc[0]:
+        if one[0] != two[0]:
             links[second] += linked.T @ weight[first]
         a, b = np.nonzero(linked)
         label = _merged(len(sets), first[a], second[b])
-        digests = pdf["digest"].to_numpy()
-        return pd.DataFrame({"digest": digests, "links": links, "low": digests[label]})
+        digests = rows.column("digest").combine_chunks()
+        give_back()
+        return pa.table([digests, pa.array(links), digests.take(pa.array(label))], names=["digest", "links", "low"])
 
     return run
 
@@ -350,7 +350,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     dealt = sets.join(checked_broadcast(sizes, "2"), "label").withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("label", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "digest", "copies", "shingles")
-    verified = dealt.groupBy("label", "one", "two").applyInPandas(_verify(threshold), "digest binary, links long, low binary")
+    verified = dealt.groupBy("label", "one", "two").applyInArrow(_verify(threshold), "digest binary, links long, low binary")
     verified = materialize(verified, "jaccard-verified")
 
     joined = components(verified.filter("digest <> low").select(F.col("digest").alias("a"), F.col("low").alias("b")), "jaccard-classes")

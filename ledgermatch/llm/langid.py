@@ -116,12 +116,10 @@ def _round(train: DataFrame, state: tuple[np.ndarray, np.ndarray], idf: np.ndarr
     """
     shape = state[0].shape
 
-    def run(pdf):
-        import pandas as pd
-
+    def run(rows):
         z, n = state[0].copy(), state[1].copy()
-        pdf = pdf.sort_values(["_order", "_lang"], kind="stable")
-        for text, lang in zip(pdf["_text"], pdf["_lang"], strict=True):
+        rows = rows.sort_by([("_order", "ascending"), ("_lang", "ascending")])
+        for text, lang in zip(rows.column("_text").to_pylist(), rows.column("_lang").to_pylist(), strict=True):
             c = counts(text, s)
             if c is None:
                 continue
@@ -133,9 +131,9 @@ def _round(train: DataFrame, state: tuple[np.ndarray, np.ndarray], idf: np.ndarr
             more = n[:, at] + g * g
             z[:, at] += g - (np.sqrt(more) - np.sqrt(n[:, at])) / s.alpha * w
             n[:, at] = more
-        return pd.DataFrame({"z": [z.tobytes()], "n": [n.tobytes()]})
+        return pa.table({"z": pa.array([z.tobytes()], pa.binary()), "n": pa.array([n.tobytes()], pa.binary())})
 
-    got = train.groupBy("_shard").applyInPandas(run, "z binary, n binary").collect()
+    got = train.groupBy("_shard").applyInArrow(run, "z binary, n binary").collect()
     return tuple(np.mean([np.frombuffer(r[i]).reshape(shape) for r in got], axis=0) for i in (0, 1)) if got else state
 
 
