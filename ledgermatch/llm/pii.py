@@ -55,7 +55,7 @@ def base_spans(text: Column) -> Column:
 def _candidates(text: Column) -> Column:
     """Identifier-like words without the punctuation around them, each with the two words before and the word after it.
 
-    A neighbouring identifier that stands where a word would is ``<id>``.
+    An identifier before the word next to another one is ``<id>``.
     """
     empty = F.array().cast("array<struct<start:int,end:int,value:string,left:string,right:string>>")
     bare = lambda x: F.regexp_replace(F.lower(x), r"[^\p{L}]+", " ")
@@ -65,19 +65,19 @@ def _candidates(text: Column) -> Column:
     def one(x, i):
         lead = F.length(F.regexp_extract(x["v"], rf"^{_EDGE}*+", 0))
         core = F.regexp_replace(x["v"], rf"^{_EDGE}++|{_EDGE}++$", "")
-        left = F.concat(another(i > 0), x["before"])
-        right = F.concat(x["after"], another(x["more"]))
+        # an identifier alone is no pattern: the parts of one number stand next to each other
+        left = F.when(F.size(x["before"]) > 0, F.concat(another(i > 0), x["before"])).otherwise(F.array().cast("array<string>"))
         return F.struct(
             x["gap"].alias("gap"), F.length(x["v"]).alias("n"), lead.alias("lead"), core.alias("value"),
             F.array_join(F.slice(left, F.greatest(F.size(left) - 1, F.lit(1)), 2), " ").alias("left"),
-            F.coalesce(F.try_element_at(right, F.lit(1)), F.lit("")).alias("right"),
+            F.coalesce(F.try_element_at(x["after"], F.lit(1)), F.lit("")).alias("right"),
         )
 
     def zipped(gaps):
         # the words of every gap are cut once; the gap after a value is the one before the next
         ahead = F.zip_with(F.regexp_extract_all(text, F.lit(SHAPED), F.lit(0)), gaps, lambda v, g: F.struct(v.alias("v"), g.alias("g")))
         each = F.zip_with(ahead, F.slice(gaps, F.lit(2), F.size(gaps)), lambda x, g: F.struct(
-            x["v"].alias("v"), x["g"]["n"].alias("gap"), x["g"]["words"].alias("before"), g["words"].alias("after"), (~g["last"]).alias("more")))
+            x["v"].alias("v"), x["g"]["n"].alias("gap"), x["g"]["words"].alias("before"), g["words"].alias("after")))
         return F.transform(F.filter(each, lambda x: x["v"].isNotNull()), one)
 
     def placed(found):
@@ -87,7 +87,7 @@ def _candidates(text: Column) -> Column:
 
         return F.zip_with(found, S.before(F.transform(found, lambda x: x["gap"] + x["n"]), 0, add), span)
 
-    between = lambda pieces: F.transform(pieces, lambda g, i: F.struct(F.length(g).alias("n"), words(g).alias("words"), (i == F.size(pieces) - 1).alias("last")))
+    between = lambda pieces: F.transform(pieces, lambda g: F.struct(F.length(g).alias("n"), words(g).alias("words")))
     gaps = S.let(F.split(text, SHAPED, -1), between)
     return F.when(text.rlike("[0-9@]"), S.let(S.let(gaps, zipped), placed)).otherwise(empty)
 
@@ -96,7 +96,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds
     """Personal data of every text: base shapes, and identifiers that stand where base entities stand.
 
     Words with a digit or an at sign are instances; the two words before and the word after one are its patterns, where an identifier
-    next to one counts as a word of its own. Instances that
+    before the word counts as a word. Instances that
     lie inside a base span are seeds of score 1. In each round a pattern's confidence is the mean score of its distinct instances
     over the whole corpus (one is added to the count, so rare patterns stay low). Only patterns of at least ``least_confidence``
     with at least ``least_support`` seeds are kept as confident. A context (the words before and after) scores the higher
