@@ -15,10 +15,21 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgermatch.functions.text import literal
+
 #: a heavy key shows up about this often among the rows looked at
 _SEEN = 10_000
 #: a list of heavy keys is broadcast only up to this length, which has been counted
 _FEW = 100_000
+#: keys a sketch keeps; it loses none with more than 3.5 rows in so many
+_TRACKED = 4096
+#: a key with fewer rows than this weighs on no task
+_LIGHT = 1000
+#: bytes of keys that a task gets, of their text and about what a hash table takes besides
+_TASK_BYTES = 32 << 20
+#: below this a further task costs more than it saves
+_LEAST_BYTES = 1 << 20
+_ROW_BYTES, _FIELD_BYTES = 64, 8
 
 
 @dataclass(frozen=True)
@@ -41,6 +52,18 @@ NONE: tuple = ()
 Hot = HotKeys | tuple
 
 
+@dataclass(frozen=True)
+class KeySize:
+    """Bytes of the keys of a table, and its heavy keys."""
+
+    bytes: int
+    hot: Hot
+
+    def partitions(self, cores: int) -> int:
+        """As many as keep a task small, and one for each core where there is work for it."""
+        return max(1, -(-self.bytes // _TASK_BYTES), min(cores, self.bytes // _LEAST_BYTES))
+
+
 def quoted(names: Sequence[str]) -> str:
     return ", ".join(f"`{n}`" for n in names)
 
@@ -77,6 +100,38 @@ def hot_keys(ledgers: Mapping[str, tuple[DataFrame, Sequence[str]]], hot_rows: i
     }
 
 
+def key_sizes(tables: Mapping[str, DataFrame]) -> dict[str, KeySize]:
+    """Size and heavy keys of tables that hold key columns only, in one job that shuffles one sketch per table and task.
+
+    Heavy is a key with more than 3.5 rows in 4096, so a table has about a thousand of them at most. As with ``hot_keys`` the
+    answer picks a route and never a result.
+    """
+    hashed = []
+    for name, df in tables.items():
+        texts = [f"ifnull(octet_length(`{c}`), 0)" for c, kind in df.dtypes if kind in ("string", "binary")]
+        width = " + ".join([str(_ROW_BYTES + _FIELD_BYTES * len(df.columns)), *texts])
+        hashed.append(df.selectExpr(f"{literal(name)} as ledger", f"{key_hash(df.columns)} as h", f"bigint({width}) as width"))
+    seen = (
+        reduce(DataFrame.unionAll, hashed)
+        .groupBy("ledger")
+        .agg(
+            F.expr("sum(width) as bytes"),
+            F.expr(f"approx_top_k(h, {_TRACKED}, {_TRACKED}) as items"),
+            F.expr(f"greatest({_LIGHT}, 3.5 * count(*) / {_TRACKED}) as least"),
+        )
+        .selectExpr("ledger", "bytes", "transform(filter(items, i -> i.count >= least), i -> i.item) as heavy")
+    )
+    sizes = {row.ledger: row for row in seen.collect()}
+    return {
+        name: KeySize(sizes[name].bytes, _listed(df.sparkSession, sizes[name].heavy)) if name in sizes else KeySize(0, NONE)
+        for name, df in tables.items()
+    }
+
+
+def _listed(spark: SparkSession, hashes: Sequence[int]) -> Hot:
+    return HotKeys(spark.createDataFrame([(h,) for h in hashes], "h long"), len(hashes)) if hashes else NONE
+
+
 def split_hot(df: DataFrame, keys: Sequence[str], hot: Hot) -> tuple[DataFrame, DataFrame | None]:
     """The rows of ordinary keys and the rows of heavy keys; None if there are no heavy keys."""
     if not hot:

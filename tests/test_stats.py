@@ -2,10 +2,12 @@
 
 import random
 import statistics
+from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
-from ledgermatch.operators import profiling, quality, stats
+from ledgermatch.operators import profiling, quality, skew, stats
 
 
 def interpolated(values, p):
@@ -84,3 +86,25 @@ def test_run_checks_reports_severity(spark):
     checks = [quality.Check("a", empty), quality.Check("b", full, quality.WARN), quality.Check("c", full)]
     got = [(r.check, r.failures, r.status) for r in quality.run_checks(checks).collect()]
     assert got == [("a", 0, "pass"), ("b", 3, "warn"), ("c", 3, "error")]
+
+
+def test_repeated_keys_deal_out_by_size_not_by_packed_bytes(spark):
+    rows, keys = 6_000_000, 3_000_000
+    twice = spark.range(rows).selectExpr(f"id % {keys} as k")
+    found = profiling.repeated_keys({"t": (twice, ["k"])}).selectExpr("n", "spark_partition_id() as part")
+    parts = found.groupBy("part").agg(F.count("*").alias("held"), F.min("n").alias("low"), F.max("n").alias("high")).collect()
+    assert sum(p.held for p in parts) == keys and {(p.low, p.high) for p in parts} == {(2, 2)}
+    # 64 MB of a hash table would be full with fewer keys than a merged partition holds
+    assert max(p.held for p in parts) < 260_000
+
+
+def test_repeated_keys_count_heavy_null_and_odd_keys(spark):
+    rows = [("heavy", 0.5)] * 9_000 + [(None, None)] * 4_000 + [("light", float(i // 3)) for i in range(900)]
+    rows += [("zero", -0.0), ("zero", 0.0), ("nan", float("nan")), ("nan", float("nan")), ("half", None), ("half", None)]
+    rows += [("once", float(i)) for i in range(5_000)]
+    df = spark.createDataFrame(rows, "h string, n double").repartition(5)
+    assert skew.key_sizes({"t": df})["t"].hot.count == 2
+    got = profiling.repeated_keys({"t": (df, ["h", "n"]), "none": (df.limit(0), ["h"])}).collect()
+    want = Counter({"heavy 0.5": 9_000, "nan NaN": 2, "zero 0.0": 2} | {f"light {float(i)}": 3 for i in range(300)})
+    assert {r.key.replace("-0.0", "0.0"): r.n for r in got if r.key is not None} == want
+    assert sorted(r.n for r in got if r.key is None) == [2, 4_000]
