@@ -86,8 +86,7 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Per document its id, language, source and token ids, with digests of the ids and of the bytes they decode to."""
-    coded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), RANKS, public_tokenizers.PATTERN)
-    return bpe.with_digests(coded, RANKS, ["doc_id", "lang", "source", "ids"])
+    return bpe.encode_with_digests(docs, RANKS, public_tokenizers.PATTERN, ["doc_id", "lang", "source", "ids"])
 
 
 STAGES = [

@@ -8,16 +8,18 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgermatch.llm.common import map_text, materialize, packed, unpacked
+from ledgermatch.llm.common import give_back, map_text, materialize, packed, unpacked
 
 #: Characters of a chunk, and of the stretch it shares with the next chunk.
 CHUNK, OVERLAP = 32_768, 1_024
 #: Characters that the library's own splitter is given at once; it recurses and ends the process on runs of a million blanks.
 SPLIT = 100_000
+_IDS = T.StructField("ids", T.ArrayType(T.IntegerType()))
+_DIGESTS = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
 
 
 @lru_cache(maxsize=2)
@@ -76,6 +78,26 @@ def _whole(path: str, pattern: str):
     return work
 
 
+def _digests(ids: list[np.ndarray], path: str) -> list[list]:
+    """Per array of ids its length, the digest of the ids, and the digest of the bytes they decode to."""
+    coded = [hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in ids]
+    plain = [hashlib.sha256(decode(x.tolist(), path)).hexdigest() for x in ids]
+    return [[len(x) for x in ids], coded, plain]
+
+
+def _whole_digested(path: str, pattern: str, with_ids: bool):
+    def work():
+        encoded = _whole(path, pattern)()
+
+        def make(column):
+            (ids,) = encoded(column)
+            return [ids] * with_ids + _digests(ids, path)
+
+        return make
+
+    return work
+
+
 def _edges(pattern: str):
     """Per chunk: boundaries in its first and in its last ``OVERLAP`` characters, counted from the chunk's start."""
 
@@ -104,11 +126,37 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", chu
     kept; one named ``ids`` is replaced.
     """
     docs = docs.drop("ids")
-    ids = [T.StructField("ids", T.ArrayType(T.IntegerType()))]
-    rows = packed(docs, text_col)
-    long = F.coalesce(F.length("_text"), F.lit(0)) > chunk
-    short = map_text(rows.filter(~long), "_text", _whole(path, pattern), ids, drop_text=False)
-    wide = rows.filter(long).withColumn("_key", F.sha2(F.to_json(F.struct("_row", "_text")), 256))
+    rows, long = packed(docs, text_col), _is_long(chunk)
+    short = map_text(rows.filter(~long), "_text", _whole(path, pattern), [_IDS], drop_text=False)
+    wide = _encode_long(rows.filter(long), path, pattern, chunk)
+    return unpacked(short.unionByName(wide), docs.columns, text_col, ["ids"])
+
+
+def encode_with_digests(docs: DataFrame, path: str, pattern: str, keep: list[str], text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
+    """The rows of ``with_digests(encode(docs, path, pattern, text_col, chunk), path, keep)``, with one Python worker a task.
+
+    One after the other the two passes would share a stage, whose tasks would each hold two workers with the tokenizer's tables in both.
+    Here a text that is encoded where it is gets its ids decoded and digested in the same pass, and is left there unless it is kept.
+    """
+    docs = docs.drop("ids")
+    docs = docs.select(*dict.fromkeys([*[c for c in keep if c != "ids"], text_col]))
+    rows, long = packed(docs, text_col), _is_long(chunk)
+    with_ids, with_text = "ids" in keep, text_col in keep
+    made = [_IDS] * with_ids + _DIGESTS
+    short = map_text(rows.filter(~long), "_text", _whole_digested(path, pattern, with_ids), made, drop_text=not with_text)
+    wide = with_digests(_encode_long(rows.filter(long), path, pattern, chunk), path, ["_row"] + ["_text"] * with_text + ["ids"] * with_ids)
+    place = {"ids": F.col("ids"), text_col: F.col("_text")}
+    kept = [(place[c] if c in place else F.col("_row").getField(c)).alias(c) for c in keep]
+    return short.unionByName(wide).select(*kept, *[f.name for f in _DIGESTS])
+
+
+def _is_long(chunk: int) -> Column:
+    return F.coalesce(F.length("_text"), F.lit(0)) > chunk
+
+
+def _encode_long(rows: DataFrame, path: str, pattern: str, chunk: int) -> DataFrame:
+    """``(_row, _text, ids)`` of packed rows, by way of chunks."""
+    wide = rows.withColumn("_key", F.sha2(F.to_json(F.struct("_row", "_text")), 256))
     wide = wide.groupBy("_key").agg(F.first("_row").alias("_row"), F.first("_text").alias("_text"), F.count(F.lit(1)).alias("_n"))
     wide = materialize(wide, "bpe-long")
     body = F.col("_text")
@@ -127,29 +175,26 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", chu
     edges = materialize(edges.select("_key", "at", "start", "lost", F.when(~F.col("lost"), inside).alias("piece")), "bpe-pieces")
     whole = wide.join(edges.filter("lost and at = 0").select("_key"), "_key").select("_key", F.lit(0).cast("long").alias("start"), body.alias("piece"))
     pieces = edges.filter("not lost").select("_key", "start", "piece").union(whole).repartition("_key", "start")
-    coded = map_text(pieces, "piece", _whole(path, pattern), ids)
+    coded = map_text(pieces, "piece", _whole(path, pattern), [_IDS])
     coded = coded.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("start", "ids"))).alias("_all"))
     coded = coded.select("_key", F.flatten(F.col("_all.ids")).alias("ids"))
     rejoined = wide.join(coded, "_key").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))))
-    return unpacked(short.unionByName(rejoined.select("_row", "_text", "ids")), docs.columns, text_col, ["ids"])
+    return rejoined.select("_row", "_text", "ids")
 
 
 def with_digests(coded: DataFrame, path: str, keep: list[str]) -> DataFrame:
     """Replace ``ids`` by ``n_tokens``, ``ids_sha256`` and, after decoding them, ``decoded_sha256``."""
-    names = ["n_tokens", "ids_sha256", "decoded_sha256"]
+    names = [f.name for f in _DIGESTS]
 
     def run(batches):
         for batch in batches:
-            ids = batch.column(batch.schema.names.index("ids"))
-            n, coded, plain = [], [], []
-            for i in range(batch.num_rows):
-                x = ids[i].values
-                x = x.to_numpy(zero_copy_only=False) if x is not None else np.zeros(0, np.int32)
-                n.append(len(x))
-                coded.append(hashlib.sha256(x.astype("<u4").tobytes()).hexdigest())
-                plain.append(hashlib.sha256(decode(x.tolist(), path)).hexdigest())
+            cells = batch.column(batch.schema.names.index("ids"))
+            values = [cells[i].values for i in range(batch.num_rows)]
+            ids = [x.to_numpy(zero_copy_only=False) if x is not None else np.zeros(0, np.int32) for x in values]
             kept = [batch.column(batch.schema.names.index(c)) for c in keep]
+            n, coded, plain = _digests(ids, path)
             yield pa.RecordBatch.from_arrays([*kept, pa.array(n, pa.int64()), pa.array(coded, pa.string()), pa.array(plain, pa.string())], names=[*keep, *names])
+        give_back()
 
-    schema = T.StructType([coded.schema[c] for c in keep] + [T.StructField(c, T.LongType() if c == "n_tokens" else T.StringType()) for c in names])
+    schema = T.StructType([coded.schema[c] for c in keep] + _DIGESTS)
     return coded.select(*dict.fromkeys([*keep, "ids"])).mapInArrow(run, schema)

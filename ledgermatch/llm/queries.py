@@ -55,7 +55,7 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return bpe.with_digests(bpe.encode(docs, RANKS, public_tokenizers.PATTERN), RANKS, ["doc_id"])
+    return bpe.encode_with_digests(docs, RANKS, public_tokenizers.PATTERN, ["doc_id"])
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
+from corpus_pipeline import encode_tokens
 from ledgermatch.llm import bpe, decontam, jaccard, langid, pii, quality, queries, secrets, substrings, toxicity
 from ledgermatch.llm import spans as S
 
@@ -127,6 +128,31 @@ def test_byte_bpe_in_short_chunks(spark, sf_dir):
     assert rows(got, "doc_id", "ids") == bag((i, enc.encode_ordinary(t)) for i, t in pairs(docs))
 
 
+def test_byte_bpe_digests_in_the_pass_that_encodes(spark, odd, capsys):
+    """The same rows as one pass after the other, by either way of a text, and never two Python workers for one task."""
+    for keep in (["doc_id"], ["doc_id", "ids", "text", "lang"]):
+        for chunk in (bpe.CHUNK, 1500):
+            got = bpe.encode_with_digests(odd, queries.RANKS, public_tokenizers.PATTERN, keep, chunk=chunk)
+            want = bpe.with_digests(bpe.encode(odd, queries.RANKS, public_tokenizers.PATTERN, chunk=chunk), queries.RANKS, keep)
+            assert got.schema == want.schema and rows(got, *want.columns) == rows(want, *want.columns)
+    assert most_python_steps(queries.op5_byte_bpe(spark, "/root/testdata/sf0.01"), capsys) == 1
+    assert most_python_steps(encode_tokens(spark, odd, ""), capsys) == 1
+
+
+def most_python_steps(df, capsys):
+    """The most Python steps between two shuffles on any way through the plan; each holds a worker of its own in every task."""
+    capsys.readouterr()
+    df.explain()
+    most, above = 0, []
+    for line in capsys.readouterr().out.splitlines():
+        name = line.lstrip(" :+-")
+        above = [x for x in above if x[0] < len(line) - len(name)]
+        steps = 0 if name.startswith("Exchange") else (above[-1][1] if above else 0) + name.startswith("MapInArrow")
+        above.append((len(line) - len(name), steps))
+        most = max(most, steps)
+    return most
+
+
 @pytest.mark.parametrize("name", ["op4", "op9"])
 def test_base_spans(docs, name):
     if name == "op4":
